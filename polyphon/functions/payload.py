@@ -7,8 +7,10 @@ from pyspark.sql.types import StructType
 
 
 def encode_payload(*cols: Column | str) -> Column:
-    """Base64 of the JSON form of the given columns."""
-    return F.base64(F.encode(F.to_json(F.struct(*cols)), "UTF-8"))
+    """Base64 of the JSON form of the given columns, on one line."""
+    text = F.base64(F.encode(F.to_json(F.struct(*cols)), "UTF-8"))
+    # Depending on a session setting the encoder breaks lines every 76 characters.
+    return F.translate(text, "\r\n", "")
 
 
 def decode_text(payload: Column, schema: StructType) -> Column:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from polyphon.operators.lookup import model_join
+from polyphon.operators.naive_bayes import CLASS_ATTR
 from polyphon.sources.instances import FeatureSpec
 
 NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, is_leaf boolean"
@@ -79,12 +80,12 @@ def route(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node
 def leaf_stats(routed: DataFrame, spec: FeatureSpec, weight: str = "w") -> DataFrame:
     """Weighted counts per (member, leaf, attribute, bin, label).
 
+    Attribute ``#class`` (bin 0) holds the leaf's class weights.
     Each row becomes one row per attribute inside the task; equal cells add up
     before the shuffle.
     """
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"bin_{a}").alias("bin")) for a in [*spec.numeric, *spec.nominal]])
-    )
+    attrs = [F.struct(F.lit(a).alias("attr"), F.col(f"bin_{a}").alias("bin")) for a in [*spec.numeric, *spec.nominal]]
+    cells = F.explode(F.array(F.struct(F.lit(CLASS_ATTR).alias("attr"), F.lit(0).alias("bin")), *attrs))
     return (
         routed.select("member", "node_id", F.col(spec.label).alias("label"), F.col(weight).alias("_w"), cells.alias("c"))
         .where(F.col("c.bin").isNotNull())
@@ -114,7 +115,7 @@ def split_candidates(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
     the cut (numeric) or the cut's own bin (nominal).
     """
     numeric = F.col("attr").isin(list(spec.numeric)) if spec.numeric else F.lit(False)
-    by_bin = stats.groupBy("member", "node_id", "attr", "bin", "label").agg(F.sum("w").alias("w"))
+    by_bin = stats.where(F.col("attr") != CLASS_ATTR).groupBy("member", "node_id", "attr", "bin", "label").agg(F.sum("w").alias("w"))
     side = Window.partitionBy("member", "node_id", "attr", "label")
     # Every cut needs all labels, also those absent from its own bin.
     cuts = by_bin.select("member", "node_id", "attr", F.col("bin").alias("cut")).distinct()
@@ -204,14 +205,13 @@ def tree_size_limit(nodes: DataFrame, max_split_nodes: int) -> DataFrame:
     )
 
 
-def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_bytes: int, any_attr: str | None = None) -> DataFrame:
+def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_bytes: int) -> DataFrame:
     """Vote vector of a tree member: class weights at the instance's leaf.
 
     A leaf that saw nothing votes zero everywhere.
     """
-    attr = any_attr or [*spec.numeric, *spec.nominal][0]
     per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) for c in spec.classes]
-    leaf = stats.where(F.col("attr") == attr).groupBy("member", "node_id").agg(F.array(*per_class).alias("votes"))
+    leaf = stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(F.array(*per_class).alias("votes"))
     out = model_join(routed, leaf, ["member", "node_id"], node_bytes, "instance_id", how="left")
     zero = F.array(*[F.lit(0.0) for _ in spec.classes])
     return out.withColumn("votes", F.coalesce("votes", zero))
