@@ -17,12 +17,14 @@ from polyphon.sources.workspace import materialize
 def orbit(nodes: DataFrame, keys: list[str], pos: str, nxt: str) -> DataFrame:
     """Rows ``(keys, pos)`` on the chain that starts at each key's smallest ``pos``.
 
-    ``nxt`` is the position a chain moves to from this row (a row of the same
-    key, further on), or null at the end. Positions are unique per key.
+    ``nxt`` is the position a chain moves to from this row, further on in the
+    same key, or null at the end. A position that has no row ends the chain too.
+    Positions are unique per key.
     """
-    jumps = materialize(
-        nodes.select(*keys, F.col(pos).alias("_p"), F.col(nxt).alias("_n")), "orbit-jumps"
-    )
+    jumps = nodes.select(*keys, F.col(pos).alias("_p"), F.col(nxt).alias("_n"))
+    there = nodes.select(*keys, F.col(pos).alias("_n"), F.lit(True).alias("_there"))
+    jumps = jumps.join(there, [*keys, "_n"], "left")
+    jumps = materialize(jumps.select(*keys, "_p", F.when(F.col("_there"), F.col("_n")).alias("_n")), "orbit-jumps")
     reached = jumps.groupBy(*keys).agg(F.min("_p").alias("_p"))
     reached = materialize(reached, "orbit-reached")
     while True:

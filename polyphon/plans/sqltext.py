@@ -5,7 +5,7 @@ from __future__ import annotations
 from polyphon.functions import weights as wt
 
 INST = """inst AS MATERIALIZED (
-  SELECT event_id AS instance_id, event_id AS seq, epoch_ms(ts) AS ts_ms, CAST(1.0 AS DOUBLE) AS weight,
+  SELECT event_id AS instance_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, CAST(1.0 AS DOUBLE) AS weight,
          round(value * 100) AS x_cents, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x_k,
          CAST(user_id % 5 AS VARCHAR) AS n_user, event_type AS label, user_id
   FROM events)"""

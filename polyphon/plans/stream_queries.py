@@ -8,7 +8,7 @@ from polyphon.functions import payload as pl
 from polyphon.operators import lookup, naive_bayes as nb, streams as st, votes as vt
 from polyphon.functions.weights import with_poisson_weight
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_predict
+from polyphon.plans.bagging import bag_predict, share_of_stream
 from polyphon.plans.common import (
     ENSEMBLE, SEED, TRAIN_SHARE, events, events_spec, test_rows, train_rows, trained,
 )
@@ -16,7 +16,7 @@ from polyphon.plans.registry import query
 from polyphon.sources import channels
 from polyphon.sources.instances import orders_instances, read_table
 from polyphon.sources.schema import flat_schema
-from polyphon.sources.workspace import new_folder
+from polyphon.sources.workspace import materialize, new_folder
 from polyphon.streaming.ingest import run_to_table, two_stream_ingest
 
 COLS = ["instance_id", "seq", "weight", "x_cents", "x_k", "n_user", "label"]
@@ -45,8 +45,6 @@ def instance_batches(spark, sf_dir):
 )
 def bounded_passes(spark, sf_dir):
     # The bound is half of the stream, so it grows with the table.
-    from polyphon.plans.bagging import share_of_stream
-
     inst = events(spark, sf_dir)
     return st.bounded_passes(inst, share_of_stream(inst, 0.5), passes=2).select("pass", "seq", "label", "x_cents")
 
@@ -134,8 +132,6 @@ def prediction_sink(spark, sf_dir):
     """A stream of instances scored by the static ensemble, into the batch-partitioned table."""
     inst = events(spark, sf_dir)
     spec = events_spec(spark, sf_dir)
-    from polyphon.sources.workspace import materialize
-
     stats = materialize(trained(spark, sf_dir), "sink-model")
     channel = _channel(spark, test_rows(inst), "score-channel")
     stream = channels.read_channel(spark, channel, CHANNEL, files_per_trigger=2)

@@ -12,7 +12,7 @@ from polyphon.operators import versions as vs
 from polyphon.operators import votes as vt
 from polyphon.operators.streams import ensemble_fanout
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_train
+from polyphon.plans.bagging import bag_train, share_of_stream
 from polyphon.plans.common import (
     BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, trained,
 )
@@ -21,7 +21,7 @@ from polyphon.plans.stream_queries import CHANNEL, COLS, STREAM_FILES
 from polyphon.sources import channels
 from polyphon.sources.instances import lineitem_instances, read_table
 from polyphon.sources.model_store import ModelStore
-from polyphon.sources.workspace import new_folder
+from polyphon.sources.workspace import materialize, new_folder
 from polyphon.streaming import training as tr
 
 ALL_BAG = (q.INST, q.bag("inst", ENSEMBLE, SEED))
@@ -149,8 +149,6 @@ def _tree_rows(spark, sf_dir):
 
 
 def _first_split(spark, sf_dir):
-    from polyphon.sources.workspace import materialize
-
     rows, spec = _tree_rows(spark, sf_dir)
     at_root = rows.withColumn("node_id", F.lit(1).cast("long"))
     splits = materialize(ht.tree_split(ht.leaf_stats(at_root, spec), spec, TREE), "tree-splits")
@@ -303,8 +301,6 @@ def boost_flags(spark, sf_dir):
 
 
 def event_chain(spark, sf_dir):
-    from polyphon.sources.workspace import materialize
-
     return bo.boost_chain(materialize(boost_flags(spark, sf_dir), "boost-flags"), BOOST)
 
 
@@ -334,8 +330,6 @@ BATCHES = 2
 
 
 def _boost_run(spark, sf_dir, pure):
-    from polyphon.plans.bagging import share_of_stream
-
     inst = events(spark, sf_dir)
     spec = events_spec(spark, sf_dir)
     half = share_of_stream(inst, 0.5)
