@@ -13,6 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from polyphon.functions.sqlexpr import add
+
 MASK = 0xFFFFFFFF
 # Odd multipliers below 2^31, so that a 32-bit value times one of
 # them never overflows a signed 64-bit product.
@@ -25,18 +27,21 @@ MIX_B = 0x5BD1E995
 SCALE = 1 << 32
 
 
-def hash32(instance_id: Column, member: Column, seed: int = 1) -> Column:
-    """A 32-bit hash (as long) of instance id, member and seed."""
+def hash32_text(instance_id: str, member: str, seed: int = 1) -> str:
+    """SQL text of a 32-bit hash (as long) of instance id, member and seed."""
     start = (seed * SEED_STEP) & MASK
     h = (
-        instance_id.bitwiseAND(F.lit(MASK))
-        + (F.shiftright(instance_id, 32).bitwiseAND(F.lit(MASK)) * F.lit(HIGH_STEP)).bitwiseAND(F.lit(MASK))
-        + (member.cast("long") * F.lit(MEMBER_STEP)).bitwiseAND(F.lit(MASK))
-        + F.lit(start)
-    ).bitwiseAND(F.lit(MASK))
-    h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX_A)).bitwiseAND(F.lit(MASK))
-    h = (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MIX_B)).bitwiseAND(F.lit(MASK))
-    return h.bitwiseXOR(F.shiftright(h, 16))
+        f"((({instance_id} & {MASK}L) + (((shiftright({instance_id}, 32) & {MASK}L) * {HIGH_STEP}L) & {MASK}L)"
+        f" + ((cast({member} AS BIGINT) * {MEMBER_STEP}L) & {MASK}L) + {start}L) & {MASK}L)"
+    )
+    h = f"((({h} ^ shiftright({h}, 16)) * {MIX_A}L) & {MASK}L)"
+    h = f"((({h} ^ shiftright({h}, 15)) * {MIX_B}L) & {MASK}L)"
+    return f"({h} ^ shiftright({h}, 16))"
+
+
+def hash32(instance_id: str, member: str, seed: int = 1) -> Column:
+    """The hash as a column; ``instance_id`` (long) and ``member`` are SQL text."""
+    return F.expr(hash32_text(instance_id, member, seed))
 
 
 def poisson_thresholds(lam: float = 1.0) -> list[int]:
@@ -57,13 +62,11 @@ def poisson_thresholds(lam: float = 1.0) -> list[int]:
         term *= lam / j
 
 
-def poisson_count(h: Column, lam: float = 1.0) -> Column:
+def poisson_count_text(h: str, lam: float = 1.0) -> str:
     """Inverse-distribution draw of a Poisson(``lam``) count from a 32-bit hash."""
     steps = poisson_thresholds(lam)
-    k = F.when(h < F.lit(steps[0]), F.lit(0))
-    for j, step in enumerate(steps[1:], start=1):
-        k = k.when(h < F.lit(step), F.lit(j))
-    return k.otherwise(F.lit(len(steps)))
+    arms = " ".join(f"WHEN {h} < {step}L THEN {j}" for j, step in enumerate(steps))
+    return f"CASE {arms} ELSE {len(steps)} END"
 
 
 # A rate is split into pieces of at most this size before drawing. exp(-rate)
@@ -71,35 +74,25 @@ def poisson_count(h: Column, lam: float = 1.0) -> Column:
 RATE_PIECE = 16.0
 
 
-def piece_terms(share: Column) -> Column:
-    """Terms of one piece's distribution function; the tail past them is below 2^-32."""
-    return F.ceil(share + F.sqrt(share) * 8 + 12).cast("int")
-
-
-def poisson_count_for_rate(rate: Column, instance_id: Column, member: Column, seed: int = 1) -> Column:
+def poisson_count_for_rate(rate: str, instance_id: str, member: str, seed: int = 1) -> Column:
     """Poisson count for a rate that differs by row and has no upper bound.
 
     Poisson(a + b) is the sum of independent Poisson(a) and Poisson(b) draws.
     The rate is therefore cut into pieces of at most ``RATE_PIECE``, and piece p
-    draws from its own hash (the seed is stepped through the member word).
+    draws from its own hash (the piece is added to the member word). Within a
+    piece the count is the number of distribution steps at or below the hash;
+    the steps end where the tail is below the hash's resolution.
     """
-    pieces = F.greatest(F.ceil(rate / F.lit(RATE_PIECE)).cast("int"), F.lit(1))
-    share = rate / pieces
-
-    def draw(p: Column) -> Column:
-        u = hash32(instance_id, member + p * F.lit(65536), seed) / F.lit(float(SCALE))
-        state = F.aggregate(
-            F.sequence(F.lit(1), piece_terms(share)),
-            F.struct(F.exp(-share).alias("term"), F.exp(-share).alias("cdf"), F.lit(0).alias("k")),
-            lambda s, j: F.struct(
-                (s["term"] * share / j).alias("term"),
-                (s["cdf"] + s["term"] * share / j).alias("cdf"),
-                (s["k"] + F.when(u >= s["cdf"], F.lit(1)).otherwise(F.lit(0))).alias("k"),
-            ),
-        )
-        return state["k"]
-
-    return F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0), lambda acc, p: acc + draw(p))
+    pieces = f"greatest(cast(ceil({rate} / {RATE_PIECE}D) AS INT), 1)"
+    share = f"({rate} / {pieces})"
+    u = f"({hash32_text(instance_id, f'({member} + p * 65536)', seed)} / {float(SCALE)}D)"
+    terms = f"cast(ceil({share} + sqrt({share}) * 8 + 12) AS INT)"
+    draw = (
+        f"aggregate(sequence(1, {terms}), named_struct('term', exp(-{share}), 'cdf', exp(-{share}), 'k', 0), "
+        f"(s, j) -> named_struct('term', s.term * {share} / j, 'cdf', s.cdf + s.term * {share} / j, "
+        f"'k', s.k + if({u} >= s.cdf, 1, 0))).k"
+    )
+    return F.expr(f"aggregate(sequence(0, {pieces} - 1), 0, (acc, p) -> acc + {draw})")
 
 
 def with_poisson_weight(
@@ -111,10 +104,6 @@ def with_poisson_weight(
     alone, so it runs before the count is built, in the same generated loop.
     """
     first = poisson_thresholds(1.0)[0]
-    return (
-        df.withColumn("_h", hash32(F.col(id_col), F.col(member_col), seed))
-        .where(F.col("_h") >= F.lit(first))
-        .withColumn("k", poisson_count(F.col("_h")))
-        .withColumn("w", F.col(weight_col) * F.col("k"))
-        .drop("_h")
-    )
+    hashed = add(df, {"_h": hash32_text(id_col, member_col, seed)}).where(f"_h >= {first}L")
+    counted = add(hashed, {"k": poisson_count_text("_h")}).drop("_h")
+    return add(counted, {"w": f"{weight_col} * k"})

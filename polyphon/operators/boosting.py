@@ -17,7 +17,7 @@ from polyphon.functions.weights import poisson_count_for_rate
 from polyphon.operators import naive_bayes as nb
 from polyphon.operators.lookup import model_join
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running
-from polyphon.operators.votes import argmax_index
+from polyphon.operators.votes import vote_cols, with_argmax
 from polyphon.sources.instances import FeatureSpec
 from polyphon.sources.workspace import materialize
 
@@ -50,12 +50,12 @@ def boost_chain(flags: DataFrame, ensemble: int, bucket_rows: int = BUCKET_ROWS)
         lam = F.col(f"lam_{m}")
         out = f"lam_{m + 1}" if m + 1 < ensemble else "lam_out"
         aggs = [
-            Running("_scms", F.when(ok, lam).otherwise(0.0)),
-            Running("_swms", F.when(ok, F.lit(0.0)).otherwise(lam)),
+            Running("_scms", f"if(correct_{m}, lam_{m}, 0D)"),
+            Running("_swms", f"if(correct_{m}, 0D, lam_{m})"),
         ]
         # The weight seen is the same for every member; it is summed once.
         if m == 0:
-            aggs.append(Running("_tw", F.col("weight")))
+            aggs.append(Running("_tw", "weight"))
         state = running(state, "seq", aggs, bucket_rows=bucket_rows)
         state = state.withColumn(out, chain_step(lam, ok, F.col("_tw"), F.col("_scms"), F.col("_swms"))).drop("_scms", "_swms")
         if m + 1 < ensemble:
@@ -98,10 +98,10 @@ def correct_flags(instances: DataFrame, model: DataFrame, spec: FeatureSpec, ens
         one = model.where(F.col("member") == m)
         cols = [c for c in one.columns if c != "member"]
         scored = model_join(out.withColumn("member", F.lit(m)), one, ["member"], spec.model_cells * 24, "instance_id", how="left")
-        scored = nb.votes_from_logs(scored, nb.log_votes(spec), "_votes")
+        scored = with_argmax(nb.votes_from_logs(scored, nb.log_votes(spec)), n, "_best")
         out = scored.withColumn(
-            f"correct_{m}", F.coalesce(argmax_index(F.col("_votes"), n) == spec.class_index(F.col(spec.label)), F.lit(False))
-        ).drop("_votes", "member", *cols)
+            f"correct_{m}", F.coalesce(F.col("_best") == spec.class_index(F.col(spec.label)), F.lit(False))
+        ).drop("_best", "member", *vote_cols(n), *cols)
     return out
 
 
@@ -126,61 +126,62 @@ def boost_train_batch(
     """
     kept = batch.columns
     n = len(spec.classes)
+    before = _sums_before(state)
     rows = materialize(batch.withColumn("lam_0", F.lit(1.0)), "boost-batch")
-    all_stats, all_sums = [], []
+    all_stats = []
     for m in range(ensemble):
-        lam = F.col(f"lam_{m}")
-        k = lam if pure else poisson_count_for_rate(lam, F.col("instance_id"), F.lit(m), seed).cast("double")
+        lam, ok = F.col(f"lam_{m}"), F.col(f"correct_{m}")
+        k = lam if pure else poisson_count_for_rate(f"lam_{m}", "instance_id", str(m), seed).cast("double")
         drawn = rows.withColumn("member", F.lit(m)).withColumn("_w", F.col(spec.weight) * k).where(F.col("_w") > 0)
         delta = nb.nb_train(drawn, spec, weight="_w")
         if state.stats is not None:
             delta = nb.merge_stats(state.stats.where(F.col("member") == m), delta)
+        # Statistics are a few rows; scoring below reads them twice.
         stats = materialize(delta, f"boost-stats-{m}")
         all_stats.append(stats)
 
         model = nb.nb_model(stats, spec)
         cols = [c for c in model.columns if c != "member"]
         scored = model_join(rows.withColumn("member", F.lit(m)), model, ["member"], spec.model_cells * 24, "instance_id", how="left")
-        scored = nb.votes_from_logs(scored, nb.log_votes(spec), "_votes")
-        hit = argmax_index(F.col("_votes"), n) == spec.class_index(F.col(spec.label))
-        scored = scored.withColumn(f"correct_{m}", F.coalesce(hit, F.lit(False))).drop("_votes", "member", *cols)
-        scored = materialize(scored, f"boost-scored-{m}")
+        scored = with_argmax(nb.votes_from_logs(scored, nb.log_votes(spec)), n, "_best")
+        hit = F.col("_best") == spec.class_index(F.col(spec.label))
+        scored = scored.withColumn(f"correct_{m}", F.coalesce(hit, F.lit(False))).drop("_best", "member", *vote_cols(n), *cols)
 
-        ok = F.col(f"correct_{m}")
         r = running(
             scored,
             "seq",
             [
-                Running("_scms", F.when(ok, lam).otherwise(0.0)),
-                Running("_swms", F.when(ok, F.lit(0.0)).otherwise(lam)),
-                Running("_tw", F.col(spec.weight)),
+                Running("_scms", f"if(correct_{m}, lam_{m}, 0D)"),
+                Running("_swms", f"if(correct_{m}, 0D, lam_{m})"),
+                Running("_tw", spec.weight),
             ],
             bucket_rows=bucket_rows,
         )
-        before = _sums_before(state, m)
-        lam_next = chain_step(lam, ok, F.col("_tw") + before.tw, F.col("_scms") + before.scms, F.col("_swms") + before.swms)
+        b = before.get(m, ChainTotals())
+        lam_next = chain_step(lam, ok, F.col("_tw") + b.tw, F.col("_scms") + b.scms, F.col("_swms") + b.swms)
         rows = materialize(r.withColumn(f"lam_{m + 1}", lam_next).drop("_scms", "_swms", "_tw"), f"boost-rows-{m}")
-        all_sums.append(
-            rows.agg(
-                F.lit(m).alias("member"),
-                (F.lit(before.scms) + F.coalesce(F.sum(F.when(ok, lam)), F.lit(0.0))).alias("scms"),
-                (F.lit(before.swms) + F.coalesce(F.sum(F.when(~ok, lam)), F.lit(0.0))).alias("swms"),
-                (F.lit(before.tw) + F.coalesce(F.sum(spec.weight), F.lit(0.0))).alias("tw"),
-            )
-        )
     stats = all_stats[0]
-    sums = all_sums[0]
     for s in all_stats[1:]:
         stats = stats.unionByName(s)
-    for s in all_sums[1:]:
-        sums = sums.unionByName(s)
-    new_state = BoostState(stats=materialize(stats, "boost-stats"), sums=materialize(sums, "boost-sums"))
-    return new_state, rows.select(*kept, *[c for m in range(ensemble) for c in (f"lam_{m}", f"correct_{m}")], F.col(f"lam_{ensemble}").alias("lam_out"))
+    out = rows.withColumnRenamed(f"lam_{ensemble}", "lam_out")
+    new_state = BoostState(stats=stats, sums=materialize(_sums_after(out, spec.weight, ensemble, before), "boost-sums"))
+    return new_state, out.select(*kept, *[c for m in range(ensemble) for c in (f"lam_{m}", f"correct_{m}")], "lam_out")
 
 
-def _sums_before(state: BoostState, member: int) -> ChainTotals:
-    """Three numbers of one member; they become constants of the next plan."""
+def _sums_before(state: BoostState) -> dict[int, ChainTotals]:
+    """Three numbers per member; they become constants of the next plan."""
     if state.sums is None:
-        return ChainTotals()
-    row = state.sums.where(F.col("member") == member).first()
-    return ChainTotals(row.scms, row.swms, row.tw) if row else ChainTotals()
+        return {}
+    return {r.member: ChainTotals(r.scms, r.swms, r.tw) for r in state.sums.collect()}
+
+
+def _sums_after(rows: DataFrame, weight: str, ensemble: int, before: dict[int, ChainTotals]) -> DataFrame:
+    """Every member's sums after the batch, in one pass over it."""
+    parts = []
+    for m in range(ensemble):
+        b = before.get(m, ChainTotals())
+        parts.append(
+            f"named_struct('member', {m}, 'scms', {b.scms!r}D + coalesce(sum(if(correct_{m}, lam_{m}, 0D)), 0D), "
+            f"'swms', {b.swms!r}D + coalesce(sum(if(correct_{m}, 0D, lam_{m})), 0D), 'tw', {b.tw!r}D + coalesce(sum({weight}), 0D))"
+        )
+    return rows.agg(F.expr(f"array({', '.join(parts)}) AS _m")).selectExpr("inline(_m)")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
+from polyphon.functions.sqlexpr import add, name, text
 
 from polyphon.operators import naive_bayes as nb
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running, sliding
+from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
 
 
@@ -45,7 +46,7 @@ def window_evaluator(scored: DataFrame, width: int = 1000, index: str = "seq", b
         scored,
         index,
         width,
-        {"_good": F.sum(F.col("weight") * F.col("correct")), "_all": F.sum("weight")},
+        {"_good": "sum(weight * correct)", "_all": "sum(weight)"},
         bucket_rows=bucket_rows,
     ).withColumn("window_accuracy", F.try_divide(F.col("_good"), F.col("_all"))).drop("_good", "_all")
 
@@ -65,42 +66,42 @@ def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCK
 
     The model before row i is a set of sums over rows 0 … i-1, so one pass of
     exclusive running sums gives every row its own model; the vote is then
-    arithmetic on the row. Adds ``votes`` (all zero for the first row).
+    arithmetic on the row. Adds the vote vector (all zero for the first row).
     """
-    w = F.col(spec.weight)
+    w, label = name(spec.weight), name(spec.label)
     aggs = []
     for i, c in enumerate(spec.classes):
-        mine = F.col(spec.label) == F.lit(c)
-        aggs.append(Running(f"_n_{i}", F.when(mine, w).otherwise(0.0)))
+        mine = f"{label} = {text(c)}"
+        aggs.append(Running(f"_n_{i}", f"if({mine}, {w}, 0D)"))
         for j, a in enumerate(spec.numeric):
-            x = F.col(a)
+            x = name(a)
+            seen = f"{mine} AND {x} IS NOT NULL"
             aggs += [
-                Running(f"_w_{i}_{j}", F.when(mine & x.isNotNull(), w).otherwise(0.0)),
-                Running(f"_wx_{i}_{j}", F.when(mine & x.isNotNull(), w * x).otherwise(0.0)),
-                Running(f"_wxx_{i}_{j}", F.when(mine & x.isNotNull(), w * x * x).otherwise(0.0)),
+                Running(f"_w_{i}_{j}", f"if({seen}, {w}, 0D)"),
+                Running(f"_wx_{i}_{j}", f"if({seen}, {w} * {x}, 0D)"),
+                Running(f"_wxx_{i}_{j}", f"if({seen}, {w} * {x} * {x}, 0D)"),
             ]
         for j, (a, values) in enumerate(spec.nominal.items()):
             for k, v in enumerate(values):
-                aggs.append(Running(f"_c_{i}_{j}_{k}", F.when(mine & (F.col(a) == v), w).otherwise(0.0)))
-    kept = instances.columns
+                aggs.append(Running(f"_c_{i}_{j}_{k}", f"if({mine} AND {name(a)} = {text(v)}, {w}, 0D)"))
+    kept = [name(c) for c in instances.columns]
     state = running(instances, "seq", aggs, exclusive=True, bucket_rows=bucket_rows)
-    n = F.col("_n_0")
-    for i in range(1, len(spec.classes)):
-        n = n + F.col(f"_n_{i}")
-    state = state.withColumn("_n", n)
-    logs: list[Column] = []
+    moments = {"_n": " + ".join(f"_n_{i}" for i in range(len(spec.classes)))}
     for i in range(len(spec.classes)):
-        ni = F.col(f"_n_{i}")
-        total = F.when(ni > 0, F.log(ni / F.col("_n")))
+        for j in range(len(spec.numeric)):
+            mu, var = nb.gaussian(f"nullif(_w_{i}_{j}, 0D)", f"_wx_{i}_{j}", f"_wxx_{i}_{j}")
+            moments |= {f"_mu_{i}_{j}": mu, f"_var_{i}_{j}": var}
+    # A step of its own: mean and variance are used several times below.
+    state = add(state, moments)
+    logs = []
+    for i in range(len(spec.classes)):
+        terms = [f"if(_n_{i} > 0, ln(_n_{i} / _n), NULL)"]
         for j, a in enumerate(spec.numeric):
-            wj = F.nullif(F.col(f"_w_{i}_{j}"), F.lit(0.0))
-            mu, var = nb.gaussian(wj, F.col(f"_wx_{i}_{j}"), F.col(f"_wxx_{i}_{j}"))
-            d = F.col(a) - mu
-            total = total + F.coalesce(F.lit(-0.5) * F.log(F.lit(2 * math.pi) * var) - d * d / (F.lit(2.0) * var), F.lit(0.0))
+            d = f"({name(a)} - _mu_{i}_{j})"
+            terms.append(f"coalesce(-0.5D * ln({nb.TWO_PI} * _var_{i}_{j}) - {d} * {d} / (2D * _var_{i}_{j}), 0D)")
         for j, (a, values) in enumerate(spec.nominal.items()):
-            seen = F.lit(0.0)
-            for k, v in enumerate(values):
-                seen = F.when(F.col(a) == v, F.col(f"_c_{i}_{j}_{k}")).otherwise(seen)
-            total = total + F.when(F.col(a).isNull(), F.lit(0.0)).otherwise(F.log((seen + 1.0) / (ni + float(len(values)))))
-        logs.append(total)
-    return nb.votes_from_logs(state, logs).select(*kept, "votes")
+            arms = " ".join(f"WHEN {text(v)} THEN _c_{i}_{j}_{k}" for k, v in enumerate(values))
+            seen = f"CASE {name(a)} {arms} ELSE 0D END" if values else "0D"
+            terms.append(f"if({name(a)} IS NULL, 0D, ln(({seen} + 1D) / (_n_{i} + {len(values)}D)))")
+        logs.append(" + ".join(terms))
+    return nb.votes_from_logs(state, logs).selectExpr(*kept, *vote_cols(len(spec.classes)))

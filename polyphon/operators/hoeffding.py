@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from polyphon.operators.lookup import model_join
 from polyphon.operators.naive_bayes import CLASS_ATTR
+from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
 
 NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, is_leaf boolean"
@@ -211,7 +212,6 @@ def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_byte
     A leaf that saw nothing votes zero everywhere.
     """
     per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) for c in spec.classes]
-    leaf = stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(F.array(*per_class).alias("votes"))
+    leaf = stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(*[c.alias(v) for c, v in zip(per_class, vote_cols(len(spec.classes)))])
     out = model_join(routed, leaf, ["member", "node_id"], node_bytes, "instance_id", how="left")
-    zero = F.array(*[F.lit(0.0) for _ in spec.classes])
-    return out.withColumn("votes", F.coalesce("votes", zero))
+    return out.withColumns({v: F.coalesce(v, F.lit(0.0)) for v in vote_cols(len(spec.classes))})

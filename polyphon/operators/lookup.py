@@ -63,7 +63,7 @@ def version_asof(messages: DataFrame, versions: DataFrame, pending: int = 100, b
     tagged = messages.withColumn("_kind", F.lit(1))
     both = tagged.unionByName(effective, allowMissingColumns=True)
     carried = running(
-        both, "seq", [Running("_adopted", F.col("_pub"), how="max")], bucket_rows=bucket_rows, tie=[F.col("_kind")]
+        both, "seq", [Running("_adopted", "_pub", how="max")], bucket_rows=bucket_rows, tie=["_kind"]
     )
     return (
         carried.where((F.col("_kind") == 1) & F.col("_adopted").isNotNull())

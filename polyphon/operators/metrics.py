@@ -75,10 +75,10 @@ def first_later(moments: DataFrame, key: str, gap_ms: int) -> DataFrame:
     seen = running(
         rows.unionByName(probes),
         "_down",
-        [Running("_best", F.when(F.col("_probe") == 0, F.col("_down")), how="max")],
+        [Running("_best", "CASE WHEN _probe = 0 THEN _down END", how="max")],
         keys=[key],
         # At one time the probe comes first: it must not see its own moment.
-        tie=[F.col("_probe").desc()],
+        tie=["_probe DESC"],
     )
     return seen.where(F.col("_probe") == 1).select(
         key, (-F.col("_down") - gap_ms).alias("ts_ms"), (-F.col("_best")).alias("_next_ms")
@@ -119,7 +119,7 @@ def emit_latency(votes: DataFrame, combiner: str, order: str, every: int = 10_00
     r = running(
         votes.select(combiner, order, "delay_ms"),
         order,
-        [Running("n", F.lit(1).cast("long")), Running("_sum", F.col("delay_ms"))],
+        [Running("n", "1L"), Running("_sum", "delay_ms")],
         keys=[combiner],
         bucket_rows=bucket_rows,
     )

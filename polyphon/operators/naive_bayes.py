@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from polyphon.functions.sqlexpr import add, name, text
 from polyphon.operators.lookup import model_join
 from polyphon.sources.instances import FeatureSpec
 
 VARIANCE_FLOOR = 1e-9
+TWO_PI = f"{2 * math.pi!r}D"
 CLASS_ATTR = "#class"
 STAT_COLUMNS = ["member", "label", "attr", "value", "w", "wx", "wxx"]
 # Above this many nominal values the one-pass form would build too many sums.
@@ -39,48 +41,22 @@ def nb_train(weighted: DataFrame, spec: FeatureSpec, weight: str = "w", keys: tu
     return _train_per_attribute(weighted, spec, weight, keys)
 
 
-def _numeric_sums(spec: FeatureSpec, w: Column) -> list[Column]:
-    sums = [F.sum(w).alias("_n")]
-    for a in spec.numeric:
-        x = F.col(a)
-        sums += [
-            F.sum(F.when(x.isNotNull(), w)).alias(f"_w_{a}"),
-            F.sum(w * x).alias(f"_wx_{a}"),
-            F.sum(w * x * x).alias(f"_wxx_{a}"),
-        ]
-    return sums
-
-
-def _long_rows(spec: FeatureSpec, nominal: list[Column]) -> Column:
-    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
-    rows = [F.struct(F.lit(CLASS_ATTR).alias("attr"), none_s.alias("value"), F.col("_n").alias("w"), none_d.alias("wx"), none_d.alias("wxx"))]
-    for a in spec.numeric:
-        rows.append(
-            F.struct(
-                F.lit(a).alias("attr"), none_s.alias("value"), F.col(f"_w_{a}").alias("w"),
-                F.col(f"_wx_{a}").alias("wx"), F.col(f"_wxx_{a}").alias("wxx"),
-            )
-        )
-    return F.explode(F.filter(F.array(*rows, *nominal), lambda r: r["w"].isNotNull()))
-
-
 def _train_one_pass(weighted: DataFrame, spec: FeatureSpec, weight: str, keys: tuple[str, ...]) -> DataFrame:
     """One aggregation: nominal counts are conditional sums over declared values."""
-    w = F.col(weight)
-    sums = _numeric_sums(spec, w)
-    none_d = F.lit(None).cast("double")
-    nominal = []
+    w = name(weight)
+    row = "named_struct('attr', {}, 'value', {}, 'w', {}, 'wx', {}, 'wxx', {})".format
+    null_s, null_d = "cast(NULL AS STRING)", "cast(NULL AS DOUBLE)"
+    rows = [row(text(CLASS_ATTR), null_s, f"sum({w})", null_d, null_d)]
+    for a in spec.numeric:
+        x = name(a)
+        rows.append(row(text(a), null_s, f"sum(if({x} IS NOT NULL, {w}, NULL))", f"sum({w} * {x})", f"sum({w} * {x} * {x})"))
     for a, values in spec.nominal.items():
-        for i, v in enumerate(values):
-            sums.append(F.sum(F.when(F.col(a) == F.lit(v), w)).alias(f"_nom_{a}_{i}"))
-            nominal.append(
-                F.struct(
-                    F.lit(a).alias("attr"), F.lit(v).alias("value"), F.col(f"_nom_{a}_{i}").alias("w"),
-                    none_d.alias("wx"), none_d.alias("wxx"),
-                )
-            )
-    wide = weighted.groupBy(*keys, spec.label).agg(*sums)
-    return wide.select(*keys, F.col(spec.label).alias("label"), _long_rows(spec, nominal).alias("s")).select(*keys, "label", "s.*")
+        for v in values:
+            rows.append(row(text(a), text(v), f"sum(if({name(a)} = {text(v)}, {w}, NULL))", null_d, null_d))
+    # A cell that no row fell into has no weight.
+    cells = F.expr(f"filter(array({', '.join(rows)}), r -> r.w IS NOT NULL) AS _cells")
+    wide = weighted.groupBy(*keys, spec.label).agg(cells)
+    return wide.selectExpr(*keys, f"{name(spec.label)} AS label", "inline(_cells)")
 
 
 def _train_per_attribute(weighted: DataFrame, spec: FeatureSpec, weight: str, keys: tuple[str, ...]) -> DataFrame:
@@ -146,70 +122,70 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
     ``nv_i_a`` (log probability by value) plus ``nd_i_a`` (of an unseen value)
     for each nominal one.
     """
-    is_class = F.col("attr") == CLASS_ATTR
-    aggs = [F.sum(F.when(is_class, F.col("w"))).alias("_n")]
+    k = ", ".join(keys)
+    is_class = f"attr = {text(CLASS_ATTR)}"
+    sums = [f"sum(if({is_class}, w, NULL)) AS _n"]
     for i, c in enumerate(spec.classes):
-        mine = F.col("label") == F.lit(c)
-        aggs.append(F.sum(F.when(is_class & mine, F.col("w"))).alias(f"_n_{i}"))
+        mine = f"label = {text(c)}"
+        sums.append(f"sum(if({mine} AND {is_class}, w, NULL)) AS _n_{i}")
         for j, a in enumerate(spec.numeric):
-            here = mine & (F.col("attr") == a)
-            for m in ("w", "wx", "wxx"):
-                aggs.append(F.sum(F.when(here, F.col(m))).alias(f"_{m}_{i}_{j}"))
+            here = f"{mine} AND attr = {text(a)}"
+            sums += [f"sum(if({here}, {m}, NULL)) AS _{m}_{i}_{j}" for m in ("w", "wx", "wxx")]
         for j, (a, values) in enumerate(spec.nominal.items()):
-            for k, v in enumerate(values):
-                aggs.append(F.sum(F.when(mine & (F.col("attr") == a) & (F.col("value") == v), F.col("w"))).alias(f"_c_{i}_{j}_{k}"))
-    wide = stats.groupBy(*keys).agg(*aggs)
-    out: list[Column] = []
+            here = f"{mine} AND attr = {text(a)}"
+            sums += [f"sum(if({here} AND value = {text(v)}, w, NULL)) AS _c_{i}_{j}_{n}" for n, v in enumerate(values)]
+    wide = stats.groupBy(*keys).agg(F.expr(f"struct({', '.join(sums)}) AS _s")).selectExpr(k, "_s.*")
+
+    moments = {}
     for i in range(len(spec.classes)):
-        n = F.col(f"_n_{i}")
-        out.append(F.when(n > 0, F.log(n / F.col("_n"))).alias(f"lp_{i}"))
-        for j, a in enumerate(spec.numeric):
-            mu, var = gaussian(F.col(f"_w_{i}_{j}"), F.col(f"_wx_{i}_{j}"), F.col(f"_wxx_{i}_{j}"))
+        for j in range(len(spec.numeric)):
+            mu, var = gaussian(f"_w_{i}_{j}", f"_wx_{i}_{j}", f"_wxx_{i}_{j}")
+            moments |= {f"mu_{i}_{j}": mu, f"_var_{i}_{j}": var}
+    out = [k]
+    for i in range(len(spec.classes)):
+        out.append(f"if(_n_{i} > 0, ln(_n_{i} / _n), NULL) AS lp_{i}")
+        for j in range(len(spec.numeric)):
             out += [
-                mu.alias(f"mu_{i}_{j}"),
-                (F.lit(1.0) / (F.lit(2.0) * var)).alias(f"iv_{i}_{j}"),
-                (F.lit(-0.5) * F.log(F.lit(2 * math.pi) * var)).alias(f"lt_{i}_{j}"),
+                f"mu_{i}_{j}",
+                f"1D / (2D * _var_{i}_{j}) AS iv_{i}_{j}",
+                f"-0.5D * ln({TWO_PI} * _var_{i}_{j}) AS lt_{i}_{j}",
             ]
         for j, (a, values) in enumerate(spec.nominal.items()):
-            total = F.coalesce(n, F.lit(0.0)) + F.lit(float(len(values)))
-            pairs = []
-            for k, v in enumerate(values):
-                pairs += [F.lit(v), F.log((F.coalesce(F.col(f"_c_{i}_{j}_{k}"), F.lit(0.0)) + 1.0) / total)]
-            out += [F.create_map(*pairs).alias(f"nv_{i}_{j}"), F.log(F.lit(1.0) / total).alias(f"nd_{i}_{j}")]
-    return wide.select(*keys, *out)
-
-
-def gaussian(w: Column, wx: Column, wxx: Column) -> tuple[Column, Column]:
-    """Mean and sample variance (floored) of weighted sums."""
-    mu = wx / w
-    var = F.when(w > 1, F.greatest((wxx - wx * wx / w) / (w - 1), F.lit(VARIANCE_FLOOR))).otherwise(F.lit(VARIANCE_FLOOR))
+            total = f"(coalesce(_n_{i}, 0D) + {len(values)}D)"
+            pairs = ", ".join(f"{text(v)}, ln((coalesce(_c_{i}_{j}_{n}, 0D) + 1D) / {total})" for n, v in enumerate(values))
+            out += [f"map({pairs}) AS nv_{i}_{j}", f"ln(1D / {total}) AS nd_{i}_{j}"]
+    return (add(wide, moments) if moments else wide).selectExpr(*out)
+
+
+def gaussian(w: str, wx: str, wxx: str) -> tuple[str, str]:
+    """Mean and sample variance (floored) of weighted sums, as SQL text."""
+    mu = f"{wx} / {w}"
+    var = f"if({w} > 1, greatest(({wxx} - {wx} * {wx} / {w}) / ({w} - 1), {VARIANCE_FLOOR}D), {VARIANCE_FLOOR}D)"
     return mu, var
 
 
-def log_votes(spec: FeatureSpec) -> list[Column]:
-    """Log vote of each class for a row that carries instance and model columns."""
+def log_votes(spec: FeatureSpec) -> list[str]:
+    """Log vote of each class (SQL text) for a row that carries instance and model columns."""
     logs = []
     for i in range(len(spec.classes)):
-        total = F.col(f"lp_{i}")
+        terms = [f"lp_{i}"]
         for j, a in enumerate(spec.numeric):
-            d = F.col(a) - F.col(f"mu_{i}_{j}")
+            d = f"({name(a)} - mu_{i}_{j})"
             # A missing value, or an attribute never seen with the class, says nothing.
-            total = total + F.coalesce(F.col(f"lt_{i}_{j}") - d * d * F.col(f"iv_{i}_{j}"), F.lit(0.0))
+            terms.append(f"coalesce(lt_{i}_{j} - {d} * {d} * iv_{i}_{j}, 0D)")
         for j, a in enumerate(spec.nominal):
-            known = F.col(f"nv_{i}_{j}")[F.col(a)]
-            total = total + F.when(F.col(a).isNull(), F.lit(0.0)).otherwise(F.coalesce(known, F.col(f"nd_{i}_{j}")))
-        logs.append(total)
+            known = f"coalesce(try_element_at(nv_{i}_{j}, {name(a)}), nd_{i}_{j})"
+            terms.append(f"if({name(a)} IS NULL, 0D, {known})")
+        logs.append(" + ".join(terms))
     return logs
 
 
-def votes_from_logs(df: DataFrame, logs: list[Column], name: str = "votes") -> DataFrame:
-    """Vote vector ``exp(log - max log)``; 0 for a class never seen in training."""
+def votes_from_logs(df: DataFrame, logs: list[str]) -> DataFrame:
+    """Add the vote vector ``exp(log - max log)``; 0 for a class never seen in training."""
     tmp = [f"_log_{i}" for i in range(len(logs))]
-    staged = df.withColumns({t: c for t, c in zip(tmp, logs)})
-    top = F.greatest(*[F.col(t) for t in tmp]) if len(tmp) > 1 else F.col(tmp[0])
-    staged = staged.withColumn("_top", top)
-    vote = F.array(*[F.coalesce(F.exp(F.col(t) - F.col("_top")), F.lit(0.0)) for t in tmp])
-    return staged.withColumn(name, vote).drop(*tmp, "_top")
+    staged = add(df, dict(zip(tmp, logs)))
+    staged = add(staged, {"_top": f"greatest({', '.join(tmp)})" if len(tmp) > 1 else tmp[0]})
+    return add(staged, {f"v_{i}": f"coalesce(exp({t} - _top), 0D)" for i, t in enumerate(tmp)}).drop(*tmp, "_top")
 
 
 def member_votes(

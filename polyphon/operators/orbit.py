@@ -25,10 +25,10 @@ def orbit(nodes: DataFrame, keys: list[str], pos: str, nxt: str) -> DataFrame:
     there = nodes.select(*keys, F.col(pos).alias("_n"), F.lit(True).alias("_there"))
     jumps = jumps.join(there, [*keys, "_n"], "left")
     jumps = materialize(jumps.select(*keys, "_p", F.when(F.col("_there"), F.col("_n")).alias("_n")), "orbit-jumps")
-    reached = jumps.groupBy(*keys).agg(F.min("_p").alias("_p"))
-    reached = materialize(reached, "orbit-reached")
+    reached = materialize(jumps.groupBy(*keys).agg(F.min("_p").alias("_p")), "orbit-reached")
     while True:
         # Chain members found so far are the first 2^i steps; jumps go 2^i far.
+        # Each round adds one written table, so the union stays short.
         step = (
             reached.join(jumps, [*keys, "_p"])
             .where(F.col("_n").isNotNull())
@@ -37,7 +37,7 @@ def orbit(nodes: DataFrame, keys: list[str], pos: str, nxt: str) -> DataFrame:
         step = materialize(step, "orbit-step")
         if step.isEmpty():
             break
-        reached = materialize(reached.unionByName(step), "orbit-reached")
+        reached = reached.unionByName(step)
         far = jumps.select(*keys, F.col("_p").alias("_n"), F.col("_n").alias("_far"))
         jumps = materialize(
             jumps.where(F.col("_n").isNotNull()).join(far, [*keys, "_n"]).where(F.col("_far").isNotNull())

@@ -12,32 +12,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-BUCKET_ROWS = 4096
+from pyspark.sql import DataFrame, functions as F
 
+from polyphon.functions.sqlexpr import add, name
 
-def range_of(order: str, size: int) -> Column:
-    """Whole-number range of a stream number; exact for all 64-bit numbers."""
-    return F.expr(f"`{order}` div {size}L")
+BUCKET_ROWS = 4096
 
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: the output name, its input and how to combine."""
+    """One running aggregate: output name, input (SQL text) and how to combine."""
 
     name: str
-    value: Column
+    value: str
     how: str = "sum"  # "sum" or "max"
 
-    def agg(self, c: Column) -> Column:
-        return F.sum(c) if self.how == "sum" else F.max(c)
-
-    def merge(self, before: Column, here: Column) -> Column:
+    def merge(self, before: str, here: str) -> str:
         if self.how == "max":
-            return F.greatest(before, here)
-        # Null + null stays null for sums over nothing; callers see 0 instead.
-        return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+            return f"greatest({before}, {here})"
+        # A sum over nothing is 0 for the caller.
+        return f"coalesce({before}, 0) + coalesce({here}, 0)"
+
+
+def range_of(order: str, size: int) -> str:
+    """Whole-number range of a stream number; exact for all 64-bit numbers."""
+    return f"{name(order)} div {size}L"
 
 
 def running(
@@ -47,44 +46,36 @@ def running(
     keys: list[str] | None = None,
     exclusive: bool = False,
     bucket_rows: int = BUCKET_ROWS,
-    tie: list[Column] | None = None,
+    tie: list[str] | None = None,
 ) -> DataFrame:
     """Append running aggregates in ``order`` (a whole number, unique per key).
 
     ``keys`` start separate streams. ``exclusive`` leaves out the current row.
-    ``tie`` orders the few rows that share one number.
+    ``tie`` (SQL text) orders the few rows that share one number.
 
     The source is read twice (rows, and range totals that combine map-side), so
     an expensive source should be written out first.
     """
-    kept = df.columns
-    prepared = df.withColumn("_bucket", range_of(order, bucket_rows))
+    kept = [name(c) for c in df.columns]
+    steps = {"_bucket": range_of(order, bucket_rows)}
     # The keys travel as one struct, which is never null itself: plain equality
     # then also matches null keys, and window and join share one shuffle.
     if keys:
-        prepared = prepared.withColumn("_key", F.struct(*keys))
+        steps["_key"] = f"struct({', '.join(name(k) for k in keys)})"
     keys = ["_key"] if keys else []
-    for i, a in enumerate(aggs):
-        prepared = prepared.withColumn(f"_in{i}", a.value)
-
-    upto = -1 if exclusive else Window.currentRow
-    w = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(F.col(order), *(tie or []))
-        .rowsBetween(Window.unboundedPreceding, upto)
-    )
-    rows = prepared
-    for i, a in enumerate(aggs):
-        rows = rows.withColumn(f"_run{i}", a.agg(F.col(f"_in{i}")).over(w))
+    prepared = add(df, steps | {f"_in{i}": a.value for i, a in enumerate(aggs)})
 
-    totals = prepared.groupBy(*keys, "_bucket").agg(*[a.agg(F.col(f"_in{i}")).alias(f"_tot{i}") for i, a in enumerate(aggs)])
+    part = ", ".join([*keys, "_bucket"])
+    by = ", ".join([name(order), *(tie or [])])
+    upto = "1 PRECEDING" if exclusive else "CURRENT ROW"
+    over = f"OVER (PARTITION BY {part} ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
+    rows = prepared.selectExpr(*kept, *keys, "_bucket", *[f"{a.how}(_in{i}) {over} AS _run{i}" for i, a in enumerate(aggs)])
+
+    totals = prepared.groupBy(*keys, "_bucket").agg(*[F.expr(f"{a.how}(_in{i}) AS _tot{i}") for i, a in enumerate(aggs)])
     offsets = _bucket_offsets(totals, aggs, keys, bucket_rows)
 
     joined = rows.join(offsets, [*keys, "_bucket"], "left")
-    return joined.select(
-        *kept,
-        *[a.merge(F.col(f"_off{i}"), F.col(f"_run{i}")).alias(a.name) for i, a in enumerate(aggs)],
-    )
+    return joined.selectExpr(*kept, *[f"{a.merge(f'_off{i}', f'_run{i}')} AS {name(a.name)}" for i, a in enumerate(aggs)])
 
 
 def _bucket_offsets(totals: DataFrame, aggs: list[Running], keys: list[str], fan: int) -> DataFrame:
@@ -92,55 +83,37 @@ def _bucket_offsets(totals: DataFrame, aggs: list[Running], keys: list[str], fan
 
     With n rows the top window sees n / bucket_rows² totals per key.
     """
-    leveled = totals.withColumn("_group", range_of("_bucket", fan))
-    before = (
-        Window.partitionBy(*keys, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = leveled
-    for i, a in enumerate(aggs):
-        local = local.withColumn(f"_loc{i}", a.agg(F.col(f"_tot{i}")).over(before))
-    top = leveled.groupBy(*keys, "_group").agg(*[a.agg(F.col(f"_tot{i}")).alias(f"_gt{i}") for i, a in enumerate(aggs)])
-    # An unkeyed stream has one top group per bucket_rows² rows; a constant key
-    # states plainly that this small remainder is one window.
-    top_w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    for i, a in enumerate(aggs):
-        top = top.withColumn(f"_up{i}", a.agg(F.col(f"_gt{i}")).over(top_w))
+    leveled = add(totals, {"_group": range_of("_bucket", fan)})
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    over = f"OVER (PARTITION BY {', '.join([*keys, '_group'])} ORDER BY _bucket {frame})"
+    local = leveled.selectExpr(*keys, "_group", "_bucket", *[f"{a.how}(_tot{i}) {over} AS _loc{i}" for i, a in enumerate(aggs)])
+    top = leveled.groupBy(*keys, "_group").agg(*[F.expr(f"{a.how}(_tot{i}) AS _gt{i}") for i, a in enumerate(aggs)])
+    # An unkeyed stream has one top group per bucket_rows² rows: this small
+    # remainder is one window, and a constant key says so.
+    top_over = f"OVER (PARTITION BY {keys[0] if keys else '0'} ORDER BY _group {frame})"
+    top = top.selectExpr(*keys, "_group", *[f"{a.how}(_gt{i}) {top_over} AS _up{i}" for i, a in enumerate(aggs)])
     joined = local.join(top, [*keys, "_group"], "left")
-    return joined.select(
-        *keys,
-        "_bucket",
-        *[a.merge(F.col(f"_up{i}"), F.col(f"_loc{i}")).alias(f"_off{i}") for i, a in enumerate(aggs)],
-    )
+    return joined.selectExpr(*keys, "_bucket", *[f"{a.merge(f'_up{i}', f'_loc{i}')} AS _off{i}" for i, a in enumerate(aggs)])
 
 
-def sliding(
-    df: DataFrame,
-    index: str,
-    width: int,
-    aggs: dict[str, Column],
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
+def sliding(df: DataFrame, index: str, width: int, aggs: dict[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Aggregates over the last ``width`` rows by ``index`` (a gapless row number).
 
     Each range of rows also gets a copy of the ``width - 1`` rows before it, so
-    one windowed pass is enough. ``aggs`` maps a name to an aggregate column.
+    one windowed pass is enough. ``aggs`` maps a name to an aggregate (SQL text).
     """
     size = max(bucket_rows, width)
-    kept = df.columns
-    home = range_of(index, size)
-    spill = F.pmod(F.col(index), F.lit(size)) >= F.lit(size - (width - 1))
-    copies = df.withColumn("_home", home).withColumn(
-        "_bucket", F.explode(F.when(spill, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home"))))
+    kept = [name(c) for c in df.columns]
+    homed = add(df, {"_home": range_of(index, size)})
+    # The last width - 1 rows of a range are copied into the next one.
+    copies = add(
+        homed, {"_bucket": f"explode(if(pmod({name(index)}, {size}) >= {size - (width - 1)}, array(_home, _home + 1), array(_home)))"}
     )
-    w = Window.partitionBy("_bucket").orderBy(index).rowsBetween(-(width - 1), Window.currentRow)
-    out = copies
-    for name, agg in aggs.items():
-        out = out.withColumn(name, agg.over(w))
-    return out.where(F.col("_bucket") == F.col("_home")).select(*kept, *aggs.keys())
+    over = f"OVER (PARTITION BY _bucket ORDER BY {name(index)} ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
+    out = copies.selectExpr(*kept, "_home", "_bucket", *[f"{agg} {over} AS {name(n)}" for n, agg in aggs.items()])
+    return out.where("_bucket = _home").drop("_home", "_bucket")
 
 
 def row_index(df: DataFrame, order: str, keys: list[str] | None = None, name: str = "row_idx", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Gapless row number from 0 in ``order``, per key."""
-    return running(df, order, [Running(name, F.lit(1).cast("long"))], keys=keys, bucket_rows=bucket_rows).withColumn(
-        name, F.col(name) - 1
-    )
+    return running(df, order, [Running(name, "1L")], keys=keys, bucket_rows=bucket_rows).withColumn(name, F.col(name) - 1)

@@ -38,7 +38,7 @@ def message_id(messages: DataFrame, source: str, order: str, bucket_rows: int =
 
     A source with a third of all messages is still cut into bounded ranges.
     """
-    return running(messages, order, [Running("msg_seq", F.lit(1).cast("long"))], keys=[source], bucket_rows=bucket_rows)
+    return running(messages, order, [Running("msg_seq", "1L")], keys=[source], bucket_rows=bucket_rows)
 
 
 def ensemble_fanout(instances: DataFrame, ensemble: int) -> DataFrame:

@@ -91,16 +91,16 @@ def restore_all_or_nothing(members: DataFrame, part_sizes: DataFrame) -> DataFra
     )
 
 
-def model_replace(stream: DataFrame, is_reset: Column, order: str = "seq") -> DataFrame:
+def model_replace(stream: DataFrame, is_reset: str, order: str = "seq") -> DataFrame:
     """Rows the current model was trained on: those after the last replacement.
 
     Only the position of the last replacement matters, which is one maximum; the
     filter then prunes the scan. Replacement rows themselves train nothing.
     """
     last = stream.where(is_reset).agg(F.coalesce(F.max(order), F.lit(-1).cast("long")).alias("last"))
-    return stream.where(F.col(order) > last.scalar()).where(~is_reset)
+    return stream.where(F.col(order) > last.scalar()).where(f"NOT ({is_reset})")
 
 
-def epochs(stream: DataFrame, is_reset: Column, order: str = "seq") -> DataFrame:
-    """Number of replacements up to and including each row."""
-    return running(stream, order, [Running("epoch", F.when(is_reset, 1).otherwise(0).cast("long"))])
+def epochs(stream: DataFrame, is_reset: str, order: str = "seq") -> DataFrame:
+    """Number of replacements (rows where the SQL condition holds) up to each row."""
+    return running(stream, order, [Running("epoch", f"CASE WHEN {is_reset} THEN 1L ELSE 0L END")])

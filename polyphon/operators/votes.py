@@ -1,46 +1,51 @@
 """Vote vectors: normalise, weight, add up, combine, choose.
 
-A vote vector is an array of doubles in class order, so one grouped sum per
-class adds whole vectors and a shuffle carries one row per instance and part,
-not one per class. Members of an instance come from the same input row, so the
-partial sums meet before the shuffle.
+A vote vector is one double column per class, ``v_0 … v_{n-1}`` in class order.
+One grouped sum per column adds whole vectors, and a shuffle carries one row per
+instance and part, not one per class. Members of an instance come from the same
+input row, so the partial sums meet before the shuffle.
+
+Intermediate values are columns of their own steps (``add``). Catalyst
+keeps a step whose columns are used several times, so a vote is worked out once
+per row; filters on votes stand behind an aggregation, where they cannot be
+pushed down to work everything out a second time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from polyphon.functions.sqlexpr import add, replace, text
 from polyphon.operators.lookup import model_join
 
 
-def vector_sum(votes: Column, n_classes: int) -> Column:
-    total = votes[0]
-    for i in range(1, n_classes):
-        total = total + votes[i]
-    return total
+def vote_cols(n_classes: int) -> list[str]:
+    return [f"v_{i}" for i in range(n_classes)]
 
 
-def normalized(votes: Column, n_classes: int) -> Column:
+def vector_sum(n_classes: int) -> str:
+    return " + ".join(vote_cols(n_classes))
+
+
+def vote_normalize(df: DataFrame, n_classes: int) -> DataFrame:
     """Divide by the sum when it is positive, else leave the vector as it is."""
-    total = vector_sum(votes, n_classes)
-    return F.when(total > 0, F.array(*[votes[i] / total for i in range(n_classes)])).otherwise(votes)
+    summed = add(df, {"_sum": vector_sum(n_classes)})
+    divided = add(summed, {"_total": "if(_sum > 0, _sum, 1D)"}).drop("_sum")
+    return replace(divided, {v: f"{v} / _total" for v in vote_cols(n_classes)}).drop("_total")
 
 
-def vote_normalize(df: DataFrame, n_classes: int, col: str = "votes") -> DataFrame:
-    return df.withColumn(col, normalized(F.col(col), n_classes))
+def add_vectors(n_classes: int) -> list[Column]:
+    """Aggregates: element-wise sum of vote vectors."""
+    return [F.sum(v).alias(v) for v in vote_cols(n_classes)]
 
 
-def add_vectors(votes: Column, n_classes: int) -> Column:
-    """Aggregate: element-wise sum of vote vectors."""
-    return F.array(*[F.sum(votes[i]) for i in range(n_classes)])
+def count_votes() -> Column:
+    return F.count(F.lit(1)).cast("int").alias("n_votes")
 
 
 def bag_partial_votes(votes: DataFrame, n_classes: int) -> DataFrame:
     """Per instance and part: sum of normalised votes and number of members."""
-    v = vote_normalize(votes, n_classes)
-    return v.groupBy("instance_id", "part").agg(
-        add_vectors(F.col("votes"), n_classes).alias("votes"), F.count(F.lit(1)).cast("int").alias("n_votes")
-    )
+    return vote_normalize(votes, n_classes).groupBy("instance_id", "part").agg(*add_vectors(n_classes), count_votes())
 
 
 def boost_member_weight(scms: Column, swms: Column) -> Column:
@@ -59,17 +64,11 @@ def boost_partial_votes(votes: DataFrame, member_weights: DataFrame, n_classes:
     Members with weight ≤ 0 or a zero vote add nothing, but still count.
     ``member_weights`` has ``member, weight``.
     """
-    weights = member_weights.select("member", F.col("weight").alias("_mw"))
+    weights = member_weights.select("member", F.greatest(F.col("weight"), F.lit(0.0)).alias("_mw"))
     v = model_join(votes, weights, ["member"], ensemble * 16, "instance_id", how="left")
-    usable = (F.col("_mw") > 0) & (vector_sum(F.col("votes"), n_classes) > 0)
-    v = v.withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    v = vote_normalize(v, n_classes)
-    return v.groupBy("instance_id", "part").agg(
-        F.array(
-            *[F.sum(F.when(F.col("_ok"), F.col("votes")[i] * F.col("_mw")).otherwise(F.lit(0.0))) for i in range(n_classes)]
-        ).alias("votes"),
-        F.count(F.lit(1)).cast("int").alias("n_votes"),
-    )
+    v = vote_normalize(v, n_classes).withColumn("_mw", F.coalesce(F.col("_mw"), F.lit(0.0)))
+    v = replace(v, {c: f"{c} * _mw" for c in vote_cols(n_classes)})
+    return v.groupBy("instance_id", "part").agg(*add_vectors(n_classes), count_votes())
 
 
 def combine_votes(partials: DataFrame, n_classes: int, mode: str = "flat", ensemble: int | None = None) -> DataFrame:
@@ -82,23 +81,37 @@ def combine_votes(partials: DataFrame, n_classes: int, mode: str = "flat", ensem
     if mode not in ("flat", "hierarchical"):
         raise ValueError(f"unknown mode {mode!r}")
     p = vote_normalize(partials, n_classes) if mode == "hierarchical" else partials
-    out = p.groupBy("instance_id").agg(
-        add_vectors(F.col("votes"), n_classes).alias("votes"), F.sum("n_votes").cast("int").alias("n_votes")
-    )
+    out = p.groupBy("instance_id").agg(*add_vectors(n_classes), F.sum("n_votes").cast("int").alias("n_votes"))
     if ensemble is not None:
         out = out.where(F.col("n_votes") == ensemble)
     return vote_normalize(out, n_classes)
 
 
+def combine_bagged(votes: DataFrame, n_classes: int, mode: str = "flat", ensemble: int | None = None) -> DataFrame:
+    """Member votes → parts → combined vector, in one shuffle.
+
+    The member votes are spread by instance first, so the per-part and the
+    per-instance sums both find their rows in place. A flat combine needs no
+    parts and keeps its map-side sums instead.
+    """
+    if mode == "flat":
+        v = vote_normalize(votes, n_classes)
+        out = v.groupBy("instance_id").agg(*add_vectors(n_classes), count_votes())
+        if ensemble is not None:
+            out = out.where(F.col("n_votes") == ensemble)
+        return vote_normalize(out, n_classes)
+    return combine_votes(bag_partial_votes(votes, n_classes), n_classes, mode, ensemble)
+
+
 def combine_two_stage(partials: DataFrame, n_classes: int, worker: Column, ensemble: int | None = None) -> DataFrame:
     """Parts → workers → one vector, each stage re-normalising what comes in.
 
-    ``worker`` says which worker hosts a part. Both stages group by instance
-    first, so the second needs no shuffle of its own.
+    ``worker`` says which worker hosts a part. The partials are spread by
+    instance once; both stages group by it and need no further shuffle.
     """
     first = vote_normalize(partials.withColumn("worker", worker), n_classes)
     first = first.repartition("instance_id").groupBy("instance_id", "worker").agg(
-        add_vectors(F.col("votes"), n_classes).alias("votes"), F.sum("n_votes").cast("int").alias("n_votes")
+        *add_vectors(n_classes), F.sum("n_votes").cast("int").alias("n_votes")
     )
     return combine_votes(first, n_classes, mode="hierarchical", ensemble=ensemble)
 
@@ -106,53 +119,46 @@ def combine_two_stage(partials: DataFrame, n_classes: int, worker: Column, ensem
 def flat_combine(votes: DataFrame, n_classes: int, keys: tuple[str, ...] = ("instance_id",), keep_zero: bool = False) -> DataFrame:
     """One-stage combine of member votes.
 
-    Zero-sum votes are dropped, and an instance with only such votes emits
-    nothing; ``keep_zero`` (the commutative combiner) keeps them instead, and
-    gives the plain sum.
+    Zero-sum votes add nothing, and an instance with only such votes emits
+    nothing; ``keep_zero`` (the commutative combiner) emits it, and gives the
+    plain sum.
     """
+    out = vote_normalize(votes, n_classes).groupBy(*keys).agg(*add_vectors(n_classes))
     if keep_zero:
-        v = vote_normalize(votes, n_classes)
-        return v.groupBy(*keys).agg(add_vectors(F.col("votes"), n_classes).alias("votes"))
-    v = votes.where(vector_sum(F.col("votes"), n_classes) > 0)
-    v = vote_normalize(v, n_classes)
-    out = v.groupBy(*keys).agg(add_vectors(F.col("votes"), n_classes).alias("votes"))
-    return vote_normalize(out, n_classes)
+        return out
+    return vote_normalize(out.where(f"{vector_sum(n_classes)} > 0"), n_classes)
 
 
 def complete_only(partials: DataFrame, n_classes: int, ensemble: int) -> DataFrame:
     return combine_votes(partials, n_classes, mode="flat", ensemble=ensemble)
 
 
-def argmax_index(votes: Column, n_classes: int, digits: int = 9) -> Column:
-    """Index of the largest vote, the first one on ties.
+def with_argmax(df: DataFrame, n_classes: int, out: str = "pred_index") -> DataFrame:
+    """Add the index of the largest vote, the first one on ties.
 
-    Votes are compared rounded, so that the order in which Spark added them
-    cannot decide between equal votes.
+    Votes are compared in steps of 1e-9, so that the order in which Spark added
+    them cannot decide between equal votes.
     """
-    r = [F.round(votes[i], digits) for i in range(n_classes)]
-    top = F.greatest(*r) if n_classes > 1 else r[0]
-    out = F.lit(n_classes - 1)
-    for i in range(n_classes - 2, -1, -1):
-        out = F.when(r[i] == top, F.lit(i)).otherwise(out)
-    return out
+    steps = [f"_r_{i}" for i in range(n_classes)]
+    staged = add(df, {r: f"rint({v} * 1e9D)" for r, v in zip(steps, vote_cols(n_classes))})
+    staged = add(staged, {"_r_top": f"greatest({', '.join(steps)})" if n_classes > 1 else steps[0]})
+    arms = " ".join(f"WHEN {r} = _r_top THEN {i}" for i, r in enumerate(steps))
+    return add(staged, {out: f"CASE {arms} END"}).drop(*steps, "_r_top")
 
 
 def positional_votes(batches: DataFrame, n_classes: int) -> DataFrame:
     """Match the vote vectors of whole batches by their place in the list.
 
     ``batches`` has ``batch_id, member, vote_list`` (one vector per instance).
-    Emits ``batch_id, pos, votes, n_votes``.
+    Emits ``batch_id, pos, n_votes`` and the summed vector.
     """
-    rows = batches.select("batch_id", "member", F.posexplode("vote_list").alias("pos", "votes"))
-    rows = vote_normalize(rows, n_classes)
-    return rows.groupBy("batch_id", "pos").agg(
-        add_vectors(F.col("votes"), n_classes).alias("votes"), F.count(F.lit(1)).cast("int").alias("n_votes")
-    )
+    rows = batches.select("batch_id", "member", F.posexplode("vote_list").alias("pos", "_vec"))
+    rows = add(rows, {v: f"_vec[{i}]" for i, v in enumerate(vote_cols(n_classes))}).drop("_vec")
+    return vote_normalize(rows, n_classes).groupBy("batch_id", "pos").agg(*add_vectors(n_classes), count_votes())
 
 
-def long_votes(df: DataFrame, keys: list[str], classes: tuple[str, ...], col: str = "votes", digits: int = 6) -> DataFrame:
+def long_votes(df: DataFrame, keys: list[str], classes: tuple[str, ...], digits: int = 6) -> DataFrame:
     """One row per class, for reports: ``label, vote`` rounded."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("label"), F.round(F.col(col)[i], digits).alias("vote")) for i, c in enumerate(classes)])
-    )
-    return df.select(*keys, pairs.alias("_v")).select(*keys, "_v.label", "_v.vote")
+    pairs = ", ".join(f"named_struct('label', {text(c)}, 'vote', {v})" for c, v in zip(classes, vote_cols(len(classes))))
+    rows = df.selectExpr(*keys, f"inline(array({pairs}))")
+    return rows.withColumn("vote", F.round("vote", digits))

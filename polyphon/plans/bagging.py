@@ -29,7 +29,7 @@ def bag_train(instances: DataFrame, spec: FeatureSpec, ensemble: int, seed: int)
 
 
 def bag_predict(instances: DataFrame, stats: DataFrame, spec: FeatureSpec, ensemble: int) -> DataFrame:
-    """``instance_id, truth, weight, votes, pred`` from the whole ensemble's vote.
+    """``instance_id, truth, weight, pred`` and the combined vote vector.
 
     The label and weight ride along as grouping columns: they depend on the
     instance, so they cost no join back to it.
@@ -39,8 +39,8 @@ def bag_predict(instances: DataFrame, stats: DataFrame, spec: FeatureSpec, ensem
     )
     votes = nb.member_votes(ensemble_fanout(rows, ensemble), nb.nb_model(stats, spec), spec, ensemble)
     combined = vt.flat_combine(votes, len(spec.classes), keys=("instance_id", "truth", "weight"))
-    index = vt.argmax_index(F.col("votes"), len(spec.classes))
-    return combined.withColumn("pred", spec.class_at(index))
+    best = vt.with_argmax(combined, len(spec.classes), "_best")
+    return best.withColumn("pred", spec.class_at(F.col("_best"))).drop("_best")
 
 
 def bag_holdout(instances: DataFrame, spec: FeatureSpec, ensemble: int, seed: int, share: float = 0.8) -> DataFrame:

@@ -11,7 +11,7 @@ from polyphon.operators import naive_bayes as nb
 from polyphon.operators.streams import ensemble_fanout, member_partition
 from polyphon.plans.bagging import bag_train, share_of_stream
 from polyphon.sources.instances import (
-    EVENTS_SPEC, LINEITEM_SPEC, FeatureSpec, complete_header, events_instances, lineitem_instances, read_table,
+    EVENTS_SPEC, LINEITEM_SPEC, FeatureSpec, complete_header, events_instances, lineitem_instances, read_table, spread,
 )
 
 ENSEMBLE = 5
@@ -22,7 +22,7 @@ TRAIN_SHARE = 0.8
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_instances(read_table(spark, sf_dir, "events"))
+    return events_instances(spread(read_table(spark, sf_dir, "events")))
 
 
 @lru_cache(maxsize=64)
@@ -62,7 +62,7 @@ def all_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> Dat
     return nb.member_votes(fanned, nb.nb_model(trained(spark, sf_dir, ensemble), spec), spec, ensemble)
 
 
-def arrives(instance_id: Column, member: Column, seed: int = 11) -> Column:
+def arrives(instance_id: str, member: str, seed: int = 11) -> Column:
     """Whether a vote reaches its combiner: it is lost for about 37 % of the pairs."""
     return hash32(instance_id, member, seed) >= F.lit(poisson_thresholds(1.0)[0])
 
@@ -74,7 +74,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     milliseconds before it arrives.
     """
     inst = events(spark, sf_dir).select("instance_id", "seq", "ts_ms", "x_k")
-    fanned = ensemble_fanout(inst, BOOST).where(arrives(F.col("instance_id"), F.col("member")))
+    fanned = ensemble_fanout(inst, BOOST).where(arrives("instance_id", "member"))
     return fanned.select(
         "instance_id", "member", (F.col("seq") * BOOST + F.col("member")).alias("seq"),
         (F.col("ts_ms") + F.col("member") * 17_000).alias("ts_ms"),

@@ -19,7 +19,7 @@ from polyphon.plans.common import (
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import CHANNEL, COLS, STREAM_FILES
 from polyphon.sources import channels
-from polyphon.sources.instances import lineitem_instances, read_table
+from polyphon.sources.instances import lineitem_instances, read_table, spread
 from polyphon.sources.model_store import ModelStore
 from polyphon.sources.workspace import materialize, new_folder
 from polyphon.streaming import training as tr
@@ -56,7 +56,7 @@ LINE = """line AS MATERIALIZED (SELECT CAST(1.0 AS DOUBLE) AS weight, CAST(0 AS
 )
 def single_train_lineitem(spark, sf_dir):
     """The largest table, which has no key: training needs none."""
-    return stat_rows(nb.single_train(lineitem_instances(read_table(spark, sf_dir, "lineitem")), lineitem_spec(spark, sf_dir)))
+    return stat_rows(nb.single_train(lineitem_instances(spread(read_table(spark, sf_dir, "lineitem"))), lineitem_spec(spark, sf_dir)))
 
 
 @query(
@@ -101,10 +101,6 @@ def trained_count(spark, sf_dir):
 RESET = "(x_k = 0 AND label = 'error')"
 
 
-def _is_reset():
-    return (F.col("x_k") == 0) & (F.col("label") == "error")
-
-
 @query(
     "model_replace",
     q.with_(
@@ -116,7 +112,7 @@ def _is_reset():
 )
 def model_replace(spark, sf_dir):
     """Rows with k = 0 and label error bring a fresh model; training restarts after them."""
-    rows = vs.model_replace(events(spark, sf_dir), _is_reset())
+    rows = vs.model_replace(events(spark, sf_dir), RESET)
     return stat_rows(nb.single_train(rows, events_spec(spark, sf_dir)))
 
 
@@ -127,8 +123,8 @@ def model_replace(spark, sf_dir):
 )
 def model_epochs(spark, sf_dir):
     """Counters of every model the stream has had, one per replacement."""
-    e = vs.epochs(events(spark, sf_dir).select("seq", "x_k", "label", "x_cents"), _is_reset())
-    return e.where(~_is_reset()).groupBy("epoch").agg(F.count(F.lit(1)).alias("trained_n"), F.sum("x_cents").alias("sum_cents"))
+    e = vs.epochs(events(spark, sf_dir).select("seq", "x_k", "label", "x_cents"), RESET)
+    return e.where(f"NOT {RESET}").groupBy("epoch").agg(F.count(F.lit(1)).alias("trained_n"), F.sum("x_cents").alias("sum_cents"))
 
 
 # -- trees -------------------------------------------------------------------
@@ -295,7 +291,8 @@ STATS_SQL = (
 def boost_flags(spark, sf_dir):
     """Whether each frozen member classifies each event correctly."""
     spec = events_spec(spark, sf_dir)
-    model = nb.nb_model(trained(spark, sf_dir, BOOST), spec)
+    # The members are frozen: they are trained once, and each is then looked up.
+    model = nb.nb_model(materialize(trained(spark, sf_dir, BOOST), "boost-members"), spec)
     flagged = bo.correct_flags(events(spark, sf_dir), model, spec, BOOST)
     return flagged.select("seq", "weight", *[f"correct_{m}" for m in range(BOOST)])
 

@@ -154,7 +154,7 @@ def can_persist(spark, sf_dir):
     """The save rule on its own: one part per user, each version saved in turn."""
     inst = events(spark, sf_dir).select("user_id", "seq", F.col("x_k").cast("long").alias("x_k"))
     # The user's row before this one, without a window over a whole user.
-    prev = running(inst, "seq", [Running("last_saved", F.col("seq"), how="max")], keys=["user_id"], exclusive=True)
+    prev = running(inst, "seq", [Running("last_saved", "seq", how="max")], keys=["user_id"], exclusive=True)
     rule = vs.can_persist(F.col("seq"), F.coalesce("last_saved", F.lit(-1)), F.col("seq") - F.col("x_k") * 10, F.col("last_saved").isNull())
     return prev.select("seq", rule.alias("may_save"))
 

@@ -157,7 +157,7 @@ def complete_only(spark, sf_dir):
     """Some votes are lost; only instances with all three are emitted."""
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
-    got = all_votes(spark, sf_dir, BOOST).where(arrives(F.col("instance_id"), F.col("member")))
+    got = all_votes(spark, sf_dir, BOOST).where(arrives("instance_id", "member"))
     c = vt.complete_only(vt.bag_partial_votes(got, n), n, BOOST)
     return vt.long_votes(c, ["instance_id", "n_votes"], spec.classes)
 
@@ -192,7 +192,7 @@ def argmax_label(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
     c = vt.flat_combine(all_votes(spark, sf_dir), n)
-    return c.select("instance_id", spec.class_at(vt.argmax_index(F.col("votes"), n)).alias("pred"))
+    return vt.with_argmax(c, n).select("instance_id", spec.class_at(F.col("pred_index")).alias("pred"))
 
 
 @query(
@@ -204,7 +204,7 @@ def positional_votes(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
     v = instance_batches(all_votes(spark, sf_dir)).withColumnRenamed("batch_no", "batch_id")
     # A batch has 100 places, so a list has at most 100 vectors.
-    lists = v.groupBy("batch_id", "member").agg(F.array_sort(F.collect_list(F.struct("pos", "votes"))).alias("l"))
+    lists = v.groupBy("batch_id", "member").agg(F.array_sort(F.collect_list(F.struct("pos", F.array(*vt.vote_cols(len(spec.classes))).alias("votes")))).alias("l"))
     sent = lists.select("batch_id", "member", F.transform("l", lambda s: s["votes"]).alias("vote_list"))
     return vt.long_votes(vt.positional_votes(sent, len(spec.classes)), ["batch_id", "pos", "n_votes"], spec.classes)
 

@@ -101,6 +101,6 @@ def vote_timeout(votes: DataFrame, ensemble: int, timeout_ms: int = TIMEOUT_MS)
     nxt = first_later(moments.select("instance_id", "ts_ms"), "instance_id", timeout_ms - 1)
     opens = orbit(nxt, ["instance_id"], "ts_ms", "_next_ms").withColumn("_open", F.lit(1).cast("long"))
     flagged = moments.join(opens, ["instance_id", "ts_ms"], "left")
-    placed = running(flagged, "ts_ms", [Running("_first", F.when(F.col("_open") == 1, F.col("ts_ms")), how="max")], keys=["instance_id"])
+    placed = running(flagged, "ts_ms", [Running("_first", "CASE WHEN _open = 1 THEN ts_ms END", how="max")], keys=["instance_id"])
     sets = placed.groupBy("instance_id", F.col("_first").alias("first_ms")).agg(F.sum("n_votes").alias("n_votes"))
     return sets.withColumn("complete", F.col("n_votes") == ensemble)
