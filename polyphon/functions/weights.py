@@ -74,25 +74,31 @@ def poisson_count_text(h: str, lam: float = 1.0) -> str:
 RATE_PIECE = 16.0
 
 
-def poisson_count_for_rate(rate: str, instance_id: str, member: str, seed: int = 1) -> Column:
-    """Poisson count for a rate that differs by row and has no upper bound.
+def with_poisson_rate(df: DataFrame, rate: str, member: str, out: str, id_col: str = "instance_id", seed: int = 1) -> DataFrame:
+    """Add ``out``: a Poisson count for a rate that differs by row and has no upper bound.
 
     Poisson(a + b) is the sum of independent Poisson(a) and Poisson(b) draws.
     The rate is therefore cut into pieces of at most ``RATE_PIECE``, and piece p
     draws from its own hash (the piece is added to the member word). Within a
     piece the count is the number of distribution steps at or below the hash;
-    the steps end where the tail is below the hash's resolution.
+    the steps end where the tail is below the hash's resolution. What the inner
+    loop needs is worked out in steps before it.
     """
-    pieces = f"greatest(cast(ceil({rate} / {RATE_PIECE}D) AS INT), 1)"
-    share = f"({rate} / {pieces})"
-    u = f"({hash32_text(instance_id, f'({member} + p * 65536)', seed)} / {float(SCALE)}D)"
-    terms = f"cast(ceil({share} + sqrt({share}) * 8 + 12) AS INT)"
+    sized = add(df, {"_pieces": f"greatest(cast(ceil({rate} / {RATE_PIECE}D) AS INT), 1)"})
+    sized = add(sized, {"_share": f"{rate} / _pieces"})
+    ready = add(
+        sized,
+        {
+            "_zero": "exp(-_share)",
+            "_terms": "sequence(1, cast(ceil(_share + sqrt(_share) * 8 + 12) AS INT))",
+            "_us": f"transform(sequence(0, _pieces - 1), p -> {hash32_text(id_col, f'({member} + p * 65536)', seed)} / {float(SCALE)}D)",
+        },
+    )
     draw = (
-        f"aggregate(sequence(1, {terms}), named_struct('term', exp(-{share}), 'cdf', exp(-{share}), 'k', 0), "
-        f"(s, j) -> named_struct('term', s.term * {share} / j, 'cdf', s.cdf + s.term * {share} / j, "
-        f"'k', s.k + if({u} >= s.cdf, 1, 0))).k"
+        "aggregate(_terms, named_struct('term', _zero, 'cdf', _zero, 'k', 0), "
+        "(s, j) -> named_struct('term', s.term * _share / j, 'cdf', s.cdf + s.term * _share / j, 'k', if(u >= s.cdf, s.k + 1, s.k))).k"
     )
-    return F.expr(f"aggregate(sequence(0, {pieces} - 1), 0, (acc, p) -> acc + {draw})")
+    return add(ready, {out: f"aggregate(_us, 0, (acc, u) -> acc + {draw})"}).drop("_pieces", "_share", "_zero", "_terms", "_us")
 
 
 def with_poisson_weight(

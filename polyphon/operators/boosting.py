@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from polyphon.functions.weights import poisson_count_for_rate
+from polyphon.functions.weights import with_poisson_rate
 from polyphon.operators import naive_bayes as nb
 from polyphon.operators.lookup import model_join
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running
@@ -131,8 +131,10 @@ def boost_train_batch(
     all_stats = []
     for m in range(ensemble):
         lam, ok = F.col(f"lam_{m}"), F.col(f"correct_{m}")
-        k = lam if pure else poisson_count_for_rate(f"lam_{m}", "instance_id", str(m), seed).cast("double")
-        drawn = rows.withColumn("member", F.lit(m)).withColumn("_w", F.col(spec.weight) * k).where(F.col("_w") > 0)
+        drawn = rows.withColumn("member", F.lit(m))
+        drawn = drawn.withColumn("_k", lam) if pure else with_poisson_rate(drawn, f"lam_{m}", "member", "_k", seed=seed)
+        # k = 0 adds nothing to any sum; a filter here would draw every k twice.
+        drawn = drawn.withColumn("_w", F.col(spec.weight) * F.col("_k"))
         delta = nb.nb_train(drawn, spec, weight="_w")
         if state.stats is not None:
             delta = nb.merge_stats(state.stats.where(F.col("member") == m), delta)

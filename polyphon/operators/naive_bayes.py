@@ -53,8 +53,8 @@ def _train_one_pass(weighted: DataFrame, spec: FeatureSpec, weight: str, keys: t
     for a, values in spec.nominal.items():
         for v in values:
             rows.append(row(text(a), text(v), f"sum(if({name(a)} = {text(v)}, {w}, NULL))", null_d, null_d))
-    # A cell that no row fell into has no weight.
-    cells = F.expr(f"filter(array({', '.join(rows)}), r -> r.w IS NOT NULL) AS _cells")
+    # A cell that no weight fell into is no row of the table.
+    cells = F.expr(f"filter(array({', '.join(rows)}), r -> r.w > 0) AS _cells")
     wide = weighted.groupBy(*keys, spec.label).agg(cells)
     return wide.selectExpr(*keys, f"{name(spec.label)} AS label", "inline(_cells)")
 
@@ -73,6 +73,7 @@ def _train_per_attribute(weighted: DataFrame, spec: FeatureSpec, weight: str, ke
         tall.where(present)
         .groupBy(*keys, "label", "attr", "value")
         .agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("x")).alias("wx"), F.sum(F.col("_w") * F.col("x") * F.col("x")).alias("wxx"))
+        .where(F.col("w") > 0)
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from polyphon.operators.orbit import orbit
 from polyphon.operators.prefix import Running, running
@@ -68,13 +68,18 @@ def version_pointer(published: DataFrame) -> DataFrame:
 def retain_two(members: DataFrame, keep: int = 2) -> DataFrame:
     """Rows of the newest ``keep`` distinct versions of each member.
 
-    The newest versions are found from the distinct (member, version) pairs; the
-    model rows themselves are only filtered by a join.
+    A member may have very many versions, so they are not ranked in one place:
+    each pass takes the largest version below the last pass's, as a grouped
+    maximum that combines map-side.
     """
-    pairs = members.select("member", "version").distinct()
-    w = Window.partitionBy("member").orderBy(F.col("version").desc())
-    newest = pairs.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= keep).drop("_rank")
-    return members.join(newest, ["member", "version"], "left_semi")
+    pairs = members.select("member", "version")
+    newest = pairs.groupBy("member").agg(F.max("version").alias("version"))
+    kept = newest
+    for _ in range(keep - 1):
+        below = pairs.join(newest.withColumnRenamed("version", "_last"), "member").where(F.col("version") < F.col("_last"))
+        newest = below.groupBy("member").agg(F.max("version").alias("version"))
+        kept = kept.unionByName(newest)
+    return members.join(kept, ["member", "version"], "left_semi")
 
 
 def restore_all_or_nothing(members: DataFrame, part_sizes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from polyphon.plans.bagging import bag_train, share_of_stream
 from polyphon.plans.common import (
     BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, trained,
 )
+from polyphon.plans.learners import bag_batches, learner
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import CHANNEL, COLS, STREAM_FILES
 from polyphon.sources import channels
@@ -396,3 +397,35 @@ def boost_train(spark, sf_dir):
 def boost_pure(spark, sf_dir):
     """The same with k = λ."""
     return _boost_run(spark, sf_dir, pure=True)
+
+
+@query(
+    "tree_train",
+    q.with_(
+        q.INST,
+        f"first AS MATERIALIZED (SELECT * FROM inst WHERE seq < {q.cut(0.5)})",
+        q.bag("first", TREE_MEMBERS, SEED),
+        *TREE_SQL[2:-1],
+        f"second AS MATERIALIZED (SELECT * FROM inst WHERE seq >= {q.cut(0.5)})",
+        q.bag("second", TREE_MEMBERS, SEED, name="bag2"),
+        f"""tb2 AS MATERIALIZED (SELECT *, {_bin_sql('x_cents', TREE.edges['x_cents'])} AS b_cents, {_bin_sql('x_k', TREE.edges['x_k'])} AS b_k,
+      (SELECT count(*) FROM (SELECT DISTINCT n_user FROM inst) d WHERE d.n_user < bag2.n_user) AS b_user FROM bag2)""",
+        """r2 AS MATERIALIZED (SELECT t.*, CASE WHEN w2.attr IS NULL THEN CAST(1 AS BIGINT)
+      WHEN (w2.attr = 'x_cents' AND b_cents <= cut) OR (w2.attr = 'x_k' AND b_k <= cut) OR (w2.attr = 'n_user' AND b_user = cut) THEN CAST(2 AS BIGINT)
+      ELSE CAST(3 AS BIGINT) END AS node_id FROM tb2 t LEFT JOIN win w2 ON w2.member = t.member)""",
+        """both AS (SELECT member, node_id, label, w FROM r2 UNION ALL
+      SELECT t.member, CAST(1 AS BIGINT), t.label, t.w FROM tb t WHERE t.member NOT IN (SELECT member FROM win))""",
+    )
+    + "SELECT member, node_id, label, sum(w) AS w FROM both GROUP BY ALL",
+)
+def tree_train(spark, sf_dir):
+    """Trees grown over two batches: what the first batch's leaves saw of the second.
+
+    Roots split after the first batch; a depth of one keeps their children
+    leaves, and counts start anew at them.
+    """
+    inst = events(spark, sf_dir)
+    half = share_of_stream(inst, 0.5)
+    base = learner("hoeffding", events_spec(spark, sf_dir), edges=TREE.edges, tie=TREE.tie, grace=TREE.grace, max_depth=1)
+    state = bag_batches([inst.where(F.col("seq") < half), inst.where(F.col("seq") >= half)], base, TREE_MEMBERS, SEED)
+    return state.stats.where(F.col("attr") == nb.CLASS_ATTR).select("member", "node_id", "label", "w")

@@ -14,7 +14,8 @@ def publish_instances(instances: DataFrame, folder: str, files: int | None = Non
     """Append instances to a channel.
 
     With ``files`` the batch is cut into that many files of consecutive stream
-    numbers, so that a reader of few files per trigger sees the stream in order.
+    numbers. A reader takes files in the order they were finished, so only
+    separate calls fix an order.
     """
     out = instances.repartitionByRange(files, order).sortWithinPartitions(order) if files else instances
     out.write.mode("append").parquet(folder)

@@ -19,8 +19,9 @@ SET_SCHEMA = "instance_id long, first_ms long, n_votes long, complete boolean"
 class VoteSets(StatefulProcessor):
     """State of one instance: when its open set began, and its votes so far.
 
-    A set is emitted when it is complete, or when its time is up (incomplete).
-    Only two numbers are kept per instance, whatever it receives.
+    Votes count in the order they arrive, by time within one arrival. A set is
+    emitted when it is complete, or when its time is up (incomplete). Only two
+    numbers are kept per instance, whatever it receives.
     """
 
     def __init__(self, ensemble: int, timeout_ms: int):
