@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from polyphon.functions.sqlexpr import add, name, text
 
 from polyphon.operators import naive_bayes as nb
-from polyphon.operators.prefix import BUCKET_ROWS, Running, running, sliding
+from polyphon.operators.prefix import BUCKET_ROWS, Running, running, sliding_sums
 from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
 
@@ -42,11 +42,11 @@ def window_evaluator(scored: DataFrame, width: int = 1000, index: str = "seq", b
     ``index`` is the stream's gapless number; ``scored`` has ``correct`` (0/1)
     and ``weight``.
     """
-    return sliding(
+    return sliding_sums(
         scored,
         index,
         width,
-        {"_good": "sum(weight * correct)", "_all": "sum(weight)"},
+        {"_good": "weight * correct", "_all": "weight"},
         bucket_rows=bucket_rows,
     ).withColumn("window_accuracy", F.try_divide(F.col("_good"), F.col("_all"))).drop("_good", "_all")
 

@@ -96,21 +96,30 @@ def _bucket_offsets(totals: DataFrame, aggs: list[Running], keys: list[str], fan
     return joined.selectExpr(*keys, "_bucket", *[f"{a.merge(f'_up{i}', f'_loc{i}')} AS _off{i}" for i, a in enumerate(aggs)])
 
 
-def sliding(df: DataFrame, index: str, width: int, aggs: dict[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Aggregates over the last ``width`` rows by ``index`` (a gapless row number).
+def sliding_sums(df: DataFrame, index: str, width: int, sums: dict[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Sums over the last ``width`` rows by ``index`` (a gapless row number).
 
     Each range of rows also gets a copy of the ``width - 1`` rows before it, so
-    one windowed pass is enough. ``aggs`` maps a name to an aggregate (SQL text).
+    one shuffle is enough. A frame of ``width`` rows would add all of them again
+    for every row; the difference of two running sums costs the same for any
+    width. ``sums`` maps a name to its input (SQL text).
     """
     size = max(bucket_rows, width)
     kept = [name(c) for c in df.columns]
-    homed = add(df, {"_home": range_of(index, size)})
+    homed = add(df, {"_home": range_of(index, size)} | {f"_in{i}": v for i, v in enumerate(sums.values())})
     # The last width - 1 rows of a range are copied into the next one.
     copies = add(
         homed, {"_bucket": f"explode(if(pmod({name(index)}, {size}) >= {size - (width - 1)}, array(_home, _home + 1), array(_home)))"}
     )
-    over = f"OVER (PARTITION BY _bucket ORDER BY {name(index)} ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
-    out = copies.selectExpr(*kept, "_home", "_bucket", *[f"{agg} {over} AS {name(n)}" for n, agg in aggs.items()])
+    over = f"PARTITION BY _bucket ORDER BY {name(index)}"
+    run = copies.selectExpr(
+        *kept, "_home", "_bucket",
+        *[f"sum(_in{i}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _run{i}" for i in range(len(sums))],
+    )
+    out = run.selectExpr(
+        *kept, "_home", "_bucket",
+        *[f"_run{i} - coalesce(lag(_run{i}, {width}) OVER ({over}), 0) AS {name(n)}" for i, n in enumerate(sums)],
+    )
     return out.where("_bucket = _home").drop("_home", "_bucket")
 
 

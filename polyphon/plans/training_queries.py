@@ -413,10 +413,10 @@ def boost_pure(spark, sf_dir):
         """r2 AS MATERIALIZED (SELECT t.*, CASE WHEN w2.attr IS NULL THEN CAST(1 AS BIGINT)
       WHEN (w2.attr = 'x_cents' AND b_cents <= cut) OR (w2.attr = 'x_k' AND b_k <= cut) OR (w2.attr = 'n_user' AND b_user = cut) THEN CAST(2 AS BIGINT)
       ELSE CAST(3 AS BIGINT) END AS node_id FROM tb2 t LEFT JOIN win w2 ON w2.member = t.member)""",
-        """both AS (SELECT member, node_id, label, w FROM r2 UNION ALL
+        """seen AS (SELECT member, node_id, label, w FROM r2 UNION ALL
       SELECT t.member, CAST(1 AS BIGINT), t.label, t.w FROM tb t WHERE t.member NOT IN (SELECT member FROM win))""",
     )
-    + "SELECT member, node_id, label, sum(w) AS w FROM both GROUP BY ALL",
+    + "SELECT member, node_id, label, sum(w) AS w FROM seen GROUP BY ALL",
 )
 def tree_train(spark, sf_dir):
     """Trees grown over two batches: what the first batch's leaves saw of the second.

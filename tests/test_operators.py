@@ -14,7 +14,7 @@ from polyphon.operators import hoeffding as ht
 from polyphon.operators import lookup, metrics as mt, naive_bayes as nb, streams as st, versions as vs, votes as vt
 from polyphon.operators.evaluation import basic_evaluator, prequential, window_evaluator
 from polyphon.operators.orbit import orbit
-from polyphon.operators.prefix import Running, running, sliding
+from polyphon.operators.prefix import Running, running, sliding_sums
 from polyphon.sources.instances import FeatureSpec, complete_header, spread
 from polyphon.sources.schema import flat_schema
 
@@ -91,7 +91,7 @@ def test_running_does_not_use_one_task(spark):
 
 def test_sliding_matches_a_loop(spark):
     xs = [(i, (i * 37) % 11) for i in range(500)]
-    got = {r.i: r.s for r in sliding(spark.createDataFrame(xs, "i long, x long"), "i", 7, {"s": "sum(x)"}, bucket_rows=16).collect()}
+    got = {r.i: r.s for r in sliding_sums(spark.createDataFrame(xs, "i long, x long"), "i", 7, {"s": "x"}, bucket_rows=16).collect()}
     assert got == {i: sum(x for _, x in xs[max(0, i - 6) : i + 1]) for i, _ in xs}
 
 
