@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running
 
@@ -51,22 +51,21 @@ def version_asof(messages: DataFrame, versions: DataFrame, pending: int = 100, b
 
     A version takes effect at the first poll at or after its publication, so it
     is placed in the stream just before that poll's first message, and carried
-    forward as a running maximum of (published_seq, version).
+    forward from there.
     """
     cols = messages.columns
     effective = (
-        versions.withColumn("seq", (F.ceil(F.col("published_seq") / F.lit(pending)) * pending).cast("long"))
+        versions.withColumn("seq", F.expr(f"(published_seq + {pending - 1}) div {pending}L * {pending}L"))
         .groupBy("seq")
-        .agg(F.max(F.struct("published_seq", "version")).alias("_pub"))
+        .agg(F.expr("max_by(version, published_seq)").alias("_adopted_here"))
         .withColumn("_kind", F.lit(0))
     )
     tagged = messages.withColumn("_kind", F.lit(1))
     both = tagged.unionByName(effective, allowMissingColumns=True)
     carried = running(
-        both, "seq", [Running("_adopted", "_pub", how="max")], bucket_rows=bucket_rows, tie=["_kind"]
+        both, "seq", [Running("version", "_adopted_here", how="last")], bucket_rows=bucket_rows, tie=["_kind"]
     )
     return (
-        carried.where((F.col("_kind") == 1) & F.col("_adopted").isNotNull())
-        .withColumn("version", F.col("_adopted.version"))
+        carried.where((F.col("_kind") == 1) & F.col("version").isNotNull())
         .select(*cols, "version")
     )

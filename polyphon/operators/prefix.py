@@ -21,15 +21,30 @@ BUCKET_ROWS = 4096
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: output name, input (SQL text) and how to combine."""
+    """One running aggregate: output name, input (SQL text) and how to combine.
+
+    ``last`` carries the latest value that is not null.
+    """
 
     name: str
     value: str
-    how: str = "sum"  # "sum" or "max"
+    how: str = "sum"  # "sum", "max" or "last"
+
+    def over(self, column: str) -> str:
+        """The aggregate as used in an ordered window."""
+        return f"last({column}, true)" if self.how == "last" else f"{self.how}({column})"
+
+    def total(self, column: str, order: str) -> str:
+        """The aggregate of a whole range; its buffers are plain numbers, so it hashes."""
+        if self.how == "last":
+            return f"max_by({column}, if({column} IS NULL, NULL, {order}))"
+        return f"{self.how}({column})"
 
     def merge(self, before: str, here: str) -> str:
         if self.how == "max":
             return f"greatest({before}, {here})"
+        if self.how == "last":
+            return f"coalesce({here}, {before})"
         # A sum over nothing is 0 for the caller.
         return f"coalesce({before}, 0) + coalesce({here}, 0)"
 
@@ -69,9 +84,9 @@ def running(
     by = ", ".join([name(order), *(tie or [])])
     upto = "1 PRECEDING" if exclusive else "CURRENT ROW"
     over = f"OVER (PARTITION BY {part} ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
-    rows = prepared.selectExpr(*kept, *keys, "_bucket", *[f"{a.how}(_in{i}) {over} AS _run{i}" for i, a in enumerate(aggs)])
+    rows = prepared.selectExpr(*kept, *keys, "_bucket", *[f"{a.over(f'_in{i}')} {over} AS _run{i}" for i, a in enumerate(aggs)])
 
-    totals = prepared.groupBy(*keys, "_bucket").agg(*[F.expr(f"{a.how}(_in{i}) AS _tot{i}") for i, a in enumerate(aggs)])
+    totals = prepared.groupBy(*keys, "_bucket").agg(*[F.expr(f"{a.total(f'_in{i}', name(order))} AS _tot{i}") for i, a in enumerate(aggs)])
     offsets = _bucket_offsets(totals, aggs, keys, bucket_rows)
 
     joined = rows.join(offsets, [*keys, "_bucket"], "left")
@@ -86,12 +101,12 @@ def _bucket_offsets(totals: DataFrame, aggs: list[Running], keys: list[str], fan
     leveled = add(totals, {"_group": range_of("_bucket", fan)})
     frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     over = f"OVER (PARTITION BY {', '.join([*keys, '_group'])} ORDER BY _bucket {frame})"
-    local = leveled.selectExpr(*keys, "_group", "_bucket", *[f"{a.how}(_tot{i}) {over} AS _loc{i}" for i, a in enumerate(aggs)])
-    top = leveled.groupBy(*keys, "_group").agg(*[F.expr(f"{a.how}(_tot{i}) AS _gt{i}") for i, a in enumerate(aggs)])
+    local = leveled.selectExpr(*keys, "_group", "_bucket", *[f"{a.over(f'_tot{i}')} {over} AS _loc{i}" for i, a in enumerate(aggs)])
+    top = leveled.groupBy(*keys, "_group").agg(*[F.expr(f"{a.total(f'_tot{i}', '_bucket')} AS _gt{i}") for i, a in enumerate(aggs)])
     # An unkeyed stream has one top group per bucket_rows² rows: this small
     # remainder is one window, and a constant key says so.
     top_over = f"OVER (PARTITION BY {keys[0] if keys else '0'} ORDER BY _group {frame})"
-    top = top.selectExpr(*keys, "_group", *[f"{a.how}(_gt{i}) {top_over} AS _up{i}" for i, a in enumerate(aggs)])
+    top = top.selectExpr(*keys, "_group", *[f"{a.over(f'_gt{i}')} {top_over} AS _up{i}" for i, a in enumerate(aggs)])
     joined = local.join(top, [*keys, "_group"], "left")
     return joined.selectExpr(*keys, "_bucket", *[f"{a.merge(f'_up{i}', f'_loc{i}')} AS _off{i}" for i, a in enumerate(aggs)])
 

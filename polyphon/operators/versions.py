@@ -106,6 +106,27 @@ def model_replace(stream: DataFrame, is_reset: str, order: str = "seq") -> DataF
     return stream.where(F.col(order) > last.scalar()).where(f"NOT ({is_reset})")
 
 
+def known_kinds(stream: DataFrame, kind: str, kinds: tuple[str, ...] = ("instance", "model", "evaluator")) -> DataFrame:
+    """The stream itself; a row of any other kind stops the job."""
+    known = F.coalesce(F.col(kind).isin(list(kinds)), F.lit(False))
+    return stream.where(F.when(known, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("boolean")
+    ))
+
+
+def replace_in_stream(stream: DataFrame, kind: str = "kind", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Instances the current model was trained on, and those the current evaluator has seen.
+
+    A row of kind ``model`` brings a new model and resets what it was trained
+    on; ``evaluator`` does the same for the evaluator, and leaves the model.
+    """
+    checked = known_kinds(stream, kind)
+    instances = F.col(kind) == "instance"
+    trained = model_replace(checked, f"{kind} = 'model'", order).where(instances)
+    judged = model_replace(checked, f"{kind} = 'evaluator'", order).where(instances)
+    return trained, judged
+
+
 def epochs(stream: DataFrame, is_reset: str, order: str = "seq") -> DataFrame:
     """Number of replacements (rows where the SQL condition holds) up to each row."""
     return running(stream, order, [Running("epoch", f"CASE WHEN {is_reset} THEN 1L ELSE 0L END")])

@@ -87,22 +87,6 @@ def combine_votes(partials: DataFrame, n_classes: int, mode: str = "flat", ensem
     return vote_normalize(out, n_classes)
 
 
-def combine_bagged(votes: DataFrame, n_classes: int, mode: str = "flat", ensemble: int | None = None) -> DataFrame:
-    """Member votes → parts → combined vector, in one shuffle.
-
-    The member votes are spread by instance first, so the per-part and the
-    per-instance sums both find their rows in place. A flat combine needs no
-    parts and keeps its map-side sums instead.
-    """
-    if mode == "flat":
-        v = vote_normalize(votes, n_classes)
-        out = v.groupBy("instance_id").agg(*add_vectors(n_classes), count_votes())
-        if ensemble is not None:
-            out = out.where(F.col("n_votes") == ensemble)
-        return vote_normalize(out, n_classes)
-    return combine_votes(bag_partial_votes(votes, n_classes), n_classes, mode, ensemble)
-
-
 def combine_two_stage(partials: DataFrame, n_classes: int, worker: Column, ensemble: int | None = None) -> DataFrame:
     """Parts → workers → one vector, each stage re-normalising what comes in.
 

@@ -41,17 +41,22 @@ def lineitem_spec(spark: SparkSession, sf_dir: str) -> FeatureSpec:
     return _header(spark, sf_dir, "lineitem")
 
 
-def train_rows(inst: DataFrame) -> DataFrame:
-    return inst.where(F.col("seq") < share_of_stream(inst, TRAIN_SHARE))
+def stream_cut(spark: SparkSession, sf_dir: str, share: float = TRAIN_SHARE) -> Column:
+    """End of the first ``share`` of the events; counted on the stored table."""
+    return share_of_stream(read_table(spark, sf_dir, "events"), share)
 
 
-def test_rows(inst: DataFrame) -> DataFrame:
-    return inst.where(F.col("seq") >= share_of_stream(inst, TRAIN_SHARE))
+def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).where(F.col("seq") < stream_cut(spark, sf_dir))
+
+
+def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).where(F.col("seq") >= stream_cut(spark, sf_dir))
 
 
 def trained(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> DataFrame:
     """Statistics of the bagged ensemble on the first part of the stream."""
-    return bag_train(train_rows(events(spark, sf_dir)), events_spec(spark, sf_dir), ensemble, SEED)
+    return bag_train(train_rows(spark, sf_dir), events_spec(spark, sf_dir), ensemble, SEED)
 
 
 def all_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> DataFrame:

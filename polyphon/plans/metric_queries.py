@@ -11,7 +11,7 @@ from polyphon.operators import naive_bayes as nb
 from polyphon.operators.prefix import row_index
 from polyphon.operators.streams import ensemble_fanout
 from polyphon.plans import sqltext as q
-from polyphon.plans.common import BOOST, ENSEMBLE, SEED, arrivals, events, trained
+from polyphon.plans.common import BOOST, ENSEMBLE, SEED, arrivals, events, stream_cut
 from polyphon.plans.registry import query
 from polyphon.plans.training_queries import ALL_BAG
 from polyphon.plans.vote_queries import ARRIVALS
@@ -163,7 +163,10 @@ def throughput_stream(spark, sf_dir):
         F.col("seq").alias("event_id"), F.timestamp_millis("ts_ms").alias("ts"), F.col("label").alias("counter")
     )
     folder = new_folder(spark, "throughput-channel")
-    channels.publish_instances(ev, folder, files=4, order="event_id")
+    # Two calls: a watermark drops what comes late, so the halves must arrive in order.
+    half = stream_cut(spark, sf_dir, 0.5)
+    channels.publish_instances(ev.where(F.col("event_id") < half), folder, files=2, order="event_id")
+    channels.publish_instances(ev.where(F.col("event_id") >= half), folder, files=2, order="event_id")
     stream = channels.read_channel(spark, folder, ev.schema, files_per_trigger=2)
     out = tumbling_counts(stream, "counter", "1 hour", new_folder(spark, "throughput"), new_folder(spark, "throughput-ckpt"))
     return out.select("counter", epoch_ms(out, "window_start").alias("window_start_ms"), "n_events")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polyphon.functions import payload as pl
-from polyphon.operators import lookup, naive_bayes as nb, streams as st, votes as vt
+from polyphon.operators import lookup, naive_bayes as nb, streams as st
 from polyphon.functions.weights import with_poisson_weight
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_predict, share_of_stream
+from polyphon.plans.bagging import bag_predict
 from polyphon.plans.common import (
-    ENSEMBLE, SEED, TRAIN_SHARE, events, events_spec, test_rows, train_rows, trained,
+    ENSEMBLE, SEED, events, events_spec, stream_cut, test_rows, train_rows, trained,
 )
 from polyphon.plans.registry import query
 from polyphon.sources import channels
@@ -46,7 +46,7 @@ def instance_batches(spark, sf_dir):
 def bounded_passes(spark, sf_dir):
     # The bound is half of the stream, so it grows with the table.
     inst = events(spark, sf_dir)
-    return st.bounded_passes(inst, share_of_stream(inst, 0.5), passes=2).select("pass", "seq", "label", "x_cents")
+    return st.bounded_passes(inst, stream_cut(spark, sf_dir, 0.5), passes=2).select("pass", "seq", "label", "x_cents")
 
 
 @query(
@@ -55,8 +55,8 @@ def bounded_passes(spark, sf_dir):
 )
 def two_stream(spark, sf_dir):
     inst = events(spark, sf_dir)
-    learn = _channel(spark, train_rows(inst), "learn-channel")
-    predict = _channel(spark, test_rows(inst), "predict-channel")
+    learn = _channel(spark, train_rows(spark, sf_dir), "learn-channel")
+    predict = _channel(spark, test_rows(spark, sf_dir), "predict-channel")
     stream = two_stream_ingest(spark, learn, predict, CHANNEL, files_per_trigger=2)
     out = run_to_table(stream, new_folder(spark, "ingested"), new_folder(spark, "ingest-ckpt"))
     return out.select("role", "seq", "label", "x_cents")
@@ -133,7 +133,7 @@ def prediction_sink(spark, sf_dir):
     inst = events(spark, sf_dir)
     spec = events_spec(spark, sf_dir)
     stats = materialize(trained(spark, sf_dir), "sink-model")
-    channel = _channel(spark, test_rows(inst), "score-channel")
+    channel = _channel(spark, test_rows(spark, sf_dir), "score-channel")
     stream = channels.read_channel(spark, channel, CHANNEL, files_per_trigger=2)
     folder = new_folder(spark, "predictions")
 
@@ -154,7 +154,7 @@ def prediction_sink(spark, sf_dir):
 def prediction_file(spark, sf_dir):
     inst = events(spark, sf_dir)
     spec = events_spec(spark, sf_dir)
-    scored = bag_predict(test_rows(inst), trained(spark, sf_dir), spec, ENSEMBLE)
+    scored = bag_predict(test_rows(spark, sf_dir), trained(spark, sf_dir), spec, ENSEMBLE)
     folder = new_folder(spark, "prediction-lines")
     channels.prediction_file(scored, spec.class_index(F.col("pred")), spec.class_index(F.col("truth")), folder)
     return spark.read.text(folder).select(F.col("value").alias("line"))
@@ -231,7 +231,7 @@ def keep_filter(spark, sf_dir):
 def state_query_join(spark, sf_dir):
     """Every member is asked; the last one has no state and emits nothing."""
     inst = events(spark, sf_dir)
-    fanned = st.ensemble_fanout(train_rows(inst).select("instance_id", "weight"), ENSEMBLE - 1)
+    fanned = st.ensemble_fanout(train_rows(spark, sf_dir).select("instance_id", "weight"), ENSEMBLE - 1)
     state = nb.trained_count(with_poisson_weight(fanned, seed=SEED))
     asked = st.ensemble_fanout(inst.select("instance_id"), ENSEMBLE)
     return lookup.state_query_join(asked, state, max_bytes=ENSEMBLE * 32).select("member", "instance_id", "trained_n")

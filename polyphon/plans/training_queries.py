@@ -12,9 +12,9 @@ from polyphon.operators import versions as vs
 from polyphon.operators import votes as vt
 from polyphon.operators.streams import ensemble_fanout
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_train, share_of_stream
+from polyphon.plans.bagging import bag_train
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, trained,
+    BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, stream_cut, trained,
 )
 from polyphon.plans.learners import bag_batches, learner
 from polyphon.plans.registry import query
@@ -330,7 +330,7 @@ BATCHES = 2
 def _boost_run(spark, sf_dir, pure):
     inst = events(spark, sf_dir)
     spec = events_spec(spark, sf_dir)
-    half = share_of_stream(inst, 0.5)
+    half = stream_cut(spark, sf_dir, 0.5)
     state, done = bo.BoostState(), []
     for part in (inst.where(F.col("seq") < half), inst.where(F.col("seq") >= half)):
         state, rows = bo.boost_train_batch(part, state, spec, BATCHES, pure=pure, seed=SEED)
@@ -425,7 +425,7 @@ def tree_train(spark, sf_dir):
     leaves, and counts start anew at them.
     """
     inst = events(spark, sf_dir)
-    half = share_of_stream(inst, 0.5)
+    half = stream_cut(spark, sf_dir, 0.5)
     base = learner("hoeffding", events_spec(spark, sf_dir), edges=TREE.edges, tie=TREE.tie, grace=TREE.grace, max_depth=1)
     state = bag_batches([inst.where(F.col("seq") < half), inst.where(F.col("seq") >= half)], base, TREE_MEMBERS, SEED)
     return state.stats.where(F.col("attr") == nb.CLASS_ATTR).select("member", "node_id", "label", "w")

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from polyphon.functions import payload as pl
 from polyphon.functions.weights import with_poisson_weight
-from polyphon.operators import naive_bayes as nb
 from polyphon.operators import versions as vs
 from polyphon.operators import votes as vt
 from polyphon.operators.prefix import Running, running
 from polyphon.operators.streams import ensemble_fanout, member_partition
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import share_of_stream
-from polyphon.plans.common import ENSEMBLE, PARTS, SEED, events, events_spec
+from polyphon.plans.common import ENSEMBLE, PARTS, SEED, events, events_spec, stream_cut
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import CHANNEL, COLS, PART_SQL
 from polyphon.plans.training_queries import ALL_BAG, stat_rows
@@ -192,7 +190,7 @@ def txn_upsert(spark, sf_dir):
     """Two batches, the first of them delivered twice: it counts once."""
     inst = events(spark, sf_dir).select(*COLS)
     spec = events_spec(spark, sf_dir)
-    half = share_of_stream(inst, 0.5)
+    half = stream_cut(spark, sf_dir, 0.5)
     store = ModelStore(spark, new_folder(spark, "txn-store"), tr.STAT_SCHEMA)
     first = tr.bag_delta(inst.where(F.col("seq") < half), spec, ENSEMBLE, SEED)
     second = tr.bag_delta(inst.where(F.col("seq") >= half), spec, ENSEMBLE, SEED)
@@ -241,7 +239,7 @@ def score_then_train(spark, sf_dir):
     """
     inst = events(spark, sf_dir).select(*COLS)
     spec = events_spec(spark, sf_dir)
-    half = share_of_stream(inst, 0.5)
+    half = stream_cut(spark, sf_dir, 0.5)
     folder = new_folder(spark, "stt-channel")
     channels.publish_instances(inst.where(F.col("seq") < half), folder, files=2)
     channels.publish_instances(inst.where(F.col("seq") >= half), folder, files=2)

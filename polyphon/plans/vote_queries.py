@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from polyphon.functions.routing import member_partition
 from polyphon.operators import evaluation as ev
-from polyphon.operators import naive_bayes as nb
 from polyphon.operators import votes as vt
 from polyphon.operators.streams import instance_batches
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_holdout, bag_predict, share_of_stream
+from polyphon.plans.bagging import bag_holdout, bag_predict
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, test_rows, trained,
+    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, trained,
 )
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import BAG_PRED, PART_SQL

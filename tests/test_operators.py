@@ -538,3 +538,20 @@ def test_trees_learn_what_naive_bayes_cannot_forget(spark):
         learner("nb", SPEC, grace=3)
     with pytest.raises(ValueError):
         learner("forest", SPEC)
+
+
+def test_model_and_evaluator_are_replaced_on_their_own(spark):
+    rows = [(i, {4: "model", 9: "evaluator"}.get(i, "instance")) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq long, kind string")
+    trained, judged = vs.replace_in_stream(df)
+    assert sorted(r.seq for r in trained.collect()) == [5, 6, 7, 8, 10, 11]
+    assert sorted(r.seq for r in judged.collect()) == [10, 11]
+    with pytest.raises(Exception, match="unknown kind picture"):
+        vs.known_kinds(spark.createDataFrame([(1, "picture")], "seq long, kind string"), "kind").collect()
+
+
+def test_latest_value_is_carried_over_empty_ranges(spark):
+    rows = [(i, {3: 30, 40: 7, 41: 5}.get(i)) for i in range(0, 400, 1)]
+    df = spark.createDataFrame(rows, "seq long, v long")
+    got = {r.seq: r.at for r in running(df, "seq", [Running("at", "v", "last")], bucket_rows=8).collect()}
+    assert got == {i: None if i < 3 else 30 if i < 40 else 7 if i < 41 else 5 for i in range(400)}
