@@ -23,9 +23,14 @@ def basic_evaluator(scored: DataFrame, truth: str = "truth", pred: str = "pred",
     are taken from that.
     """
     cells = confusion(scored, truth, pred, weight)
-    by_truth = cells.groupBy(F.col(truth).alias("c")).agg(F.sum("w").alias("t"), F.lit(0.0).alias("p"), F.sum(F.when(F.col(truth) == F.col(pred), F.col("w")).otherwise(0.0)).alias("d"))
-    by_pred = cells.groupBy(F.col(pred).alias("c")).agg(F.lit(0.0).alias("t"), F.sum("w").alias("p"), F.lit(0.0).alias("d"))
-    per_class = by_truth.unionByName(by_pred).groupBy("c").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("d").alias("d"))
+    # Each cell speaks for its true and for its predicted class, so the scored
+    # rows are gone through once.
+    t, p = name(truth), name(pred)
+    roles = cells.selectExpr(
+        f"inline(array(named_struct('c', {t}, 't', w, 'p', 0D, 'd', if({t} = {p}, w, 0D)), "
+        f"named_struct('c', {p}, 't', 0D, 'p', w, 'd', 0D)))"
+    )
+    per_class = roles.groupBy("c").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("d").alias("d"))
     sums = per_class.agg(F.sum("t").alias("n"), F.sum("d").alias("agree"), F.sum(F.col("t") * F.col("p")).alias("tp"))
     accuracy = F.try_divide(F.col("agree"), F.col("n"))
     chance = F.try_divide(F.col("tp"), F.col("n") * F.col("n"))
