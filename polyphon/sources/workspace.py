@@ -8,21 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session may run without the setting; it then gets a temporary
-    folder. On a cluster a machine-local folder would be lost with its machine,
-    so the missing setting is an error.
+    Only a session with a local master may run without the setting; it gets one
+    temporary folder for the lifetime of the application. On a cluster such a
+    folder would be lost with its machine, so there the missing setting is an
+    error. The setting itself belongs to the application and is never changed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="polyphon-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="polyphon-"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

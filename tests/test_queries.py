@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, duck
+from polyphon.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-CHECKS = entry.oracle_sql()
+QUERIES = dict(catalog.QUERIES)
+CHECKS = dict(catalog.CHECKS)
 
 
 @pytest.fixture(scope="module")
