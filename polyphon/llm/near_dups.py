@@ -212,8 +212,9 @@ def _link(candidates: DataFrame, texts: DataFrame, links: DataFrame, labels: Dat
     for first in (True, False):
         open_pairs = best if first else _relabel(candidates, labels)
         found = materialize(_confirmed(open_pairs, texts), "links")
-        links = links.union(found)
-        labels = materialize(components(links), "components")
+        if first or not found.isEmpty():
+            links = links.union(found)
+            labels = materialize(components(links), "components")
     return links, labels
 
 

@@ -146,7 +146,8 @@ def nearest(
             lo, hi = forest.ranges(hash_strings(some, planes, thresholds))
             for i, (name, p) in enumerate(zip(asked["id"].iloc[first : first + 64], some)):
                 near = forest.candidates(lo[i], hi[i], wanted)
-                d = np.sqrt(np.square(mine[near] - p).sum(axis=1))
+                # Added up in order of the components, as a plain sum would.
+                d = np.sqrt(np.cumsum(np.square(mine[near] - p), axis=1)[:, -1])
                 if len(d) > k + 1:
                     # Everything as near as the (k+1)-th stays, so that ties are settled over all shards.
                     limit = np.partition(d, k)[k]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyphon.llm import chat, counts, decontaminate, licenses, near_dups, neighbours, packing, quality, secrets, wavelet
+from polyphon.llm import chat, checks, counts, decontaminate, licenses, near_dups, neighbours, packing, quality, secrets, wavelet
 from polyphon.llm.base import table
 from polyphon.sources.workspace import new_folder
 
@@ -16,7 +15,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +89,9 @@ QUERIES: dict[str, Query] = {
     for f in (op1_minhash, op2_neighbours, op3_packing, op4_secrets, op5_licenses, op6_quality, op7_token_files, op8_chat, op9_token_counts, op10_decontamination)
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op1_minhash": checks.NEAR_DUPLICATES,
+    "op2_neighbours": checks.NEIGHBOURS,
+    "op8_chat": checks.CHAT,
+    "op10_decontamination": checks.DECONTAMINATION,
+}
