@@ -17,14 +17,14 @@ are confirmed on their full sets, taken anew from the texts.
 Copies with equal sets are put together first, so a group of copies is one row.
 No bucket is expanded into pairs:
 
-1. In each band bucket every member is paired with the smallest one only.
-   Estimates and confirmed links follow, best candidate per document first, and
-   components; a pair inside a component needs no confirmation.
-2. Buckets that still hold several components are compared in blocks of at most
-   ``BLOCK`` rows against each other, on sketches, inside tasks; only pairs of
-   different components with a sufficient estimate leave them. Best candidates
-   go first again, then all others. So every pair that shares a bucket is
-   confirmed, or known to be connected, or has too low an estimate.
+1. In each band bucket every member is paired with the smallest one only, and
+   each document keeps the one head it shares most buckets with. Pairs with a
+   sufficient estimate are confirmed; links give first components.
+2. Buckets that still hold several components are compared in blocks of about
+   ``BLOCK`` rows against each other inside tasks: pairs of different components
+   with a sufficient estimate are confirmed there on full sets, and a link joins
+   its components at once. So every pair that shares a bucket is confirmed, or
+   known to be connected, or has too low an estimate.
 
 Edge cases: null and empty texts, and texts without words, have an empty set
 (``n_shingles`` 0) and link with nothing; texts of one to four words are one
@@ -54,7 +54,7 @@ BANDS, ROWS = 40, 5
 MANTISSA = 10
 LEAST_ESTIMATE = 0.6
 LIMIT = (3, 4)  # similarity of at least 3/4
-BLOCK = 256
+BLOCK = 512
 
 SKETCHES = "doc_id long, n_shingles long, digest binary, registers binary"
 
@@ -196,63 +196,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(confirm, "a long, b long")
 
 
-def _relabel(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of different components only."""
-    if labels is None:
-        return pairs
-    for side in ("a", "b"):
-        own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        pairs = pairs.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return pairs.where("ca <> cb").drop("ca", "cb")
+def _block_links(bands: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between different components from buckets that hold several, compared block by block.
 
-
-def _link(candidates: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Confirm candidates, each document's best one first, and return all links and the components."""
-    best = candidates.groupBy("b").agg(F.min_by("a", F.struct(-F.col("estimate"), F.col("a"))).alias("a"))
-    for first in (True, False):
-        open_pairs = best if first else _relabel(candidates, labels)
-        found = materialize(_confirmed(open_pairs, texts), "links")
-        if first or not found.isEmpty():
-            links = links.union(found)
-            labels = materialize(components(links), "components")
-    return links, labels
-
-
-def _blocked_pairs(bands: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of different components in buckets that hold several, compared block by block."""
+    A bucket is dealt into blocks of about ``BLOCK`` rows by hash and every two
+    blocks meet in one group, which holds sketches and full sets of its rows.
+    Within a group a link joins components, so at most one link per component
+    leaves it however many of its pairs are similar.
+    """
     own = labels.select(F.col("node").alias("rep"), "component")
-    rows = bands.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = materialize(rows, "labelled_bands")
+    rows = materialize(bands.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled_bands")
     mixed = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = materialize(mixed.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed_bands")
-    rows = rows.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = materialize(rows.join(mixed, "band"), "mixed_rows")
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sets = shingle_sets(batch.column("text"))
+            yield pa.record_batch(
+                [batch.column("rep"), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["rep", "registers", "shingles"],
+            )
+
+    wanted = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
+    sets = materialize(wanted.mapInArrow(prepare, "rep long, registers binary, shingles binary"), "mixed_sets")
     # A row goes to the pairs of blocks (x, y), x <= y, that hold its own block.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select(
-        "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component"
-    )
-    rows = rows.join(reps.select("rep", "registers", "n_shingles"), "rep")
+    rows = rows.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        regs, n = _matrix(group["registers"]), group["n_shingles"].to_numpy()
-        rep, comp, block = (group[c].to_numpy() for c in ("rep", "component", "block"))
+        group = group.sort_values(["rep", "shingles"])
+        regs, sets = _matrix(group["registers"]), [np.frombuffer(x, "<u8") for x in group["shingles"]]
+        rep, block = group["rep"].to_numpy(), group["block"].to_numpy()
+        _, label = np.unique(group["component"].to_numpy(), return_inverse=True)
         one_block = group["x"].iloc[0] == group["y"].iloc[0]
-        out_a, out_b, out_e = [], [], []
+        n = np.array([len(x) for x in sets])
+        names, places = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        mine = np.zeros(len(names), bool)
+        out = []
         for i in range(len(group) - 1):
             j = np.arange(i + 1, len(group))
-            j = j[(comp[j] != comp[i]) & (one_block | (block[j] != block[i])) & (np.minimum(n[j], n[i]) * LIMIT[1] >= np.maximum(n[j], n[i]) * LIMIT[0])]
+            low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+            j = j[(label[j] != label[i]) & ((block[j] != block[i]) | one_block) & (LIMIT[1] * low >= LIMIT[0] * high)]
             if len(j):
-                e = estimates(np.broadcast_to(regs[i], (len(j), _REGISTERS)), np.full(len(j), n[i]), regs[j], n[j])
-                good = e >= LEAST_ESTIMATE
-                out_a.append(np.full(good.sum(), rep[i]))
-                out_b.append(rep[j[good]])
-                out_e.append(e[good])
-        if not out_a:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "estimate": pd.Series(dtype="float64")})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "estimate": np.concatenate(out_e)})
+                j = j[estimates(np.broadcast_to(regs[i], (len(j), _REGISTERS)), np.full(len(j), n[i]), regs[j], n[j]) >= LEAST_ESTIMATE]
+            if not len(j):
+                continue
+            mine[places[ends[i] - n[i] : ends[i]]] = True
+            common = np.array([np.count_nonzero(mine[places[ends[k] - n[k] : ends[k]]]) for k in j])
+            mine[places[ends[i] - n[i] : ends[i]]] = False
+            for k in j[LIMIT[1] * common >= LIMIT[0] * (n[i] + n[j] - common)]:
+                if label[k] != label[i]:
+                    out.append((rep[i], rep[k]))
+                    label[label == label[k]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long, estimate double").distinct()
+    return rows.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,22 +265,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(filled.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "rep", "digest").distinct(), "members")
     reps = materialize(
         filled.join(members.where("doc_id = rep").select("doc_id", "digest"), ["doc_id", "digest"])
-        .dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers", "digest"),
+        .dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers"),
         "reps",
     )
     bands = materialize(_band_rows(reps), "bands")
     heads = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    pairs = bands.join(heads, "band").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    candidates = materialize(_with_estimates(pairs, reps), "candidates")
-
+    bands = materialize(bands.join(heads, "band"), "shared_bands")
+    some = bands.select("rep").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(texts.join(some.hint("shuffle_hash"), "rep", "left_semi"), "shared_texts")
+
+    # One head per document, the one it shares most buckets with; all others are left to the blocks.
+    pairs = bands.where("a < rep").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
+    links = materialize(_confirmed(_with_estimates(pairs, reps), texts), "links")
     # A doc_id that is repeated with several sets connects their first documents.
     least = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("doc_id", "b")
     repeated = members.join(least, "doc_id").where("b < rep").select(F.col("rep").alias("a"), "b")
-    links, labels = _link(candidates, texts, materialize(repeated, "links"), None)
-    more = materialize(_blocked_pairs(bands, reps, labels), "blocked_candidates")
+    links = materialize(links.union(repeated), "links")
+    labels = materialize(components(links), "components")
+
+    more = materialize(_block_links(bands.select("band", "rep"), texts, labels), "links")
     if not more.isEmpty():
-        links, labels = _link(more, texts, links, labels)
+        labels = materialize(components(links.union(more)), "components")
 
     named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
