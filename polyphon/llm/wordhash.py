@@ -49,7 +49,7 @@ _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             grown = np.full(size, base, _U)
             grown[0] = 1
