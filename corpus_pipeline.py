@@ -28,7 +28,7 @@ QUALITY_LIMIT = 0.3
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go; it learns from the labels of this input."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, "quality_score_").where(F.col("quality_score_") >= QUALITY_LIMIT).drop("quality_score_")
+    return quality.with_score(docs, model, "__llm_quality").where(F.col("__llm_quality") >= QUALITY_LIMIT).drop("__llm_quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # Rows that share an id are copies of one document: the first by text stays.
     named = left.where("doc_id IS NOT NULL")
-    first = named.groupBy("doc_id").agg(F.count("*").alias("n_"), F.min(F.xxhash64(*docs.columns)).alias("row_")).where("n_ > 1")
+    first = named.groupBy("doc_id").agg(F.count("*").alias("__llm_n"), F.min(F.xxhash64(*docs.columns)).alias("__llm_row")).where("__llm_n > 1")
     single = named.join(first, "doc_id", "left_anti").select(*docs.columns)
-    chosen = named.join(first, "doc_id").where(F.xxhash64(*(F.col(c) for c in docs.columns)) == F.col("row_")).select(*docs.columns)
+    chosen = named.join(first, "doc_id").where(F.xxhash64(*(F.col(c) for c in docs.columns)) == F.col("__llm_row")).select(*docs.columns)
     return single.unionByName(chosen.dropDuplicates(["doc_id"])).unionByName(left.where("doc_id IS NULL"))
 
 
@@ -49,13 +49,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = decontaminate.with_verdict(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
     found = materialize(found.where("n_hit > 0").select("doc_id", "contaminated", "spans"), "contamination")
     gone = found.where("contaminated").select("doc_id").distinct()
-    cut = found.where("NOT contaminated AND doc_id IS NOT NULL").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    left = docs.join(gone, "doc_id", "left_anti").join(cut, "doc_id", "left").select(*docs.columns, "spans")
+    cut = found.where("NOT contaminated AND doc_id IS NOT NULL").select("doc_id", F.col("spans").alias("__llm_spans")).dropDuplicates(["doc_id"])
+    left = docs.join(gone, "doc_id", "left_anti").join(cut, "doc_id", "left").select(*docs.columns, "__llm_spans")
     columns = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column("__llm_spans").to_pylist()
             if not any(spans):
                 yield batch.select(columns)
                 continue

@@ -91,13 +91,15 @@ def count_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            n = _lengths(batch.column("text").to_pylist(), tokenizer)
+            # Rows that repeat one id and text come to one task.
+            distinct = dict(zip(batch.column("content").to_pylist(), batch.column("text").to_pylist()))
+            n = _lengths(list(distinct.values()), tokenizer)
             yield pa.record_batch(
-                [batch.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())],
+                [pa.array(list(distinct), pa.string()), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())],
                 names=["content", "version", "n_tokens"],
             )
 
-    texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_dir)
+    texts.mapInArrow(encode, CACHE).distinct().write.mode("append").parquet(cache_dir)
 
     counts = materialize(read_cache(spark, cache_dir, version), "content_counts")
     return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

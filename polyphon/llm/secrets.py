@@ -154,25 +154,30 @@ def _written(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, counts per base kind, ``base_sha256``, ``spans`` as text, ``n_entropy``."""
     rows = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     return rows.select("doc_id", *counts[:3], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), counts[3])
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span replaced in the text; overlapping spans are one."""
-    columns = docs.columns
-    rows = with_spans(docs, text_col).withColumn("spans_", F.col("spans"))
+    # The row travels as one value, so its columns may have any names.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = with_spans(whole)
     folded = F.aggregate(
-        "spans_",
+        "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(
                 s["start"] >= acc["at"],
-                F.concat(acc["parts"], F.array(F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))),
+                F.concat(acc["parts"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))),
             ).otherwise(acc["parts"]).alias("parts"),
         ),
-        lambda acc: F.concat(F.array_join(acc["parts"], mark), F.lit(mark), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
+        lambda acc: F.concat(F.array_join(acc["parts"], mark), F.lit(mark), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    text = F.when(F.size("spans_") > 0, folded).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*columns)
+    text = F.when(F.size("spans") > 0, folded).otherwise(F.col("text"))
+    return rows.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
