@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def encode_payload(*cols: Column | str) -> Column:
@@ -19,15 +19,16 @@ def decode_text(payload: Column, schema: StructType) -> Column:
 
 
 def decode_bytes(payload: Column, schema: StructType) -> Column:
-    """Struct from JSON bytes; null when the bytes are not valid JSON."""
-    text = payload.cast("string")
-    # The parser gives a struct of nulls for broken text; that is "no instance".
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    all_null = None
-    for f in schema.fieldNames():
-        is_null = parsed[f].isNull()
-        all_null = is_null if all_null is None else all_null & is_null
-    return F.when(~all_null, parsed)
+    """Struct from JSON bytes; null when any part of them does not fit the schema.
+
+    The parser reports such a record in a column of its own, so a valid record
+    whose fields are all null is still an instance.
+    """
+    bad = "_corrupt_record"
+    full = StructType([*schema.fields, StructField(bad, StringType())])
+    parsed = F.from_json(payload.cast("string"), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    fine = parsed.isNotNull() & parsed[bad].isNull()
+    return F.when(fine, F.struct(*(parsed[f].alias(f) for f in schema.fieldNames())))
 
 
 def decode_payload(kind: Column, text: Column, raw: Column, instance: Column, schema: StructType) -> Column:

@@ -31,15 +31,13 @@ def state_query_join(messages: DataFrame, model: DataFrame, max_bytes: int) -> D
     return model_join(messages, model, ["member"], max_bytes, "instance_id")
 
 
-def static_lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int = 100_000) -> DataFrame:
+def static_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join with a key-value table; the value is null when the key is absent.
 
-    The table is counted up to ``max_rows``. Only a table within that bound is
-    broadcast; a larger one is joined by shuffle, where adaptive execution splits
-    hot keys.
+    The table's statistics decide between broadcast and shuffle, and adaptive
+    execution splits hot keys of a shuffle.
     """
-    within = table.limit(max_rows + 1).count() <= max_rows
-    return rows.join(F.broadcast(table) if within else table, key, "left")
+    return rows.join(table, key, "left")
 
 
 def version_asof(messages: DataFrame, versions: DataFrame, pending: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -22,10 +22,9 @@ def members(n: int) -> str:
 def hash32(instance_id: str, member: str, seed: int) -> str:
     m = wt.MASK
     start = (seed * wt.SEED_STEP) & m
-    h = (
-        f"((({instance_id} & {m}) + (((({instance_id} >> 32) & {m}) * {wt.HIGH_STEP}) & {m})"
-        f" + ((CAST({member} AS BIGINT) * {wt.MEMBER_STEP}) & {m}) + {start}) & {m})"
-    )
+    key = f"(((CAST({member} AS BIGINT) + 1) * {wt.MEMBER_STEP} + {start}) & 2147483647)"
+    h = f"((({instance_id} & {m}) + ((({instance_id} >> 32) & {m}) * {wt.HIGH_STEP})) & {m})"
+    h = f"((xor({h}, ({h} >> 16)) * ({key} | 1) + (({key} * {wt.HIGH_STEP}) & {m})) & {m})"
     h = f"((xor({h}, ({h} >> 16)) * {wt.MIX_A}) & {m})"
     h = f"((xor({h}, ({h} >> 15)) * {wt.MIX_B}) & {m})"
     return f"xor({h}, ({h} >> 16))"

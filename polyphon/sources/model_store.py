@@ -33,7 +33,9 @@ class ModelStore:
     def _read(self, table: str, schema: StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             # Nothing has been written yet.
             return self.spark.createDataFrame([], schema)
 

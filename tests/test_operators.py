@@ -40,6 +40,20 @@ def test_hash_is_even_and_members_are_independent(spark):
     assert abs(h.stat.corr("h0", "h1")) < 0.01 and abs(h.stat.corr("h1", "h2")) < 0.01
 
 
+def test_members_and_seeds_are_not_shifted_copies(spark):
+    """Draws of one member do not come back as another one's (or another seed's) at any of the steps used in mixing."""
+    from polyphon.functions.weights import HIGH_STEP, MEMBER_STEP, SEED_STEP
+
+    ids = spark.range(20_000).withColumn("k", F.lit(0))
+    for step in (MEMBER_STEP, SEED_STEP, HIGH_STEP, 1, 1 << 32):
+        for sign in (1, -1):
+            moved = ids.withColumn("to", F.col("id") + sign * step)
+            same = moved.select(*((hash32("id", "1", 3) == hash32("to", m, s)).cast("int").alias(f"s{i}") for i, (m, s) in enumerate((("0", 3), ("2", 3), ("1", 4)))))
+            assert same.agg(F.sum(F.col("s0") + F.col("s1") + F.col("s2"))).first()[0] <= 2
+    pair = ids.select(*(hash32("id", str(m), 3).cast("double").alias(f"h{m}") for m in (0, 1)))
+    assert abs(pair.corr("h0", "h1")) < 0.03
+
+
 def test_weights_are_replayable_and_drop_zero(spark):
     rows = st.ensemble_fanout(spark.range(5000).selectExpr("id AS instance_id", "2D AS weight"), 4)
     a = with_poisson_weight(rows, seed=9)
