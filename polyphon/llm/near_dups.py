@@ -262,9 +262,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sketched.where("n_shingles > 0")
     # One row per distinct set: the smallest id that has it.
     firsts = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "set_firsts")
-    members = materialize(filled.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "rep", "digest").distinct(), "members")
+    members = materialize(filled.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "rep", "digest"), "members")
     reps = materialize(
-        filled.join(members.where("doc_id = rep").select("doc_id", "digest"), ["doc_id", "digest"])
+        filled.join(members.where("doc_id = rep").select("doc_id", "digest").distinct(), ["doc_id", "digest"])
         .dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers"),
         "reps",
     )
