@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import differences, duck
-from conftest import *  # noqa: F403
+from doubtful_rows import TEXTS
 from polyphon.llm import chat, counts, decontaminate, licenses, near_dups, neighbours, packing, quality, secrets, wavelet
 from polyphon.llm.queries import CHECKS, PIECE_TOKENIZER, QUERIES, WORD_TOKENIZER
 from polyphon.llm.tokens import encode_column
@@ -171,7 +171,7 @@ def classes(rows):
 
 def test_near_duplicates_doubtful(doubtful, empty):
     got = near_dups.near_duplicates(doubtful).collect()
-    want = classes([(i, t) for i, t in TEXTS if i is not None])  # noqa: F405
+    want = classes([(i, t) for i, t in TEXTS if i is not None])
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
     assert len(got) == 12
     assert near_dups.near_duplicates(empty).count() == 0
@@ -320,7 +320,7 @@ def test_licenses(documents, doubtful, empty):
     assert [m[0] for m in got[1]] == ["gpl-3.0"] and got[2] == [] and got[3] == [("all-rights-reserved", 0, 3)] and got[6] == []
     assert [m[0] for m in got[4]] == ["apache-2.0-header"]
     assert [m[0] for m in got[5]] == ["mit-text"] and got[5][0][1] == 3000
-    assert licenses.scan(doubtful).count() == len(TEXTS) and licenses.scan(empty).count() == 0  # noqa: F405
+    assert licenses.scan(doubtful).count() == len(TEXTS) and licenses.scan(empty).count() == 0
     # Patience matches are increasing in both and never more than a longest common subsequence.
     rng = np.random.default_rng(5)
     for _ in range(100):
@@ -345,7 +345,7 @@ def test_quality(spark, doubtful, empty):
     right = [(got[i].score >= 0.3) == (known[i] == 1) for i in held]
     assert sum(right) / len(right) >= 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
-    assert quality.score(doubtful, model).count() == len(TEXTS) and quality.score(empty, model).count() == 0  # noqa: F405
+    assert quality.score(doubtful, model).count() == len(TEXTS) and quality.score(empty, model).count() == 0
     constant = quality.train(empty, labels)
     assert {r.score for r in quality.score(doubtful, constant).collect()} == {0.5}
 
