@@ -9,12 +9,14 @@ running sums over the stream order, and the chain is one pass per member.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from polyphon.functions.weights import with_poisson_rate
 from polyphon.operators import naive_bayes as nb
+from polyphon.operators.evaluation import prequential
 from polyphon.operators.lookup import model_join
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running
 from polyphon.operators.votes import vote_cols, with_argmax
@@ -27,15 +29,6 @@ def chain_step(lam: Column, correct: Column, tw: Column, scms: Column, swms: Col
     return lam * tw / (2 * F.when(correct, scms).otherwise(swms))
 
 
-@dataclass
-class ChainTotals:
-    """Sums a member brought from earlier batches."""
-
-    scms: float = 0.0
-    swms: float = 0.0
-    tw: float = 0.0
-
-
 def boost_chain(flags: DataFrame, ensemble: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """λ before each member, for every instance.
 
@@ -79,7 +72,12 @@ def chain_long(chain: DataFrame, ensemble: int) -> DataFrame:
 
 def boost_member_stats(chain: DataFrame, ensemble: int) -> DataFrame:
     """Final ``scms, swms, tw`` of each member: plain sums of what passed through."""
-    return chain_long(chain, ensemble).groupBy("member").agg(
+    return member_sums(chain_long(chain, ensemble))
+
+
+def member_sums(rows: DataFrame) -> DataFrame:
+    """The same from ``member, correct, lam_in, weight`` rows."""
+    return rows.groupBy("member").agg(
         F.sum(F.when(F.col("correct"), F.col("lam_in")).otherwise(0.0)).alias("scms"),
         F.sum(F.when(F.col("correct"), F.lit(0.0)).otherwise(F.col("lam_in"))).alias("swms"),
         F.sum("weight").alias("tw"),
@@ -106,84 +104,54 @@ def correct_flags(instances: DataFrame, model: DataFrame, spec: FeatureSpec, ens
 
 
 @dataclass
-class BoostState:
-    """What training carries between batches: model statistics and member sums."""
+class BoostRun:
+    """Result of training: every member's chain rows, and the members' statistics."""
 
-    stats: DataFrame | None = None
-    sums: DataFrame | None = None
+    chain: DataFrame
+    stats: DataFrame
 
 
-def boost_train_batch(
-    batch: DataFrame, state: BoostState, spec: FeatureSpec, ensemble: int, pure: bool = False, seed: int = 1, bucket_rows: int = BUCKET_ROWS
-) -> tuple[BoostState, DataFrame]:
-    """Train all members on one batch, one member after the other.
+def boost_train(
+    instances: DataFrame, spec: FeatureSpec, ensemble: int, pure: bool = False, seed: int = 1, bucket_rows: int = BUCKET_ROWS
+) -> BoostRun:
+    """Online boosting of naive Bayes in the original order, instance by instance.
 
-    Member by member: weight the batch by k ~ Poisson(λ) (or k = λ when
-    ``pure``), merge the statistics, test the whole batch with the *updated*
-    model, and move λ on. With one instance per batch this is the original
-    instance-by-instance order. Returns the new state and the batch with its λ
-    columns.
+    A member draws k ~ Poisson(λ) (or takes k = λ when ``pure``), trains on the
+    instance, tests itself on it, adds λ to its sums and passes λ on. All λ that
+    reach a member are known before it starts, so the model it has at each
+    instance is a set of inclusive running sums: two passes per member. A member's
+    rows are written once and hold the instance, not the earlier members' columns.
+
+    ``chain`` has ``seq, weight, member, correct, lam_in, lam_out``; ``stats`` are
+    naive Bayes statistics as ``nb_train`` gives them.
     """
-    kept = batch.columns
+    kept = instances.columns
     n = len(spec.classes)
-    before = _sums_before(state)
-    rows = materialize(batch.withColumn("lam_0", F.lit(1.0)), "boost-batch")
-    all_stats = []
+    rows = instances.withColumn("_lam", F.lit(1.0))
+    chains, stats = [], []
     for m in range(ensemble):
-        lam, ok = F.col(f"lam_{m}"), F.col(f"correct_{m}")
         drawn = rows.withColumn("member", F.lit(m))
-        drawn = drawn.withColumn("_k", lam) if pure else with_poisson_rate(drawn, f"lam_{m}", "member", "_k", seed=seed)
-        # k = 0 adds nothing to any sum; a filter here would draw every k twice.
-        drawn = drawn.withColumn("_w", F.col(spec.weight) * F.col("_k"))
-        delta = nb.nb_train(drawn, spec, weight="_w")
-        if state.stats is not None:
-            delta = nb.merge_stats(state.stats.where(F.col("member") == m), delta)
-        # Statistics are a few rows; scoring below reads them twice.
-        stats = materialize(delta, f"boost-stats-{m}")
-        all_stats.append(stats)
-
-        model = nb.nb_model(stats, spec)
-        cols = [c for c in model.columns if c != "member"]
-        scored = model_join(rows.withColumn("member", F.lit(m)), model, ["member"], spec.model_cells * 24, "instance_id", how="left")
-        scored = with_argmax(nb.votes_from_logs(scored, nb.log_votes(spec)), n, "_best")
+        drawn = drawn.withColumn("_k", F.col("_lam")) if pure else with_poisson_rate(drawn, "_lam", "member", "_k", seed=seed)
+        drawn = drawn.withColumn("_w", F.col(spec.weight) * F.col("_k")).drop("_k")
+        # Written: running sums read their source twice, and training reads it again.
+        drawn = materialize(drawn, f"boost-drawn-{m}")
+        stats.append(nb.nb_train(drawn, spec, weight="_w"))
+        scored = with_argmax(prequential(drawn, replace(spec, weight="_w"), bucket_rows, inclusive=True), n, "_best")
         hit = F.col("_best") == spec.class_index(F.col(spec.label))
-        scored = scored.withColumn(f"correct_{m}", F.coalesce(hit, F.lit(False))).drop("_best", "member", *vote_cols(n), *cols)
-
-        r = running(
-            scored,
-            "seq",
-            [
-                Running("_scms", f"if(correct_{m}, lam_{m}, 0D)"),
-                Running("_swms", f"if(correct_{m}, 0D, lam_{m})"),
-                Running("_tw", spec.weight),
-            ],
-            bucket_rows=bucket_rows,
-        )
-        b = before.get(m, ChainTotals())
-        lam_next = chain_step(lam, ok, F.col("_tw") + b.tw, F.col("_scms") + b.scms, F.col("_swms") + b.swms)
-        rows = materialize(r.withColumn(f"lam_{m + 1}", lam_next).drop("_scms", "_swms", "_tw"), f"boost-rows-{m}")
-    stats = all_stats[0]
-    for s in all_stats[1:]:
-        stats = stats.unionByName(s)
-    out = rows.withColumnRenamed(f"lam_{ensemble}", "lam_out")
-    new_state = BoostState(stats=stats, sums=materialize(_sums_after(out, spec.weight, ensemble, before), "boost-sums"))
-    return new_state, out.select(*kept, *[c for m in range(ensemble) for c in (f"lam_{m}", f"correct_{m}")], "lam_out")
-
-
-def _sums_before(state: BoostState) -> dict[int, ChainTotals]:
-    """Three numbers per member; they become constants of the next plan."""
-    if state.sums is None:
-        return {}
-    return {r.member: ChainTotals(r.scms, r.swms, r.tw) for r in state.sums.collect()}
-
-
-def _sums_after(rows: DataFrame, weight: str, ensemble: int, before: dict[int, ChainTotals]) -> DataFrame:
-    """Every member's sums after the batch, in one pass over it."""
-    parts = []
-    for m in range(ensemble):
-        b = before.get(m, ChainTotals())
-        parts.append(
-            f"named_struct('member', {m}, 'scms', {b.scms!r}D + coalesce(sum(if(correct_{m}, lam_{m}, 0D)), 0D), "
-            f"'swms', {b.swms!r}D + coalesce(sum(if(correct_{m}, 0D, lam_{m})), 0D), 'tw', {b.tw!r}D + coalesce(sum({weight}), 0D))"
+        tested = scored.withColumn("_ok", F.coalesce(hit, F.lit(False))).select(*kept, "_lam", "_ok")
+        sums = [
+            Running("_scms", "if(_ok, _lam, 0D)"),
+            Running("_swms", "if(_ok, 0D, _lam)"),
+            Running("_tw", spec.weight),
+        ]
+        moved = running(materialize(tested, f"boost-tested-{m}"), "seq", sums, bucket_rows=bucket_rows)
+        moved = moved.withColumn("_next", chain_step(F.col("_lam"), F.col("_ok"), F.col("_tw"), F.col("_scms"), F.col("_swms")))
+        done = materialize(moved.select(*kept, "_lam", "_ok", "_next"), f"boost-chain-{m}")
+        chains.append(
+            done.select(
+                "seq", F.col(spec.weight).alias("weight"), F.lit(m).alias("member"), F.col("_ok").alias("correct"),
+                F.col("_lam").alias("lam_in"), F.col("_next").alias("lam_out"),
+            )
         )
-    return rows.agg(F.expr(f"array({', '.join(parts)}) AS _m")).selectExpr("inline(_m)")
+        rows = done.select(*kept, F.col("_next").alias("_lam"))
+    return BoostRun(chain=reduce(DataFrame.unionByName, chains), stats=reduce(DataFrame.unionByName, stats))

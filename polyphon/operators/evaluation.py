@@ -66,12 +66,13 @@ def learning_curve(scored: DataFrame, step: int, index: str = "seq") -> DataFram
     )
 
 
-def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCKET_ROWS, inclusive: bool = False) -> DataFrame:
     """Test-then-train for naive Bayes: score each row with all rows before it.
 
     The model before row i is a set of sums over rows 0 … i-1, so one pass of
     exclusive running sums gives every row its own model; the vote is then
     arithmetic on the row. Adds the vote vector (all zero for the first row).
+    ``inclusive`` trains on row i first and then scores it.
     """
     w, label = name(spec.weight), name(spec.label)
     aggs = []
@@ -90,7 +91,7 @@ def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCK
             for k, v in enumerate(values):
                 aggs.append(Running(f"_c_{i}_{j}_{k}", f"if({mine} AND {name(a)} = {text(v)}, {w}, 0D)"))
     kept = [name(c) for c in instances.columns]
-    state = running(instances, "seq", aggs, exclusive=True, bucket_rows=bucket_rows)
+    state = running(instances, "seq", aggs, exclusive=not inclusive, bucket_rows=bucket_rows)
     moments = {"_n": " + ".join(f"_n_{i}" for i in range(len(spec.classes)))}
     for i in range(len(spec.classes)):
         for j in range(len(spec.numeric)):

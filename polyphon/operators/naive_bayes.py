@@ -22,59 +22,43 @@ from polyphon.operators.lookup import model_join
 from polyphon.sources.instances import FeatureSpec
 
 VARIANCE_FLOOR = 1e-9
+ROUNDING = 1e-12
 TWO_PI = f"{2 * math.pi!r}D"
 CLASS_ATTR = "#class"
 STAT_COLUMNS = ["member", "label", "attr", "value", "w", "wx", "wxx"]
-# Above this many nominal values the one-pass form would build too many sums.
-ONE_PASS_VALUES = 200
 
 
 def nb_train(weighted: DataFrame, spec: FeatureSpec, weight: str = "w", keys: tuple[str, ...] = ("member",)) -> DataFrame:
     """Sufficient statistics of weighted instances, in long form.
 
     ``keys`` are the model keys (a member, or a version and a member). Rows of
-    attribute ``#class`` hold the class weights.
-    """
-    n_values = sum(len(v) for v in spec.nominal.values())
-    if n_values <= ONE_PASS_VALUES:
-        return _train_one_pass(weighted, spec, weight, keys)
-    return _train_per_attribute(weighted, spec, weight, keys)
-
+    attribute ``#class`` hold the class weights. Every value of a nominal
+    attribute counts, declared or not, so a header may have any number of them.
 
-def _train_one_pass(weighted: DataFrame, spec: FeatureSpec, weight: str, keys: tuple[str, ...]) -> DataFrame:
-    """One aggregation: nominal counts are conditional sums over declared values."""
-    w = name(weight)
-    row = "named_struct('attr', {}, 'value', {}, 'w', {}, 'wx', {}, 'wxx', {})".format
+    It is one aggregation. A row speaks once for its class, which carries all
+    numeric sums, and once for each nominal value it has.
+    """
+    w, label = name(weight), name(spec.label)
     null_s, null_d = "cast(NULL AS STRING)", "cast(NULL AS DOUBLE)"
-    rows = [row(text(CLASS_ATTR), null_s, f"sum({w})", null_d, null_d)]
-    for a in spec.numeric:
-        x = name(a)
-        rows.append(row(text(a), null_s, f"sum(if({x} IS NOT NULL, {w}, NULL))", f"sum({w} * {x})", f"sum({w} * {x} * {x})"))
-    for a, values in spec.nominal.items():
-        for v in values:
-            rows.append(row(text(a), text(v), f"sum(if({name(a)} = {text(v)}, {w}, NULL))", null_d, null_d))
+    cell = "named_struct('attr', {}, 'value', cast({} AS STRING))".format
+    said = [cell(text(CLASS_ATTR), null_s), *(cell(text(a), name(a)) for a in spec.nominal)]
+    numbers = [f"cast({name(a)} AS DOUBLE) AS _x{i}" for i, a in enumerate(spec.numeric)]
+    tall = weighted.selectExpr(*keys, f"{label} AS label", f"{w} AS _w", *numbers, f"inline(array({', '.join(said)}))")
+    own = f"attr = {text(CLASS_ATTR)}"
+    sums = [F.expr("sum(_w) AS w")]
+    for i in range(len(spec.numeric)):
+        seen = f"{own} AND _x{i} IS NOT NULL"
+        sums += [
+            F.expr(f"sum(if({seen}, _w, NULL)) AS _w{i}"),
+            F.expr(f"sum(if({seen}, _w * _x{i}, NULL)) AS _wx{i}"),
+            F.expr(f"sum(if({seen}, _w * _x{i} * _x{i}, NULL)) AS _wxx{i}"),
+        ]
+    wide = tall.where(f"{own} OR value IS NOT NULL").groupBy(*keys, "label", "attr", "value").agg(*sums)
+    row = "named_struct('attr', {}, 'value', {}, 'w', {}, 'wx', {}, 'wxx', {})".format
+    rows = [row("attr", "value", "w", null_d, null_d)]
+    rows += [row(text(a), null_s, f"_w{i}", f"_wx{i}", f"_wxx{i}") for i, a in enumerate(spec.numeric)]
     # A cell that no weight fell into is no row of the table.
-    cells = F.expr(f"filter(array({', '.join(rows)}), r -> r.w > 0) AS _cells")
-    wide = weighted.groupBy(*keys, spec.label).agg(cells)
-    return wide.selectExpr(*keys, f"{name(spec.label)} AS label", "inline(_cells)")
-
-
-def _train_per_attribute(weighted: DataFrame, spec: FeatureSpec, weight: str, keys: tuple[str, ...]) -> DataFrame:
-    """Wide headers: the attributes of a row become rows before one aggregation."""
-    w = F.col(weight)
-    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
-    cells = [F.struct(F.lit(CLASS_ATTR).alias("attr"), none_s.alias("value"), none_d.alias("x"))]
-    cells += [F.struct(F.lit(a).alias("attr"), none_s.alias("value"), F.col(a).cast("double").alias("x")) for a in spec.numeric]
-    cells += [F.struct(F.lit(a).alias("attr"), F.col(a).alias("value"), none_d.alias("x")) for a in spec.nominal]
-    cell = F.explode(F.array(*cells))
-    tall = weighted.select(*keys, F.col(spec.label).alias("label"), w.alias("_w"), cell.alias("c")).select(*keys, "label", "_w", "c.*")
-    present = (F.col("attr") == CLASS_ATTR) | F.col("value").isNotNull() | F.col("x").isNotNull()
-    return (
-        tall.where(present)
-        .groupBy(*keys, "label", "attr", "value")
-        .agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("x")).alias("wx"), F.sum(F.col("_w") * F.col("x") * F.col("x")).alias("wxx"))
-        .where(F.col("w") > 0)
-    )
+    return wide.selectExpr(*keys, "label", f"inline(filter(array({', '.join(rows)}), r -> r.w > 0))")
 
 
 def single_train(instances: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -159,9 +143,13 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
 
 
 def gaussian(w: str, wx: str, wxx: str) -> tuple[str, str]:
-    """Mean and sample variance (floored) of weighted sums, as SQL text."""
+    """Mean and sample variance (floored) of weighted sums, as SQL text.
+
+    A difference below 1e-12 of the sum of squares is what rounding leaves of 0.
+    """
     mu = f"{wx} / {w}"
-    var = f"if({w} > 1, greatest(({wxx} - {wx} * {wx} / {w}) / ({w} - 1), {VARIANCE_FLOOR}D), {VARIANCE_FLOOR}D)"
+    spread = f"({wxx} - {wx} * {wx} / {w})"
+    var = f"if({w} > 1 AND {spread} > {wxx} * {ROUNDING}D, greatest({spread} / ({w} - 1), {VARIANCE_FLOOR}D), {VARIANCE_FLOOR}D)"
     return mu, var
 
 

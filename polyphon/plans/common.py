@@ -11,7 +11,7 @@ from polyphon.operators import naive_bayes as nb
 from polyphon.operators.streams import ensemble_fanout, member_partition
 from polyphon.plans.bagging import bag_train, share_of_stream
 from polyphon.sources.instances import (
-    EVENTS_SPEC, LINEITEM_SPEC, FeatureSpec, complete_header, events_instances, lineitem_instances, read_table, spread,
+    EVENTS_SPEC, LINEITEM_SPEC, FeatureSpec, complete_header, events_instances, lineitem_instances, read_table,
 )
 
 ENSEMBLE = 5
@@ -22,7 +22,7 @@ TRAIN_SHARE = 0.8
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_instances(spread(read_table(spark, sf_dir, "events")))
+    return events_instances(read_table(spark, sf_dir, "events"))
 
 
 @lru_cache(maxsize=64)
@@ -55,16 +55,16 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> DataFrame:
-    """Statistics of the bagged ensemble on the first part of the stream."""
+    """Statistics of the bagged ensemble on the first part of the stream; the rest is held out."""
     return bag_train(train_rows(spark, sf_dir), events_spec(spark, sf_dir), ensemble, SEED)
 
 
 def all_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> DataFrame:
-    """Votes of the trained ensemble on every event, with part and label."""
+    """Votes of an ensemble trained on the whole stream on every event, with part and label."""
     spec = events_spec(spark, sf_dir)
     rows = events(spark, sf_dir).select("instance_id", "seq", "weight", *spec.numeric, *spec.nominal, F.col("label").alias("truth"))
     fanned = member_partition(ensemble_fanout(rows, ensemble), ensemble, PARTS)
-    return nb.member_votes(fanned, nb.nb_model(trained(spark, sf_dir, ensemble), spec), spec, ensemble)
+    return nb.member_votes(fanned, nb.nb_model(bag_train(events(spark, sf_dir), spec, ensemble, SEED), spec), spec, ensemble)
 
 
 def arrives(instance_id: str, member: str, seed: int = 11) -> Column:

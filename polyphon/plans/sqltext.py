@@ -88,6 +88,27 @@ def nb_votes(rows: str, stats: str = "stats", name: str = "votes", numeric=("x_c
   SELECT *, exp(lv - max(lv) OVER (PARTITION BY instance_id, member)) AS vote FROM {p}_log)"""
 
 
+def running_votes(source: str, name: str, w: str = "weight", upto: str = "1 PRECEDING") -> tuple[str, ...]:
+    """Votes ``seq, truth, label, vote`` of naive Bayes trained on the rows up to ``upto``: wide running sums per class."""
+    mine = "CASE WHEN i.label = c.label THEN i.{} ELSE 0 END".format
+    sums = [f"sum({mine(w)}) OVER w AS n", f"sum({mine(w)}) OVER u AS nv"]
+    num = []
+    for a in ("x_cents", "x_k"):
+        sums += [f"sum({mine(f'{w} * i.{a}')}) OVER w AS s_{a}", f"sum({mine(f'{w} * i.{a} * i.{a}')}) OVER w AS q_{a}"]
+        d = f"(q_{a} - s_{a} * s_{a} / n)"
+        var = f"(CASE WHEN n > 1 AND {d} > q_{a} * 1e-12 THEN greatest({d} / (n - 1), 1e-9) ELSE 1e-9 END)"
+        num.append(f"(-0.5 * ln(2 * pi() * {var}) - ({a} - s_{a} / n) * ({a} - s_{a} / n) / (2 * {var}))")
+    return (
+        f"""{name}_run AS MATERIALIZED (SELECT i.seq, i.label AS truth, i.x_cents, i.x_k, c.label, {', '.join(sums)}
+      FROM {source} i CROSS JOIN (SELECT DISTINCT label FROM inst) c
+      WINDOW w AS (PARTITION BY c.label ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}),
+             u AS (PARTITION BY c.label, i.n_user ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}))""",
+        f"""{name}_lg AS MATERIALIZED (SELECT seq, truth, label, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY seq)) + {' + '.join(num)}
+      + ln((coalesce(nv, 0) + 1) / (n + (SELECT count(DISTINCT n_user) FROM inst))) END AS lv FROM {name}_run)""",
+        f"{name} AS MATERIALIZED (SELECT seq, truth, label, coalesce(exp(lv - max(lv) OVER (PARTITION BY seq)), 0) AS vote FROM {name}_lg)",
+    )
+
+
 def normalize(source: str, name: str, part: str, col: str = "vote", out: str = "vote", cols: str = "instance_id, member, label") -> str:
     total = f"sum({col}) OVER (PARTITION BY {part})"
     return f"{name} AS MATERIALIZED (SELECT {cols}, CASE WHEN {total} > 0 THEN {col} / {total} ELSE {col} END AS {out} FROM {source})"

@@ -14,13 +14,13 @@ from polyphon.operators.streams import ensemble_fanout
 from polyphon.plans import sqltext as q
 from polyphon.plans.bagging import bag_train
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, stream_cut, trained,
+    BOOST, ENSEMBLE, SEED, events, events_spec, lineitem_spec, stream_cut,
 )
 from polyphon.plans.learners import bag_batches, learner
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import CHANNEL, COLS, STREAM_FILES
 from polyphon.sources import channels
-from polyphon.sources.instances import lineitem_instances, read_table, spread
+from polyphon.sources.instances import lineitem_instances, read_table
 from polyphon.sources.model_store import ModelStore
 from polyphon.sources.workspace import materialize, new_folder
 from polyphon.streaming import training as tr
@@ -57,7 +57,7 @@ LINE = """line AS MATERIALIZED (SELECT CAST(1.0 AS DOUBLE) AS weight, CAST(0 AS
 )
 def single_train_lineitem(spark, sf_dir):
     """The largest table, which has no key: training needs none."""
-    return stat_rows(nb.single_train(lineitem_instances(spread(read_table(spark, sf_dir, "lineitem"))), lineitem_spec(spark, sf_dir)))
+    return stat_rows(nb.single_train(lineitem_instances(read_table(spark, sf_dir, "lineitem")), lineitem_spec(spark, sf_dir)))
 
 
 @query(
@@ -252,8 +252,7 @@ def tree_size_limit(spark, sf_dir):
 
 FLAGS_SQL = (
     q.INST,
-    f"tr AS (SELECT * FROM inst WHERE seq < {q.cut()})",
-    q.bag("tr", BOOST, SEED),
+    q.bag("inst", BOOST, SEED),
     q.nb_stats("bag"),
     q.nb_votes("inst", carry=", r.label AS truth"),
     q.argmax("votes", "best", by="instance_id, member", carry=", truth"),
@@ -280,20 +279,20 @@ def _chain_sql(n):
 
 
 CHAIN_SQL = (*FLAGS_SQL, *_chain_sql(BOOST))
-STATS_SQL = (
-    *CHAIN_SQL,
+MEMBER_SQL = (
     """bstats AS MATERIALIZED (SELECT member, sum(CASE WHEN correct THEN lam_in ELSE 0 END) AS scms,
       sum(CASE WHEN correct THEN 0 ELSE lam_in END) AS swms, sum(weight) AS tw FROM chain GROUP BY member)""",
     """bweights AS MATERIALIZED (SELECT member, CASE WHEN swms / (scms + swms) = 0 OR swms / (scms + swms) > 0.5 THEN 0
       ELSE ln((1 - swms / (scms + swms)) / (swms / (scms + swms))) END AS weight FROM bstats)""",
 )
+STATS_SQL = (*CHAIN_SQL, *MEMBER_SQL)
 
 
 def boost_flags(spark, sf_dir):
     """Whether each frozen member classifies each event correctly."""
     spec = events_spec(spark, sf_dir)
     # The members are frozen: they are trained once, and each is then looked up.
-    model = nb.nb_model(materialize(trained(spark, sf_dir, BOOST), "boost-members"), spec)
+    model = nb.nb_model(materialize(bag_train(events(spark, sf_dir), spec, BOOST, SEED), "boost-members"), spec)
     flagged = bo.correct_flags(events(spark, sf_dir), model, spec, BOOST)
     return flagged.select("seq", "weight", *[f"correct_{m}" for m in range(BOOST)])
 
@@ -324,79 +323,53 @@ def boost_member_weight(spark, sf_dir):
     return event_member_weights(spark, sf_dir).select("member", F.round("weight", 6).alias("weight"))
 
 
-BATCHES = 2
+def boost_ctes(source, pure):
+    """Online boosting as subqueries, one member after the other: ``bt_m`` has the weighted rows, ``bc_m`` the chain."""
+    ctes = [f"br0 AS MATERIALIZED (SELECT *, CAST(1.0 AS DOUBLE) AS lam FROM {source})"]
+    for m in range(BOOST):
+        k = "lam"
+        if not pure:
+            # Poisson(lam): pieces of at most 16, each by the inverse distribution function.
+            u = f"(({q.hash32('instance_id', f'({m} + p * 65536)', SEED)}) / 4294967296.0)"
+            share = "(lam / greatest(ceil(lam / 16.0), 1))"
+            term = f"exp(i * ln({share}) - {share} - lgamma(i + 1))"
+            k = (
+                f"list_sum(list_transform(range(0, CAST(greatest(ceil(lam / 16.0), 1) AS BIGINT)), lambda p: "
+                f"len(list_filter(range(0, CAST(ceil({share} + sqrt({share}) * 8 + 12) AS BIGINT)), lambda j: "
+                f"{u} >= list_sum(list_transform(range(0, j + 1), lambda i: {term}))))))"
+            )
+        ctes += [
+            f"bt{m} AS MATERIALIZED (SELECT *, CAST({m} AS INTEGER) AS member, CAST(weight * {k} AS DOUBLE) AS w FROM br{m})",
+            *q.running_votes(f"bt{m}", f"bv{m}", w="w", upto="CURRENT ROW"),
+            q.argmax(f"bv{m}", f"bb{m}", by="seq", carry=", truth"),
+            f"bf{m} AS (SELECT t.*, b.pred = b.truth AS ok FROM bt{m} t JOIN bb{m} b USING (seq))",
+            f"""bc{m} AS MATERIALIZED (SELECT *, lam * tw / (2 * CASE WHEN ok THEN scms ELSE swms END) AS lam_out FROM (
+      SELECT *, sum(CASE WHEN ok THEN lam ELSE 0 END) OVER o AS scms, sum(CASE WHEN ok THEN 0 ELSE lam END) OVER o AS swms,
+             sum(weight) OVER o AS tw FROM bf{m} WINDOW o AS (ORDER BY seq)))""",
+            f"br{m + 1} AS MATERIALIZED (SELECT * EXCLUDE (member, w, ok, scms, swms, tw, lam, lam_out), lam_out AS lam FROM bc{m})",
+        ]
+    union = " UNION ALL ".join(f"SELECT seq, member, weight, ok AS correct, lam AS lam_in, lam_out FROM bc{m}" for m in range(BOOST))
+    return [*ctes, f"chain AS MATERIALIZED ({union})"]
 
 
-def _boost_run(spark, sf_dir, pure):
-    inst = events(spark, sf_dir)
-    spec = events_spec(spark, sf_dir)
-    half = stream_cut(spark, sf_dir, 0.5)
-    state, done = bo.BoostState(), []
-    for part in (inst.where(F.col("seq") < half), inst.where(F.col("seq") >= half)):
-        state, rows = bo.boost_train_batch(part, state, spec, BATCHES, pure=pure, seed=SEED)
-        done.append(rows)
-    out = done[0].unionByName(done[1])
-    return out.select("seq", *[c for m in range(BATCHES) for c in (f"correct_{m}", F.round(f"lam_{m}", 6).alias(f"lam_{m}"))], F.round("lam_out", 6).alias("lam_out"))
-
-
-def _boost_sql(pure):
-    """Two batches × two members, written out as one chain of subqueries."""
-    ctes = [q.INST, f"half AS (SELECT {q.cut(0.5)} AS h)"]
-    stats_before = {}
-    for b in range(BATCHES):
-        side = "<" if b == 0 else ">="
-        ctes.append(f"r{b}_0 AS MATERIALIZED (SELECT i.*, CAST(1.0 AS DOUBLE) AS lam_0 FROM inst i WHERE seq {side} (SELECT h FROM half))")
-        for m in range(BATCHES):
-            p = f"b{b}m{m}"
-            src = f"r{b}_{m}"
-            if pure:
-                k = f"lam_{m}"
-            else:
-                # Poisson(λ) by inverse distribution function; λ stays below one
-                # piece at this scale, and the test table checks that.
-                u = f"(({q.hash32('instance_id', str(m), SEED)}) / 4294967296.0)"
-                terms = f"CAST(ceil(lam_{m} + sqrt(lam_{m}) * 8 + 12) AS BIGINT)"
-                k = (
-                    f"CAST(len(list_filter(range(0, {terms}), lambda j: {u} >= list_sum(list_transform(range(0, j + 1), "
-                    f"lambda i: exp(-lam_{m}) * pow(lam_{m}, i) / factorial(CAST(i AS INTEGER)))))) AS DOUBLE)"
-                )
-            ctes.append(f"{p}_t AS MATERIALIZED (SELECT *, CAST({m} AS INTEGER) AS member, weight * {k} AS w FROM {src})")
-            ctes.append(f"{p}_w AS MATERIALIZED (SELECT * FROM {p}_t WHERE w > 0)")
-            ctes.append(q.nb_stats(f"{p}_w", name=f"{p}_d"))
-            if m in stats_before:
-                ctes.append(
-                    f"{p}_s AS MATERIALIZED (SELECT member, label, attr, value, sum(w) AS w, sum(wx) AS wx, sum(wxx) AS wxx FROM "
-                    f"(SELECT * FROM {p}_d UNION ALL SELECT * FROM {stats_before[m]}) GROUP BY ALL)"
-                )
-            else:
-                ctes.append(f"{p}_s AS MATERIALIZED (SELECT * FROM {p}_d)")
-            ctes.append(q.nb_votes(src, stats=f"{p}_s", name=f"{p}_v", carry=", r.label AS truth"))
-            ctes.append(q.argmax(f"{p}_v", f"{p}_b", carry=", truth"))
-            before = f"(SELECT coalesce(sum({{}}), 0) FROM b0m{m}_f)" if b else "0"
-            scms, swms, tw = (before.format(c) for c in (f"CASE WHEN ok THEN lam_{m} ELSE 0 END", f"CASE WHEN ok THEN 0 ELSE lam_{m} END", "weight"))
-            ctes.append(f"{p}_f AS MATERIALIZED (SELECT r.*, b.pred = b.truth AS ok FROM {src} r JOIN {p}_b b USING (instance_id))")
-            ctes.append(
-                f"""r{b}_{m + 1} AS MATERIALIZED (SELECT * EXCLUDE (ok, scms, swms, tw), ok AS correct_{m},
-      lam_{m} * tw / (2 * CASE WHEN ok THEN scms ELSE swms END) AS lam_{m + 1} FROM (
-        SELECT *, {scms} + sum(CASE WHEN ok THEN lam_{m} ELSE 0 END) OVER o AS scms, {swms} + sum(CASE WHEN ok THEN 0 ELSE lam_{m} END) OVER o AS swms,
-               {tw} + sum(weight) OVER o AS tw FROM {p}_f WINDOW o AS (ORDER BY seq)))"""
-            )
-            stats_before[m] = f"{p}_s"
-    cols = ", ".join(f"correct_{m}, round(lam_{m}, 6) AS lam_{m}" for m in range(BATCHES))
-    out = " UNION ALL ".join(f"SELECT seq, {cols}, round(lam_{BATCHES}, 6) AS lam_out FROM r{b}_{BATCHES}" for b in range(BATCHES))
-    return q.with_(*ctes) + out
+CHAIN_OUT = "SELECT seq, member, correct, round(lam_in, 6) AS lam_in, round(lam_out, 6) AS lam_out FROM chain"
+
+
+def _boosted(spark, sf_dir, pure):
+    run = bo.boost_train(events(spark, sf_dir), events_spec(spark, sf_dir), BOOST, pure=pure, seed=SEED)
+    return run.chain.select("seq", "member", "correct", F.round("lam_in", 6).alias("lam_in"), F.round("lam_out", 6).alias("lam_out"))
 
 
-@query("boost_train", _boost_sql(False))
+@query("boost_train", q.with_(q.INST, *boost_ctes("inst", False)) + CHAIN_OUT)
 def boost_train(spark, sf_dir):
-    """Poisson(λ) boosting of two members over the stream in two batches."""
-    return _boost_run(spark, sf_dir, pure=False)
+    """Poisson boosting, instance by instance: what each member saw and decided."""
+    return _boosted(spark, sf_dir, pure=False)
 
 
-@query("boost_pure", _boost_sql(True))
+@query("boost_pure", q.with_(q.INST, *boost_ctes("inst", True)) + CHAIN_OUT)
 def boost_pure(spark, sf_dir):
-    """The same with k = λ."""
-    return _boost_run(spark, sf_dir, pure=True)
+    """The same with the chained weight itself in place of the draw."""
+    return _boosted(spark, sf_dir, pure=True)
 
 
 @query(

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from polyphon.functions.routing import member_partition
+from polyphon.operators import boosting as bo
 from polyphon.operators import evaluation as ev
+from polyphon.operators import naive_bayes as nb
 from polyphon.operators import votes as vt
-from polyphon.operators.streams import instance_batches
+from polyphon.operators.streams import ensemble_fanout, instance_batches
 from polyphon.plans import sqltext as q
 from polyphon.plans.bagging import bag_holdout, bag_predict
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, trained,
+    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, test_rows, train_rows, trained,
 )
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import BAG_PRED, PART_SQL
-from polyphon.plans.training_queries import STATS_SQL, event_member_weights
+from polyphon.plans.training_queries import MEMBER_SQL, STATS_SQL, boost_ctes, event_member_weights
 from polyphon.streaming.timeouts import vote_timeout as vote_timeout_op
 
 
 def _votes_sql(ensemble):
     return (
         q.INST,
-        f"tr AS (SELECT * FROM inst WHERE seq < {q.cut()})",
-        q.bag("tr", ensemble, SEED),
+        q.bag("inst", ensemble, SEED),
         q.nb_stats("bag"),
         q.nb_votes("inst"),
         q.normalize("votes", "nv", "instance_id, member"),
@@ -226,16 +227,50 @@ def holdout_eval(spark, sf_dir):
     return _rounded(bag_holdout(events(spark, sf_dir), events_spec(spark, sf_dir), ENSEMBLE, SEED))
 
 
+@query(
+    "boost_holdout",
+    q.with_(
+        q.INST,
+        f"tr AS MATERIALIZED (SELECT * FROM inst WHERE seq < {q.cut()})",
+        *boost_ctes("tr", False),
+        *MEMBER_SQL,
+        f"bw AS MATERIALIZED ({' UNION ALL '.join(f'SELECT member, label, n_user, x_cents, x_k, w FROM bt{m} WHERE w > 0' for m in range(BOOST))})",
+        q.nb_stats("bw"),
+        f"te AS (SELECT * FROM inst WHERE seq >= {q.cut()})",
+        q.nb_votes("te"),
+        q.normalize("votes", "nv", "instance_id, member"),
+        """fl AS MATERIALIZED (SELECT n.instance_id, n.label, sum(CASE WHEN b.weight > 0 THEN n.vote * b.weight ELSE 0 END) AS vote
+          FROM nv n JOIN bweights b USING (member) GROUP BY ALL)""",
+        q.normalize("fl", "fn", "instance_id", cols="instance_id, label"),
+        q.argmax("fn", "best"),
+        "pr AS MATERIALIZED (SELECT b.pred, i.label AS truth, i.weight FROM best b JOIN inst i USING (instance_id))",
+    )
+    + METRIC_SQL,
+)
+def boost_holdout(spark, sf_dir):
+    """Boost on the first 80 %, weight the members' votes, evaluate on the rest."""
+    spec = events_spec(spark, sf_dir)
+    n = len(spec.classes)
+    run = bo.boost_train(train_rows(spark, sf_dir), spec, BOOST, seed=SEED)
+    weights = bo.member_sums(run.chain).select("member", vt.boost_member_weight(F.col("scms"), F.col("swms")).alias("weight"))
+    rows = test_rows(spark, sf_dir).select("instance_id", "weight", *spec.numeric, *spec.nominal, F.col("label").alias("truth"))
+    fanned = ensemble_fanout(rows.drop("truth", "weight"), BOOST).withColumn("part", F.lit(0))
+    votes = nb.member_votes(fanned, nb.nb_model(run.stats, spec), spec, BOOST)
+    best = vt.with_argmax(vt.combine_votes(vt.boost_partial_votes(votes, weights, n, BOOST), n), n)
+    scored = rows.join(best.select("instance_id", spec.class_at(F.col("pred_index")).alias("pred")), "instance_id")
+    return _rounded(ev.basic_evaluator(scored))
+
+
 ALL_PRED = (
-    *FLAT,
-    q.argmax("fn", "best"),
+    *BAG_PRED[:-1],
     "pr AS MATERIALIZED (SELECT b.instance_id, b.instance_id AS seq, b.pred, i.label AS truth, i.weight, CASE WHEN b.pred = i.label THEN 1 ELSE 0 END AS correct FROM best b JOIN inst i USING (instance_id))",
 )
 
 
 def _scored(spark, sf_dir):
+    """Predictions for the held-out rows: no row that trained the ensemble is scored."""
     spec = events_spec(spark, sf_dir)
-    scored = bag_predict(events(spark, sf_dir), trained(spark, sf_dir), spec, ENSEMBLE)
+    scored = bag_predict(test_rows(spark, sf_dir), trained(spark, sf_dir), spec, ENSEMBLE)
     return scored.select(
         F.col("instance_id").alias("seq"), "truth", "pred", "weight", F.when(F.col("truth") == F.col("pred"), 1).otherwise(0).alias("correct")
     )
@@ -270,31 +305,7 @@ def learning_curve(spark, sf_dir):
     return c.select("step_no", "instances", F.round("accuracy", 6).alias("accuracy"))
 
 
-def _prequential_sql():
-    """Running sums per class up to the row before, then the vote as arithmetic."""
-    # Wide running sums keep the check independent of the grouped form above.
-    sums, cls = [], "(SELECT DISTINCT label FROM inst) c"
-    sums.append("sum(CASE WHEN i.label = c.label THEN i.weight ELSE 0 END) OVER w AS n")
-    for a in ("x_cents", "x_k"):
-        sums.append(f"sum(CASE WHEN i.label = c.label THEN i.{a} ELSE 0 END) OVER w AS s_{a}")
-        sums.append(f"sum(CASE WHEN i.label = c.label THEN i.{a} * i.{a} ELSE 0 END) OVER w AS q_{a}")
-    sums.append("sum(CASE WHEN i.label = c.label THEN i.weight ELSE 0 END) OVER u AS nv")
-    num = []
-    for a in ("x_cents", "x_k"):
-        var = f"(CASE WHEN n > 1 THEN greatest((q_{a} - s_{a} * s_{a} / n) / (n - 1), 1e-9) ELSE 1e-9 END)"
-        num.append(f"(-0.5 * ln(2 * pi() * {var}) - ({a} - s_{a} / n) * ({a} - s_{a} / n) / (2 * {var}))")
-    return (
-        q.INST,
-        f"""run AS MATERIALIZED (SELECT i.seq, i.label AS truth, i.x_cents, i.x_k, c.label, {', '.join(sums)} FROM inst i CROSS JOIN {cls}
-      WINDOW w AS (PARTITION BY c.label ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-             u AS (PARTITION BY c.label, i.n_user ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
-        f"""lg AS MATERIALIZED (SELECT seq, truth, label, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY seq)) + {' + '.join(num)}
-      + ln((coalesce(nv, 0) + 1) / (n + (SELECT count(DISTINCT n_user) FROM inst))) END AS lv FROM run)""",
-        "pv AS MATERIALIZED (SELECT seq, truth, label, coalesce(exp(lv - max(lv) OVER (PARTITION BY seq)), 0) AS vote FROM lg)",
-    )
-
-
-@query("prequential", q.with_(*_prequential_sql()) + "SELECT seq, truth, label, round(vote, 6) AS vote FROM pv")
+@query("prequential", q.with_(q.INST, *q.running_votes("inst", "pv")) + "SELECT seq, truth, label, round(vote, 6) AS vote FROM pv")
 def prequential(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
     inst = events(spark, sf_dir).select("seq", "weight", *spec.numeric, *spec.nominal, "label")

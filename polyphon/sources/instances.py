@@ -106,15 +106,3 @@ def orders_instances(orders: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a table with few splits to all cores.
-
-    A table of a few small files is scanned by as many tasks, and a fan-out
-    after the scan would run there too. A table with at least as many splits as
-    cores is returned unchanged, so nothing is shuffled at scale. Filters and
-    column choices still reach the scan.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -8,10 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from polyphon.operators.metrics import first_later
-from polyphon.operators.orbit import orbit
-from polyphon.operators.prefix import Running, running
-
 TIMEOUT_MS = 30_000
 SET_SCHEMA = "instance_id long, first_ms long, n_votes long, complete boolean"
 
@@ -93,15 +89,21 @@ def vote_timeout(votes: DataFrame, ensemble: int, timeout_ms: int = TIMEOUT_MS)
     """Vote sets of a finished stream: ``instance_id, first_ms, n_votes, complete``.
 
     A set opens with a vote and takes the votes of the following ``timeout_ms``
-    (exclusive); the next vote opens another one. Which votes open a set is
-    found by pointer doubling, and every vote then counts the openings before
-    it. A member votes once per set, so a full set gets no further votes.
+    (exclusive). It closes when it has ``ensemble`` votes, else when its time is
+    up; the next vote opens another one, as in the streaming form. One shuffle
+    brings an instance's votes together (every member sends it one per set), and
+    a fold over their time order cuts them into sets.
     """
-    moments = votes.groupBy("instance_id", "ts_ms").agg(F.sum("n_votes").alias("n_votes"))
-    # "At least timeout later" is "more than timeout - 1 later" in whole milliseconds.
-    nxt = first_later(moments.select("instance_id", "ts_ms"), "instance_id", timeout_ms - 1)
-    opens = orbit(nxt, ["instance_id"], "ts_ms", "_next_ms").withColumn("_open", F.lit(1).cast("long"))
-    flagged = moments.join(opens, ["instance_id", "ts_ms"], "left")
-    placed = running(flagged, "ts_ms", [Running("_first", "CASE WHEN _open = 1 THEN ts_ms END", how="max")], keys=["instance_id"])
-    sets = placed.groupBy("instance_id", F.col("_first").alias("first_ms")).agg(F.sum("n_votes").alias("n_votes"))
-    return sets.withColumn("complete", F.col("n_votes") == ensemble)
+    lists = votes.groupBy("instance_id").agg(F.expr("array_sort(collect_list(struct(ts_ms, n_votes))) AS _votes"))
+    one = "array(named_struct('first_ms', {}, 'n_votes', {}, 'complete', {}))".format
+    none = "cast(array() AS array<struct<first_ms: bigint, n_votes: bigint, complete: boolean>>)"
+    late = f"(s.first IS NOT NULL AND v.ts_ms >= s.first + {timeout_ms}L)"
+    first, n = f"if({late}, v.ts_ms, coalesce(s.first, v.ts_ms))", f"(if({late}, 0L, s.n) + v.n_votes)"
+    full = f"{n} = {ensemble}"
+    step = (
+        f"named_struct('first', if({full}, NULL, {first}), 'n', if({full}, 0L, {n}), "
+        f"'sets', concat(s.sets, if({late}, {one('s.first', 's.n', 'false')}, {none}), if({full}, {one(first, n, 'true')}, {none})))"
+    )
+    start = f"named_struct('first', cast(NULL AS BIGINT), 'n', 0L, 'sets', {none})"
+    end = f"concat(s.sets, if(s.first IS NULL, {none}, {one('s.first', 's.n', 'false')}))"
+    return lists.selectExpr("instance_id", f"inline(aggregate(_votes, {start}, (s, v) -> {step}, s -> {end}))")

@@ -15,7 +15,7 @@ from polyphon.operators import lookup, metrics as mt, naive_bayes as nb, streams
 from polyphon.operators.evaluation import basic_evaluator, prequential, window_evaluator
 from polyphon.operators.orbit import orbit
 from polyphon.operators.prefix import Running, running, sliding_sums
-from polyphon.sources.instances import FeatureSpec, complete_header, spread
+from polyphon.sources.instances import FeatureSpec, complete_header
 from polyphon.sources.schema import flat_schema
 
 
@@ -65,7 +65,7 @@ def test_weights_are_replayable_and_drop_zero(spark):
     assert abs(share - (1 - math.exp(-1))) < 0.02
 
 
-@pytest.mark.parametrize("rate", [0.05, 1.0, 15.9, 16.1, 250.0])
+@pytest.mark.parametrize("rate", [0.05, 1.0, 15.9, 16.1, 250.0, 5_000.0, 1e11])
 def test_rate_draws_have_poisson_moments(spark, rate):
     d = with_poisson_rate(spark.range(20_000).selectExpr("id AS instance_id", f"{rate}D AS lam", "2 AS member"), "lam", "member", "k")
     r = d.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v")).first()
@@ -184,10 +184,6 @@ def test_version_asof(spark):
     assert every == {s: 5 if s < 130 else 9 if s < 131 else 11 for s in range(7, 250)}
 
 
-def test_spread_leaves_a_split_table_alone(spark):
-    assert spread(spark.range(10).repartition(16)).rdd.getNumPartitions() == 16
-
-
 # -- votes ---------------------------------------------------------------------
 
 # Parts of 3 and 1 members; member 2 of instance 1 votes nothing.
@@ -283,7 +279,7 @@ class Counts:
                 logs.append(None)
                 continue
             s, q = sum(r[3] * r[0] for r in mine), sum(r[3] * r[0] ** 2 for r in mine)
-            var = max((q - s * s / w) / (w - 1), 1e-9) if w > 1 else 1e-9
+            var = max((q - s * s / w) / (w - 1), 1e-9) if w > 1 and q - s * s / w > q * 1e-12 else 1e-9
             hits = sum(r[3] for r in mine if r[1] == n)
             logs.append(math.log(w / total) - 0.5 * math.log(2 * math.pi * var) - (x - s / w) ** 2 / (2 * var) + math.log((hits + 1) / (w + 2)))
         top = max((v for v in logs if v is not None), default=0)
@@ -294,13 +290,17 @@ class Counts:
         return "ab"[v.index(max(v))] == label
 
 
-def test_one_pass_and_per_attribute_training_agree(spark):
-    _, df = small(spark)
-    df = df.withColumn("member", F.lit(0)).withColumn("w", F.lit(2.0))
-    key = lambda t: sorted((r.label, r.attr, str(r.value), r.w, r.wx, r.wxx) for r in t.collect())
-    a = nb._train_one_pass(df, SPEC, "w", ("member",))
-    b = nb._train_per_attribute(df, SPEC, "w", ("member",)).select(*nb.STAT_COLUMNS)
-    assert key(a) == key(b)
+def test_training_counts_any_number_of_values_declared_or_not(spark):
+    df = spark.range(20_000).selectExpr("0 AS member", "2D AS w", "cast(id % 10000 AS STRING) AS n", "if(id = 3, NULL, 1D) AS x", "if(id % 2 = 0, 'a', 'b') AS label")
+    stats = nb.nb_train(df, SPEC)
+    assert stats.columns == nb.STAT_COLUMNS
+    values = stats.where("attr = 'n'").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi")).first()
+    assert tuple(values) == (10_000, 4.0, 4.0)
+    rest = {(r.label, r.attr): (r.value, r.w, r.wx, r.wxx) for r in stats.where("attr <> 'n'").collect()}
+    assert rest == {
+        ("a", "#class"): (None, 20_000.0, None, None), ("b", "#class"): (None, 20_000.0, None, None),
+        ("a", "x"): (None, 20_000.0, 20_000.0, 20_000.0), ("b", "x"): (None, 19_998.0, 19_998.0, 19_998.0),
+    }
 
 
 def test_votes_match_the_hand_count_also_for_unseen_values(spark):
@@ -353,25 +353,26 @@ def test_boost_chain_matches_a_loop(spark):
             assert got[(i, m)] == pytest.approx((before, lam))
 
 
-def test_boosting_one_instance_per_batch_is_the_sequential_algorithm(spark):
-    rows, df = small(spark, n=4, seed=8)
-    state, members = bo.BoostState(), [(Counts(), [0.0, 0.0, 0.0]) for _ in range(2)]
+def test_boosting_is_the_instance_by_instance_algorithm(spark):
+    rows, df = small(spark, n=40, seed=8)
+    run = bo.boost_train(df, SPEC, 2, pure=True, bucket_rows=8)
+    got = {(r.seq, r.member): (r.correct, r.lam_in, r.lam_out) for r in run.chain.collect()}
+    members = [(Counts(), [0.0, 0.0, 0.0]) for _ in range(2)]
     for i, _, w, x, n, label in rows:
-        state, out = bo.boost_train_batch(df.where(F.col("seq") == i), state, SPEC, 2, pure=True)
-        r = out.first()
         lam = 1.0
         for m, (model, sums) in enumerate(members):
-            assert r[f"lam_{m}"] == pytest.approx(lam)
+            before = lam
             sums[2] += w
             model.train(x, n, label, w * lam)
             ok = model.correct(x, n, label)
-            assert r[f"correct_{m}"] == ok
             sums[0 if ok else 1] += lam
             lam *= sums[2] / (2 * sums[0 if ok else 1])
-        assert r.lam_out == pytest.approx(lam)
-    got = {r.member: (r.scms, r.swms, r.tw) for r in state.sums.collect()}
-    for m, (_, sums) in enumerate(members):
-        assert got[m] == pytest.approx(tuple(sums))
+            assert got[(i, m)] == (ok, pytest.approx(before), pytest.approx(lam))
+    sums = {r.member: (r.scms, r.swms, r.tw) for r in bo.member_sums(run.chain).collect()}
+    weights = {r.member: r.w for r in run.stats.where("attr = '#class'").groupBy("member").agg(F.sum("w").alias("w")).collect()}
+    for m, (model, own) in enumerate(members):
+        assert sums[m] == pytest.approx(tuple(own))
+        assert weights[m] == pytest.approx(sum(r[3] for r in model.rows))
 
 
 # -- trees ---------------------------------------------------------------------

@@ -38,6 +38,12 @@ def test_timeout_is_exclusive(spark):
     assert got == [(1, 0, 1), (1, 30_000, 1), (2, 0, 2)]
 
 
+def test_a_complete_set_closes_at_once(spark):
+    votes = spark.createDataFrame([(1, 0, 1), (1, 5_000, 1), (1, 9_000, 1)], "instance_id long, ts_ms long, n_votes long")
+    got = sorted((r.first_ms, r.n_votes, r.complete) for r in vote_timeout(votes, ensemble=2).collect())
+    assert got == [(0, 2, True), (9_000, 1, False)]
+
+
 def test_vote_timeout_stream_matches_batch(spark):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
