@@ -43,9 +43,9 @@ def static_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def version_asof(messages: DataFrame, versions: DataFrame, pending: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Version in force for each message.
 
-    Every ``pending`` messages the newest published version is polled and
-    adopted; a message before the first adoption is dropped. ``versions`` has
-    ``version, published_seq``.
+    Every ``pending`` messages the largest version published so far is polled and
+    adopted, as ``version_pointer`` names it; a message before the first adoption
+    is dropped. ``versions`` has ``version, published_seq``.
 
     A version takes effect at the first poll at or after its publication, so it
     is placed in the stream just before that poll's first message, and carried
@@ -55,13 +55,13 @@ def version_asof(messages: DataFrame, versions: DataFrame, pending: int = 100, b
     effective = (
         versions.withColumn("seq", F.expr(f"(published_seq + {pending - 1}) div {pending}L * {pending}L"))
         .groupBy("seq")
-        .agg(F.expr("max_by(version, published_seq)").alias("_adopted_here"))
+        .agg(F.max("version").alias("_adopted_here"))
         .withColumn("_kind", F.lit(0))
     )
     tagged = messages.withColumn("_kind", F.lit(1))
     both = tagged.unionByName(effective, allowMissingColumns=True)
     carried = running(
-        both, "seq", [Running("version", "_adopted_here", how="last")], bucket_rows=bucket_rows, tie=["_kind"]
+        both, "seq", [Running("version", "_adopted_here", how="max")], bucket_rows=bucket_rows, tie=["_kind"]
     )
     return (
         carried.where((F.col("_kind") == 1) & F.col("version").isNotNull())

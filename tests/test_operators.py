@@ -182,6 +182,9 @@ def test_version_asof(spark):
     assert got == {s: 5 if s < 200 else 11 for s in range(100, 250)}
     every = {r.seq: r.version for r in lookup.version_asof(msgs, vers, pending=1, bucket_rows=32).collect()}
     assert every == {s: 5 if s < 130 else 9 if s < 131 else 11 for s in range(7, 250)}
+    # A smaller version that comes later is not newer.
+    late = spark.createDataFrame([(9, 50), (4, 60), (4, 60)], "version long, published_seq long")
+    assert {r.version for r in lookup.version_asof(msgs, late, pending=100).collect()} == {9}
 
 
 # -- votes ---------------------------------------------------------------------
