@@ -40,7 +40,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -91,27 +90,31 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     """The sketch of a non-empty set: leading zeros and mantissa of the smallest value per function."""
     least = np.full(_REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
+        room = np.empty((min(len(shingles), 512), _REGISTERS), np.uint64)
         for first in range(0, len(shingles), 512):
-            some = (shingles[first : first + 512, None] ^ _OFFSETS) * _FACTORS
-            np.minimum(least, some.min(axis=0), out=least)
+            some = shingles[first : first + 512, None]
+            values = np.bitwise_xor(some, _OFFSETS, out=room[: len(some)])
+            np.multiply(values, _FACTORS, out=values)
+            np.minimum(least, values.min(axis=0), out=least)
     fraction, exponent = np.frexp(np.maximum(least, 1).astype(np.float64))
     zeros = np.clip(64 - exponent, 0, 63)
     mantissa = np.minimum(((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64), (1 << MANTISSA) - 1)
     return ((zeros << MANTISSA) + mantissa).astype("<u2")
 
 
+def octaves(size: np.ndarray) -> np.ndarray:
+    """Per set size, the probability of each count of leading zeros of the smallest value."""
+    edges = 2.0 ** -np.arange(0, 65)
+    above = np.exp(np.log1p(-np.minimum(edges, 1 - 1e-16))[None, :] * size[:, None].astype(np.float64))
+    return above[:, 1:] - above[:, :-1]
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that registers of disjoint sets of these sizes agree.
 
     Both smallest values must fall into one octave (as many leading zeros) and,
     within it, into one of 2^10 cells.
     """
-    edges = 2.0 ** -np.arange(0, 65)
-
-    def octaves(size: np.ndarray) -> np.ndarray:
-        above = np.exp(np.log1p(-np.minimum(edges, 1 - 1e-16))[None, :] * size[:, None].astype(np.float64))
-        return above[:, 1:] - above[:, :-1]
-
     return (octaves(n) * octaves(m)).sum(axis=1) / (1 << MANTISSA)
 
 
@@ -121,9 +124,8 @@ def estimates(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.
     return ((a == b).mean(axis=1) - c) / (1 - c)
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    raw = b"".join(column.to_pylist() if isinstance(column, pa.Array) else column)
-    return np.frombuffer(raw, "<u2").reshape(-1, _REGISTERS)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, _REGISTERS)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,20 +145,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(sketch, SKETCHES)
 
 
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and registers, one row per sketch."""
+    bands = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix64(mix64((bands + np.uint64(1)) * _BAND_FACTORS[None]).sum(axis=2, dtype=np.uint64) + stream64(BANDS, 15)).view(np.int64)
+
+
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """(band, rep) for every rep and band; ``band`` is a hash of the band's number and registers."""
+    """(band, rep) for every rep and band."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = stream64(BANDS, 15)
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 some = batch.slice(first, 2000)
-                regs = _matrix(some.column("registers")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    keys = mix64(mix64((regs + np.uint64(1)) * _BAND_FACTORS[None]).sum(axis=2, dtype=np.uint64) + number)
-                yield pa.record_batch(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(some.column("rep").to_numpy(), BANDS))], names=["band", "rep"]
-                )
+                keys = _band_keys(_matrix(some.column("registers")))
+                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(some.column("rep").to_numpy(), BANDS))], names=["band", "rep"])
 
     return reps.select("rep", "registers").mapInArrow(explode, "band long, rep long")
 
@@ -225,25 +229,35 @@ def _block_links(bands: DataFrame, texts: DataFrame, labels: DataFrame) -> DataF
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rep", "shingles"])
-        regs, sets = _matrix(group["registers"]), [np.frombuffer(x, "<u8") for x in group["shingles"]]
-        rep, block = group["rep"].to_numpy(), group["block"].to_numpy()
-        _, label = np.unique(group["component"].to_numpy(), return_inverse=True)
-        one_block = group["x"].iloc[0] == group["y"].iloc[0]
+    def compare(group: pa.Table) -> pa.Table:
+        rep, packed = group["rep"].to_numpy(), group["shingles"].to_pylist()
+        order = sorted(range(len(rep)), key=lambda k: (rep[k], packed[k]))
+        rep, block = rep[order], group["block"].to_numpy()[order]
+        regs, sets = _matrix(group["registers"])[order], [np.frombuffer(packed[k], "<u8") for k in order]
+        _, label = np.unique(group["component"].to_numpy()[order], return_inverse=True)
+        one_block = group["x"][0] == group["y"][0]
         n = np.array([len(x) for x in sets])
-        names, places = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(n)
-        mine = np.zeros(len(names), bool)
+        spread = octaves(n)
+        number = int(np.argmax(_band_keys(regs[:1])[0] == group["band"][0].as_py()))
+        places = None
         out = []
-        for i in range(len(group) - 1):
-            j = np.arange(i + 1, len(group))
+        for i in range(len(rep) - 1):
+            j = np.arange(i + 1, len(rep))
             low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
             j = j[(label[j] != label[i]) & ((block[j] != block[i]) | one_block) & (LIMIT[1] * low >= LIMIT[0] * high)]
             if len(j):
-                j = j[estimates(np.broadcast_to(regs[i], (len(j), _REGISTERS)), np.full(len(j), n[i]), regs[j], n[j]) >= LEAST_ESTIMATE]
+                same = regs[j] == regs[i]
+                by_chance = spread[j] @ spread[i] / (1 << MANTISSA)
+                likely = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= LEAST_ESTIMATE
+                # A pair that shares several buckets is looked at in the first one.
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                j = j[likely & (first == number)]
             if not len(j):
                 continue
+            if places is None:
+                names, places = np.unique(np.concatenate(sets), return_inverse=True)
+                mine = np.zeros(len(names), bool)
             mine[places[ends[i] - n[i] : ends[i]]] = True
             common = np.array([np.count_nonzero(mine[places[ends[k] - n[k] : ends[k]]]) for k in j])
             mine[places[ends[i] - n[i] : ends[i]]] = False
@@ -251,9 +265,10 @@ def _block_links(bands: DataFrame, texts: DataFrame, labels: DataFrame) -> DataF
                 if label[k] != label[i]:
                     out.append((rep[i], rep[k]))
                     label[label == label[k]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
