@@ -107,7 +107,6 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
     ``nv_i_a`` (log probability by value) plus ``nd_i_a`` (of an unseen value)
     for each nominal one.
     """
-    k = ", ".join(keys)
     is_class = f"attr = {text(CLASS_ATTR)}"
     sums = [f"sum(if({is_class}, w, NULL)) AS _n"]
     for i, c in enumerate(spec.classes):
@@ -119,14 +118,14 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
         for j, (a, values) in enumerate(spec.nominal.items()):
             here = f"{mine} AND attr = {text(a)}"
             sums += [f"sum(if({here} AND value = {text(v)}, w, NULL)) AS _c_{i}_{j}_{n}" for n, v in enumerate(values)]
-    wide = stats.groupBy(*keys).agg(F.expr(f"struct({', '.join(sums)}) AS _s")).selectExpr(k, "_s.*")
+    wide = stats.groupBy(*keys).agg(F.expr(f"struct({', '.join(sums)}) AS _s")).selectExpr(*keys, "_s.*")
 
     moments = {}
     for i in range(len(spec.classes)):
         for j in range(len(spec.numeric)):
             mu, var = gaussian(f"_w_{i}_{j}", f"_wx_{i}_{j}", f"_wxx_{i}_{j}")
             moments |= {f"mu_{i}_{j}": mu, f"_var_{i}_{j}": var}
-    out = [k]
+    out = [*keys]
     for i in range(len(spec.classes)):
         out.append(f"if(_n_{i} > 0, ln(_n_{i} / _n), NULL) AS lp_{i}")
         for j in range(len(spec.numeric)):

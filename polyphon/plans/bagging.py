@@ -8,6 +8,7 @@ from polyphon.functions.weights import with_poisson_weight
 from polyphon.operators import evaluation as ev
 from polyphon.operators import naive_bayes as nb
 from polyphon.operators import votes as vt
+from polyphon.operators.lookup import version_asof
 from polyphon.operators.streams import ensemble_fanout
 from polyphon.sources.instances import FeatureSpec
 
@@ -43,6 +44,20 @@ def bag_predict(instances: DataFrame, stats: DataFrame, spec: FeatureSpec, ensem
     return best.withColumn("pred", spec.class_at(F.col("_best"))).drop("_best")
 
 
+def score_asof(
+    messages: DataFrame, published: DataFrame, stats: DataFrame, spec: FeatureSpec, ensemble: int, versions: int, pending: int = 100
+) -> DataFrame:
+    """Votes of each member in the version in force when the message came.
+
+    ``published`` has ``version, published_seq`` and ``stats`` the statistics per
+    ``version, member``, of at most ``versions`` versions. A message before the
+    first adoption gets no votes; nor does it from a member that its version lacks.
+    """
+    adopted = ensemble_fanout(version_asof(messages, published, pending), ensemble)
+    keys = ("version", "member")
+    return nb.member_votes(adopted, nb.nb_model(stats, spec, keys), spec, ensemble * versions, keys)
+
+
 def bag_holdout(instances: DataFrame, spec: FeatureSpec, ensemble: int, seed: int, share: float = 0.8) -> DataFrame:
     """Train on the first ``share`` of the stream, evaluate on the rest; one row."""
     cut = share_of_stream(instances, share)

@@ -6,17 +6,20 @@ from pyspark.sql import functions as F
 
 from polyphon.functions import payload as pl
 from polyphon.functions.weights import with_poisson_weight
+from polyphon.operators import naive_bayes as nb
 from polyphon.operators import versions as vs
 from polyphon.operators import votes as vt
 from polyphon.operators.prefix import Running, running
 from polyphon.operators.streams import ensemble_fanout, member_partition
 from polyphon.plans import sqltext as q
+from polyphon.plans.bagging import score_asof as score_asof_op
 from polyphon.plans.common import ENSEMBLE, PARTS, SEED, events, events_spec, stream_cut
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import CHANNEL, COLS, PART_SQL
 from polyphon.plans.training_queries import ALL_BAG, stat_rows
 from polyphon.functions.routing import partition_sizes
 from polyphon.sources import channels
+from polyphon.sources.instances import read_table
 from polyphon.sources.model_store import ModelStore
 from polyphon.sources.schema import flat_schema
 from polyphon.sources.workspace import new_folder
@@ -91,6 +94,34 @@ def version_pointer(spark, sf_dir):
     return vs.version_pointer(vs.publish_barrier(_reports(spark, sf_dir), PARTS))
 
 
+# Version v is trained on the v-th run of STEP instances and published right after it.
+ASOF = (
+    *ALL_BAG,
+    f"vbag AS MATERIALIZED (SELECT * REPLACE (CAST(seq // {STEP} * 100 + member AS INTEGER) AS member) FROM bag)",
+    q.nb_stats("vbag"),
+    q.nb_votes("inst"),
+    f"""force AS MATERIALIZED (SELECT i.instance_id, max(v.version) AS version
+      FROM inst i JOIN (SELECT DISTINCT seq // {STEP} AS version FROM inst) v ON (v.version + 1) * {STEP} <= i.seq // 100 * 100 GROUP BY ALL)""",
+)
+
+
+@query(
+    "score_asof",
+    q.with_(*ASOF) + """SELECT v.instance_id, f.version, CAST(v.member % 100 AS INTEGER) AS member, v.label, round(v.vote, 6) AS vote
+    FROM votes v JOIN force f ON f.instance_id = v.instance_id AND f.version = v.member // 100""",
+)
+def score_asof(spark, sf_dir):
+    """Every event is scored by the members of the version in force at its poll."""
+    spec, rows = events_spec(spark, sf_dir), events(spark, sf_dir)
+    weighted = with_poisson_weight(ensemble_fanout(rows, ENSEMBLE), seed=SEED).withColumn("version", F.expr(f"seq div {STEP}"))
+    stats = nb.nb_train(weighted, spec, keys=("version", "member"))
+    published = rows.select(F.expr(f"seq div {STEP}").alias("version")).distinct().withColumn("published_seq", (F.col("version") + 1) * STEP)
+    messages = rows.select("instance_id", "seq", *spec.numeric, *spec.nominal)
+    versions = read_table(spark, sf_dir, "events").count() // STEP + 1
+    votes = score_asof_op(messages, published, stats, spec, ENSEMBLE, versions)
+    return vt.long_votes(votes, ["instance_id", "version", "member"], spec.classes)
+
+
 @query(
     "model_delete",
     q.with_(*SNAP) + "SELECT version, member, trained_n FROM snap WHERE member <> 1 AND NOT (member = 2 AND version = 0)",
