@@ -18,7 +18,13 @@ from polyphon.plans.common import (
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import BAG_PRED, PART_SQL
 from polyphon.plans.training_queries import MEMBER_SQL, STATS_SQL, boost_ctes, event_member_weights
-from polyphon.streaming.timeouts import vote_timeout as vote_timeout_op
+from polyphon.sources import channels
+from polyphon.sources.workspace import new_folder
+from polyphon.streaming.timeouts import vote_timeout as vote_timeout_op, vote_timeout_stream as vote_timeout_stream_op
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+STRETCHES = 3
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _votes_sql(ensemble):
@@ -170,8 +176,7 @@ ARRIVALS = (
 )
 
 
-@query(
-    "vote_timeout",
+VOTE_SETS = (
     q.with_(
         *ARRIVALS,
         """opens AS (SELECT instance_id, min(ts_ms) AS first_ms FROM arr GROUP BY instance_id
@@ -180,13 +185,46 @@ ARRIVALS = (
         "op AS MATERIALIZED (SELECT * FROM opens WHERE first_ms IS NOT NULL)",
     )
     + f"""SELECT o.instance_id, o.first_ms, count(*) AS n_votes, count(*) = {BOOST} AS complete FROM op o
-    JOIN arr a ON a.instance_id = o.instance_id AND a.ts_ms >= o.first_ms AND a.ts_ms < o.first_ms + 30000 GROUP BY o.instance_id, o.first_ms""",
+    JOIN arr a ON a.instance_id = o.instance_id AND a.ts_ms >= o.first_ms AND a.ts_ms < o.first_ms + 30000 GROUP BY o.instance_id, o.first_ms"""
 )
+
+
+@query("vote_timeout", VOTE_SETS)
 def vote_timeout(spark, sf_dir):
     """Votes 17 seconds apart: a third vote comes too late for the first one's set."""
     return vote_timeout_op(arrivals(spark, sf_dir), BOOST)
 
 
+@query("vote_timeout_stream", VOTE_SETS)
+def vote_timeout_stream(spark, sf_dir):
+    """The same votes as a stream, in order of time; a closing row a day later ends the last sets.
+
+    A reader does not keep the order of files written by one job, so each stretch
+    of time is published and read by a run of its own, which goes on from the
+    checkpoint of the one before.
+    """
+    votes = arrivals(spark, sf_dir).select("instance_id", "ts_ms", "n_votes")
+    closing = votes.agg(F.lit(-1).cast("long").alias("instance_id"), (F.max("ts_ms") + 86_400_000).alias("ts_ms"), F.lit(1).cast("long").alias("n_votes"))
+    rows = votes.unionByName(closing.where("ts_ms IS NOT NULL")).withColumn("ts", F.timestamp_millis("ts_ms"))
+    folder = new_folder(spark, "vote-channel")
+    out, checkpoint = new_folder(spark, "vote-sets"), new_folder(spark, "vote-ckpt")
+    ends = votes.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    low, high = ends if ends[0] is not None else (0, 0)
+    cuts = [low + (high - low) * i // STRETCHES for i in range(1, STRETCHES)]
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        for start, end in zip([None, *cuts], [*cuts, None]):
+            part = rows if start is None else rows.where(F.col("ts_ms") >= start)
+            channels.publish_instances(part if end is None else part.where(F.col("ts_ms") < end), folder)
+            stream = channels.read_channel(spark, folder, rows.schema).drop("ts_ms")
+            sets = vote_timeout_stream_op(stream, BOOST).writeStream.foreachBatch(lambda batch, i: channels.write_predictions(batch, i, out))
+            sets.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return spark.read.parquet(out).where("instance_id >= 0").select("instance_id", "first_ms", "n_votes", "complete")
+
+
 @query("argmax_label", q.with_(*FLAT, q.argmax("fn", "best")) + "SELECT instance_id, pred FROM best")
 def argmax_label(spark, sf_dir):
     spec = events_spec(spark, sf_dir)

@@ -32,21 +32,20 @@ class VoteSets(StatefulProcessor):
         out = []
         state = self.open.get() if self.open.exists() else None
         first, n = (state[0], state[1]) if state is not None else (None, 0)
-        for pdf in rows:
-            for ts, votes in sorted(zip(pdf["ts_ms"], pdf["n_votes"])):
-                ts, votes = int(ts), int(votes)
-                if first is not None and ts >= first + self.timeout_ms:
-                    out.append((key[0], first, n, False))
-                    self.handle.deleteTimer(first + self.timeout_ms)
-                    first, n = None, 0
-                if first is None:
-                    first = ts
-                    self.handle.registerTimer(first + self.timeout_ms)
-                n += votes
-                if n == self.ensemble:
-                    out.append((key[0], first, n, True))
-                    self.handle.deleteTimer(first + self.timeout_ms)
-                    first, n = None, 0
+        # One arrival may come in several chunks, in any order.
+        for ts, votes in sorted((int(t), int(v)) for pdf in rows for t, v in zip(pdf["ts_ms"], pdf["n_votes"])):
+            if first is not None and ts >= first + self.timeout_ms:
+                out.append((key[0], first, n, False))
+                self.handle.deleteTimer(first + self.timeout_ms)
+                first, n = None, 0
+            if first is None:
+                first = ts
+                self.handle.registerTimer(first + self.timeout_ms)
+            n += votes
+            if n == self.ensemble:
+                out.append((key[0], first, n, True))
+                self.handle.deleteTimer(first + self.timeout_ms)
+                first, n = None, 0
         if first is None:
             self.open.clear()
         else:

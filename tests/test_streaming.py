@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from polyphon.sources import channels
 from polyphon.sources.instances import FeatureSpec
 from polyphon.sources.model_store import ModelStore
+from polyphon.operators import naive_bayes as nb
+from polyphon.plans.bagging import score_asof
 from polyphon.sources.schema import flat_schema
 from polyphon.sources.workspace import new_folder
 from polyphon.streaming import training as tr
@@ -122,3 +124,18 @@ def test_store_get_delete_and_put_again(spark):
     assert {(r.member, r.version) for r in store.members().collect()} == {(1, 1)}
     store.put(rows, version=2)
     assert {(r.member, r.version) for r in store.members(2).collect()} == {(0, 2), (1, 2)}
+
+
+def test_scoring_takes_the_version_in_force(spark):
+    rows = instances(spark, 60)
+    # Version 0 has members 0 and 1, version 1 only member 0.
+    trained = rows.selectExpr("*", "explode(array(named_struct('version', 0L, 'member', 0), named_struct('version', 0L, 'member', 1), named_struct('version', 1L, 'member', 0))) AS m").select("*", "m.*")
+    stats = nb.nb_train(trained, SPEC, weight="weight", keys=("version", "member"))
+    published = spark.createDataFrame([(0, 11), (1, 40)], "version long, published_seq long")
+    got = score_asof(rows.select("instance_id", "seq", "x", "n"), published, stats, SPEC, ensemble=2, versions=2, pending=10)
+    found = sorted((r.instance_id, r.version, r.member) for r in got.collect())
+    # Published at 11, adopted at the poll of 20; at 40 it is adopted at once, and member 1 falls silent.
+    assert found == [(i, 0, m) for i in range(20, 40) for m in (0, 1)] + [(i, 1, 0) for i in range(40, 60)]
+    one = nb.member_votes(rows.withColumn("member", F.lit(0)), nb.nb_model(nb.single_train(rows, SPEC), SPEC), SPEC, 1)
+    want = {r.instance_id: (round(r.v_0, 9), round(r.v_1, 9)) for r in one.collect()}
+    assert all((round(r.v_0, 9), round(r.v_1, 9)) == want[r.instance_id] for r in got.collect())
