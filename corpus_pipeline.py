@@ -6,8 +6,9 @@ All stages but the last keep the columns of ``documents``.
 
 Edge cases (the operators' modules have more): null and empty texts are scored
 like others and, where they stay, pack as a lone end id; rows without doc_id
-cannot be told apart as copies and are not removed as such; repeated rows are
-copies of one document, of which one stays; an empty table passes through.
+cannot be told apart as copies and are not removed as such, but are judged,
+cut and redacted like all others; repeated rows are copies of one document, of
+which one stays; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -45,27 +46,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others the words that benchmark windows hit are cut out."""
-    found = decontaminate.with_verdict(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
-    found = materialize(found.where("n_hit > 0").select("doc_id", "contaminated", "spans"), "contamination")
-    gone = found.where("contaminated").select("doc_id").distinct()
-    cut = found.where("NOT contaminated AND doc_id IS NOT NULL").select("doc_id", F.col("spans").alias("__llm_spans")).dropDuplicates(["doc_id"])
-    left = docs.join(gone, "doc_id", "left_anti").join(cut, "doc_id", "left").select(*docs.columns, "__llm_spans")
-    columns = docs.columns
+    """Contaminated documents go; from the others the words that benchmark windows hit are cut out.
+
+    A row's columns go through the scan with its text, so its own verdict and its
+    own spans apply, whatever its id is: null ids and ids with several texts too.
+    """
+    found = decontaminate.with_verdict(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), with_row=True))
+    left = found.where("NOT contaminated").select("text", "spans", "row")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            spans = batch.column("__llm_spans").to_pylist()
-            if not any(spans):
-                yield batch.select(columns)
-                continue
-            texts = [
-                decontaminate.without_spans(t, [(s["start"], s["end"]) for s in own or ()]) for t, own in zip(batch.column("text").to_pylist(), spans)
-            ]
-            at = columns.index("text")
-            yield batch.select(columns).set_column(at, "text", pa.array(texts, pa.string()))
-
-    return _counted(left.mapInArrow(strip, docs.schema))
+            texts, spans = batch.column("text"), batch.column("spans").to_pylist()
+            if any(spans):
+                texts = pa.array(
+                    [decontaminate.without_spans(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts.to_pylist(), spans)], pa.string()
+                )
+            yield pa.record_batch([texts, batch.column("row")], names=["text", "row"])
+
+    cut = left.mapInArrow(strip, left.drop("spans").schema)
+    return _counted(cut.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns)))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ the driver group by group, so what is shipped with the tasks has that bound.
 Edge cases: null or empty items have no window; null texts have no words and are
 clean; equal items under several ids all count; null item ids are ignored in
 lists of items but do contaminate; repeated rows are scored each; an empty table
-of items leaves all documents clean; extra columns are ignored.
+of items leaves all documents clean; extra columns are ignored, or with
+``with_row`` kept beside the row's own result, which needs no id.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from polyphon.llm.base import text_slices
 from polyphon.llm.wordhash import byte_set, column_bytes, span_hashes, word_spans
@@ -156,6 +158,9 @@ def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    """Hits per row; a column ``row`` goes through with its text."""
+    kept = ["text", "row"] if "row" in rows.columns else []
+    schema = StructType([*StructType.fromDDL(HITS), *(rows.schema[c] for c in kept)])
     vocabulary = list(automaton.words)
     data, offsets = column_bytes(pa.array(vocabulary, pa.string()))
     known = np.sort(span_hashes(data, offsets[:-1], offsets[1:])) if vocabulary else np.zeros(0, np.uint64)
@@ -193,12 +198,12 @@ def _scan(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
                         [[{"start": a, "end": b} for a, b in _spans(spans.get(i, []))] for i in range(n)],
                         pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
                     ),
-                    pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
+                    pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())), *(batch.column(c) for c in kept),
                 ],
-                names=["doc_id", "row_key", "n_words", "spans", "items"],
+                names=["doc_id", "row_key", "n_words", "spans", "items", *kept],
             )
 
-    return rows.mapInArrow(scan, HITS)
+    return rows.mapInArrow(scan, schema)
 
 
 def _groups(benchmark: DataFrame, item_col: str, text_col: str, window: int, group_words: int) -> Iterator[SuffixAutomaton]:
@@ -215,17 +220,23 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str, window: int, gro
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_row: bool = False,
 ) -> DataFrame:
-    """Per document row: ``doc_id``, ``n_words``, ``spans`` (word places that are hit, merged), ``items``."""
+    """Per document row: ``doc_id``, ``n_words``, ``spans`` (word places that are hit, merged), ``items``.
+
+    ``with_row`` adds the row's ``text`` and its other columns as the struct ``row``.
+    """
     spread = F.xxhash64(F.monotonically_increasing_id())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), spread.alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    # A struct of the other columns, so they may have any names.
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), spread.alias("row_key"), F.col(text_col).cast("string").alias("text"), *row)
     automata = _groups(benchmark, item_col, item_text_col, window, group_words)
     found = _scan(rows, next(automata))
     more = next(automata, None)
     if more is None:
         return found.drop("row_key")
-    rows = materialize(rows, "keyed_texts")
+    stored = materialize(rows, "keyed_texts")
+    rows = stored.drop("row")
     found = materialize(_scan(rows, SuffixAutomaton([], window)), "hits")
     tables = [found]
     for automaton in _groups(benchmark, item_col, item_text_col, window, group_words):
@@ -238,7 +249,8 @@ def find_contamination(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.select("doc_id", "n_words", _merged_spans("spans").alias("spans"), "items")
+    merged = merged.select("row_key", "doc_id", "n_words", _merged_spans("spans").alias("spans"), "items")
+    return (merged.join(stored.select("row_key", "text", "row"), "row_key") if with_row else merged).drop("row_key")
 
 
 def _merged_spans(column: str):

@@ -406,6 +406,34 @@ def test_decontamination(spark, documents, empty, group_words):
 # Pipeline
 
 
+@pytest.mark.parametrize("group_words", [100_000, 12])
+def test_decontamination_judges_each_row(spark, documents, monkeypatch, group_words):
+    """Rows without id and rows that share one are dropped or cut by their own text."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    other = " ".join(f"q{i}" for i in range(14))
+    clean = [" ".join(f"w{k}{i}" for i in range(300)) for k in range(4)]
+    rows = [
+        (None, f"{passage} end"), (None, clean[0]), (None, f"{clean[1]} {passage}, tail"), (None, None), (1, clean[2]), (1, passage),
+        (2, f"{clean[3]} {other} more"), (2, "short clean text"), (2, f"{passage} {clean[3]}"), (3, ""), (3, other),
+    ]
+    items = [(0, passage), (1, other)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: bench)
+    find = decontaminate.find_contamination
+    monkeypatch.setattr(decontaminate, "find_contamination", lambda *a, **b: find(*a, group_words=group_words, **b))
+    want = Counter()
+    for i, t in rows:
+        n, hit, _ = hits(t, items)
+        if not (hit and 20 * hit >= n):
+            want[i, t and t.replace(passage, "").replace(other, "")] += 1
+    docs = documents(rows).repartition(3)
+    out = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want and len(want) == 8
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.rep == "x" for r in got)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, None
