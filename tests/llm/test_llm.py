@@ -334,6 +334,47 @@ def test_licenses(documents, doubtful, empty):
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
 
 
+NOTICES = {
+    "Released under the BSD License": "bsd", "Released under the Foo License": None, "Released under the MIT License": "mit", "Licensed under the MIT License": "mit",
+    "Licensed under CC BY 4.0": "cc-by-4.0", "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-4.0", "Licensed under CC BY-NC 3.0": "cc-by-nc-3.0", "Licensed under CC BY-NC 9.9": None,
+    "This work is licensed under the GNU General Public License, version 2": "gpl-2.0", "This work is licensed under the GNU General Public License, version 3": "gpl-3.0",
+    "This work is licensed under the GNU General Public License, version 9": None, "licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1-notice",
+    "This work is licensed under the GNU Affero General Public License, version 3": "agpl-3.0", "Licensed under the GPLv3": "gpl-3.0-gplv3",
+    "Licensed under the Apache License, Version 1.1": None, "Licensed under the Mozilla Public License, Version 2.0": "mpl-2.0", "Released under the ISC License": "isc",
+    "Released under the New BSD License": "bsd-3-clause-notice-5", "Licensed under the Eclipse Public License, Version 2.0": "epl-2.0",
+    "This text was released into the public domain by its author": "public-domain", "SPDX-License-Identifier: MIT-0": "mit-0-spdx", "SPDX-License-Identifier: MIT": "mit-spdx",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0-notice",
+}
+
+
+def test_licenses_close_to_each_other(documents):
+    rows = [(i, f"filler words {t}. And more words") for i, t in enumerate(NOTICES)]
+    got = {r.doc_id: [m.license for m in r.found] for r in licenses.scan(documents(rows)).collect()}
+    assert {t: got[i] for i, t in enumerate(NOTICES)} == {t: [n] if n else [] for t, n in NOTICES.items()}
+
+
+def test_every_license_template_is_found_as_itself(documents):
+    """Also with a word in ten misspelt, but not without a word that tells it from others."""
+    names = list(licenses.TEMPLATES)
+    assert names == list(licenses.REQUIRED) and all(licenses.REQUIRED.values())
+    own = [" ".join(licenses.template_words(licenses.TEMPLATES[n])) for n in names]
+    keys = [{w for r in licenses.REQUIRED[n] for w in licenses.template_words(r)} for n in names]
+    spoilt, without = [], []
+    for text, key in zip(own, keys):
+        free = [k for k, w in enumerate(text.split()) if w not in key]
+        wrong = set(free[::3][: len(text.split()) // 10])
+        spoilt.append(" ".join(f"{w}x" if k in wrong else w for k, w in enumerate(text.split())))
+        lost = max(key, key=text.split().index)
+        without.append(" ".join("zzz" if w == lost else w for w in text.split()))
+    n = len(names)
+    rows = list(enumerate([f"before {t} behind" for some in (own, spoilt, without) for t in some]))
+    got = {r.doc_id: [(m.license, m.coverage) for m in r.found] for r in licenses.scan(documents(rows)).collect()}
+    assert [k for i, k in enumerate(names) if (k, 1.0) not in got[i]] == []
+    assert [k for i, k in enumerate(names) if k not in [x for x, _ in got[n + i]]] == []
+    assert [k for i, k in enumerate(names) if k in [x for x, _ in got[2 * n + i]]] == []
+
+
 def test_quality(spark, doubtful, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
