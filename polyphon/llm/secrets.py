@@ -7,9 +7,11 @@ has a Shannon entropy that natural words do not reach. The entropy of a sliding
 window needs the sum of c*log2(c) over the counts c of its characters; a step
 takes one character in and one out, so it changes two counts and two terms.
 
-Allow-list: candidates without both a digit and a letter, UUIDs, candidates with
-a word such as ``example`` or ``test``, and those that touch a base span give no
-entropy span. Base spans are never suppressed.
+Base spans and the parts (between separators) with a word such as ``example`` or
+``test`` are cut out of a candidate; each piece of at least ``WINDOW`` characters
+that is left is judged by itself, with and without the separators at its ends.
+Allow-list: pieces without both a digit and a letter, and UUIDs, give no entropy
+span. Base spans are never suppressed.
 
 Places are code points, ends exclusive. Texts of any length are handled whole:
 positions come from the pieces between matches, in one pass per kind.
@@ -40,9 +42,11 @@ CLASSES = (
     ("base64", r"^[A-Za-z0-9+/_=-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.8),
 )
 UUID = r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"
+SEPARATORS = "+/_=-"
 ALLOWED_WORDS = r"(?i)example|sample|test|dummy|placeholder"
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+CUTS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _none() -> Column:
@@ -116,9 +120,58 @@ def _is_random(text: Column) -> Column:
     found = F.lit(False)
     for _, pattern, alphabet, least in reversed(CLASSES):
         found = F.when(F.regexp_like(text, F.lit(pattern)), peak_entropy(text, alphabet) >= least).otherwise(found)
-    listed = F.regexp_like(text, F.lit(UUID)) | F.regexp_like(text, F.lit(ALLOWED_WORDS))
     mixed = F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit("[A-Za-z]"))
-    return F.when(mixed & ~listed, found).otherwise(F.lit(False))
+    return F.when(mixed & ~F.regexp_like(text, F.lit(UUID)), found).otherwise(F.lit(False))
+
+
+def _listed_parts(candidate: Column) -> Column:
+    """Places of the parts between separators that hold a word of the allow-list."""
+    parts = F.split(candidate["value"], "[^A-Za-z0-9]")
+    start = F.struct(candidate["start"].alias("at"), F.array().cast(CUTS).alias("cuts"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        own = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        return F.struct((end + 1).alias("at"), F.when(F.regexp_like(part, F.lit(ALLOWED_WORDS)), F.concat(acc["cuts"], own)).otherwise(acc["cuts"]).alias("cuts"))
+
+    found = F.aggregate(parts, start, step)["cuts"]
+    return F.when(F.regexp_like(candidate["value"], F.lit(ALLOWED_WORDS)), found).otherwise(F.array().cast(CUTS))
+
+
+def _pieces(candidate: Column) -> Column:
+    """What is left of a candidate without base spans and listed parts, where it is long enough."""
+    touching = F.filter("base", lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"]))
+    cuts = F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    cuts = F.array_sort(F.concat(cuts, _listed_parts(candidate)))
+    # A last cut at the end closes the last piece.
+    closed = F.concat(cuts, F.array(F.struct(candidate["end"].alias("start"), candidate["end"].alias("end"))))
+    start = F.struct(candidate["start"].alias("at"), F.array().cast(CUTS).alias("left"))
+
+    def step(acc: Column, cut: Column) -> Column:
+        own = F.array(F.struct(acc["at"].alias("start"), cut["start"].alias("end")))
+        return F.struct(
+            F.greatest(acc["at"], cut["end"]).alias("at"),
+            F.when(cut["start"] - acc["at"] >= WINDOW, F.concat(acc["left"], own)).otherwise(acc["left"]).alias("left"),
+        )
+
+    def piece(x: Column) -> Column:
+        size = x["end"] - x["start"]
+        value = F.substring(candidate["value"], (x["start"] - candidate["start"] + 1).cast("int"), size.cast("int"))
+        whole = size == candidate["end"] - candidate["start"]
+        return F.struct(
+            x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"), value.alias("value"),
+            F.when(whole, value).otherwise(F.btrim(value, F.lit(SEPARATORS))).alias("inner"),
+        )
+
+    return F.transform(F.aggregate(closed, start, step)["left"], piece)
+
+
+def _is_secret(piece: Column) -> Column:
+    """Whether the piece, or what is inside the separators at its ends, is random."""
+    inner = F.length(piece["inner"]) >= WINDOW
+    listed = F.regexp_like(piece["inner"], F.lit(UUID))
+    cut = piece["inner"] != piece["value"]
+    return F.when(inner & _is_random(piece["inner"]), True).when((cut | ~inner) & ~listed, _is_random(piece["value"])).otherwise(False)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -142,8 +195,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     docs = docs.withColumn("base", F.array_sort(F.concat("assign_spans", "access_spans", "hex_spans")))
-    free = F.filter("candidate_spans", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & _is_random(c["value"]))
-    return docs.withColumn("spans", F.array_sort(F.concat("base", _plain(free)))).drop("assign_spans", "access_spans", "hex_spans", "candidate_spans")
+    docs = docs.withColumn("pieces", F.flatten(F.transform("candidate_spans", _pieces)))
+    docs = docs.withColumn("spans", F.array_sort(F.concat("base", _plain(F.filter("pieces", _is_secret)))))
+    return docs.drop("assign_spans", "access_spans", "hex_spans", "candidate_spans", "pieces")
 
 
 def _written(spans: Column) -> Column:
