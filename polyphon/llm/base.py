@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,3 +30,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 <
             total += size
         if first < len(sizes):
             yield batch.slice(first)
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the machine: reused Python workers would keep it from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass

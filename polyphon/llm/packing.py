@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from polyphon.llm.base import text_slices
-from polyphon.llm.tokens import END_ID, encode_column
+from polyphon.llm.tokens import END_ID, text_ids
 from polyphon.llm.wordhash import mix64, stream64
 from polyphon.sources.workspace import materialize
 
@@ -112,8 +111,7 @@ def pack(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            ids = encode_column(batch.column("text"), tokenizer, end_id)
+        for batch, ids in text_ids(batches, tokenizer, end_id):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"), pa.array(curve_keys(ids), pa.int64()), batch.column("tie"),

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from polyphon.llm.base import text_slices
+from polyphon.llm.base import give_back_memory, text_slices
 from polyphon.llm.wordhash import SPACE, byte_set, column_bytes, mix64, span_hashes, word_spans
 
 TRAIN_ROWS = 20_000
@@ -264,6 +264,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> Da
         for batch in text_slices(batches, "text"):
             scores = model.scores(features(batch.column("text").cast(pa.string())))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+        give_back_memory()
 
     schema = docs.select(*(f"`{f.name}`" for f in fields)).schema.add(name, "double")
     return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(compute, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyphon.llm import chat, checks, counts, decontaminate, licenses, near_dups, neighbours, packing, quality, secrets, wavelet
+from polyphon.llm import chat, checks, counts, decontaminate, licenses, manifest, near_dups, neighbours, packing, quality, secrets, wavelet
 from polyphon.llm.base import table
 from polyphon.sources.workspace import new_folder
 
@@ -84,9 +84,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The tampered copy of a record loses the line ends of its text.
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    told = manifest.record_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), tampered])
+    proofs = manifest.build_manifest(docs, told=told)
+    found = proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(manifest.proof_digests(F.col("path")), 256).alias("proof_sha256"),
+        manifest.folded(F.col("told"), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash, op2_neighbours, op3_packing, op4_secrets, op5_licenses, op6_quality, op7_token_files, op8_chat, op9_token_counts, op10_decontamination)
+    for f in (op1_minhash, op2_neighbours, op3_packing, op4_secrets, op5_licenses, op6_quality, op7_token_files, op8_chat, op9_token_counts, op10_decontamination,
+        op11_manifest)
 }
 
 CHECKS: dict[str, str] = {
@@ -94,4 +108,5 @@ CHECKS: dict[str, str] = {
     "op2_neighbours": checks.NEIGHBOURS,
     "op8_chat": checks.CHAT,
     "op10_decontamination": checks.DECONTAMINATION,
+    "op11_manifest": checks.MANIFEST,
 }

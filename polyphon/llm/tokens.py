@@ -4,7 +4,8 @@ The word-level BPE vocabulary never merges across white space or from a letter
 to a mark, so the ids of a text are the ids of its pieces, one after the other.
 A worker keeps the ids of the pieces it has seen, by the hash of their
 lower-case bytes; only pieces it has not seen go to the library. The store is
-emptied when full, which costs time and changes no result.
+bounded in bytes, emptied when full and at the end of a task, which costs time
+and changes no result.
 
 Pieces of plain Latin letters (already composed) go to the library's model
 behind a splitter at white space, since its normaliser and its own splitter
@@ -20,14 +21,17 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from polyphon.llm.base import give_back_memory, text_slices
 from polyphon.llm.wordhash import SPACE, byte_set, column_bytes, span_hashes, word_spans
 
-STORE_WORDS = 2_000_000
-RECENT_WORDS = 200_000
+#: Bound of a worker's store; its arrays take at most twice that while one is grown.
+STORE_BYTES = 24 << 20
+RECENT_WORDS = 50_000
 CHUNK = 2000
 END_ID = 2
 
@@ -93,8 +97,9 @@ class _Runs:
         order = np.argsort(both[0], kind="stable")
         self.tables[k] = tuple(x[order] for x in both)
 
-    def __len__(self) -> int:
-        return sum(len(t[0]) for t in self.tables)
+    @property
+    def nbytes(self) -> int:
+        return self.ids.nbytes + sum(x.nbytes for t in self.tables for x in t)
 
 
 class WordIds:
@@ -139,7 +144,7 @@ class WordIds:
         # Special tokens are told from other strings by case; there letters are not folded.
         hashes = span_hashes(data, starts, ends, None) if b"<|" in raw else span_hashes(data, starts, ends)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.runs) > STORE_WORDS:
+        if self.runs.nbytes > STORE_BYTES:
             self.runs = _Runs()
         run, length = self.runs.find(keys)
         missing = np.flatnonzero(length < 0)
@@ -156,12 +161,22 @@ class WordIds:
         return ids, done[before]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One per Python worker, kept over its tasks."""
+    """One per Python worker; the tokenizers stay over its tasks, the store does not."""
     return WordIds(path)
 
 
+def text_ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches of a task in slices, with the ids of their ``text``; the store is freed with the task."""
+    try:
+        for batch in text_slices(batches, "text"):
+            yield batch, encode_column(batch.column("text"), path, end_id)
+    finally:
+        word_ids(path).runs = _Runs()
+        give_back_memory()
+
+
 def encode_column(texts: pa.Array, path: str, end_id: int = END_ID) -> list[np.ndarray]:
     """Ids of each text with ``end_id`` behind them; null texts are empty."""
     ids, before = word_ids(path).encode(texts)

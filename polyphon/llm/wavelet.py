@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from polyphon.llm.base import text_slices
-from polyphon.llm.tokens import END_ID, encode_column
+from polyphon.llm.tokens import END_ID, text_ids
 
 MAGIC = b"WVMX0001"
 BLOCK = 512
@@ -214,8 +213,8 @@ def write_token_files(
             ids, keys, held, number = [], [], 0, number + 1
             return row
 
-        for batch in text_slices(batches, "text"):
-            for key, one in zip(batch.column("doc_id").to_pylist(), encode_column(batch.column("text"), tokenizer, end_id)):
+        for batch, encoded in text_ids(batches, tokenizer, end_id):
+            for key, one in zip(batch.column("doc_id").to_pylist(), encoded):
                 if held and held + len(one) > shard_tokens:
                     yield flush()
                 ids.append(one.astype(np.uint16) if len(one) and one.max() < 65536 else one)

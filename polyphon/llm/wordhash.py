@@ -44,17 +44,22 @@ LOWER = np.arange(256)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SPACE = byte_set((0x20, 0x20), (0x09, 0x0D))
 
+KEPT_POWERS = 5 << 18
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            grown = np.full(size, base, _U)
+    """Powers of the base and its inverse; those for longer runs of bytes are not kept."""
+    tables = _powers
+    if len(tables[0]) < n:
+        tables = []
+        for base in (_BASE, _BASE_INVERSE):
+            grown = np.full(max(n, KEPT_POWERS), base, _U)
             grown[0] = 1
-            _powers[k] = np.cumprod(grown, dtype=_U)
-    return _powers[0][:n], _powers[1][:n]
+            tables.append(np.cumprod(grown, dtype=_U))
+        if n <= KEPT_POWERS:
+            _powers[:] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
