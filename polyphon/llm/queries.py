@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyphon.llm import chat, checks, counts, decontaminate, licenses, manifest, near_dups, neighbours, packing, quality, secrets, wavelet
+from polyphon.llm import alignment, chat, checks, counts, decontaminate, licenses, manifest, near_dups, neighbours, packing, quality, secrets, wavelet
 from polyphon.llm.base import table
 from polyphon.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -97,10 +98,14 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_minhash, op2_neighbours, op3_packing, op4_secrets, op5_licenses, op6_quality, op7_token_files, op8_chat, op9_token_counts, op10_decontamination,
-        op11_manifest)
+        op11_manifest, op12_alignment)
 }
 
 CHECKS: dict[str, str] = {

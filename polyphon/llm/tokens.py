@@ -39,7 +39,7 @@ _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 _MARK = np.isin(np.arange(256), list(b".,!?;:%#&()*+-/=\"_"))
 #: Second bytes of the two-byte letters of the Latin-1 block, which begin with 0xC3.
-_LATIN = byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+LATIN = byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     n = len(data)
     mark, ends = _MARK[data], _LETTER[data]
     begins = ends.copy()
-    two = (data[:-1] == 0xC3) & _LATIN[data[1:]] if n > 1 else np.zeros(0, bool)
+    two = (data[:-1] == 0xC3) & LATIN[data[1:]] if n > 1 else np.zeros(0, bool)
     ends[1:] |= two
     begins[:-1] |= two
     cuts = np.zeros(n, bool)
@@ -55,7 +55,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return cuts
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(own)]
@@ -102,8 +102,44 @@ class _Runs:
         return self.ids.nbytes + sum(x.nbytes for t in self.tables for x in t)
 
 
-class WordIds:
+class PieceIds:
+    """Ids of whole texts from the ids of their pieces, kept by hash; a subclass says what pieces are."""
+
+    def __init__(self):
+        self.runs = _Runs()
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, the number of pieces before each text (one more than texts), and hashes."""
+        raise NotImplementedError
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as little-endian 32-bit numbers."""
+        raise NotImplementedError
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one run, and the number of ids before each text (one entry more than texts)."""
+        data, offsets = column_bytes(texts)
+        raw = data.tobytes()
+        starts, ends, before, hashes = self.pieces(data, offsets, raw)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.runs.nbytes > STORE_BYTES:
+            self.runs = _Runs()
+        run, length = self.runs.find(keys)
+        missing = np.flatnonzero(length < 0)
+        if len(missing):
+            at = first[missing]
+            self.runs.add(keys[missing], self.encode_pieces([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
+            run[missing], length[missing] = self.runs.find(keys[missing])
+        run, length = run[inverse], length[inverse]
+        done = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length, out=done[1:])
+        ids = self.runs.ids[np.repeat(run - done[:-1], length) + np.arange(done[-1])]
+        return ids, done[before]
+
+
+class WordIds(PieceIds):
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,8 +151,7 @@ class WordIds:
         suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.letters = [(chr(b), c) for b, c in _byte_letters().items() if ord(c) > 255 and b > 127]
-        self.runs = _Runs()
+        self.letters = [(chr(b), c) for b, c in byte_letters().items() if ord(c) > 255 and b > 127]
 
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -136,29 +171,15 @@ class WordIds:
                 start = end
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one run, and the number of ids before each text (one entry more than texts)."""
-        data, offsets = column_bytes(texts)
-        raw = data.tobytes()
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, before = word_spans(data, offsets, ~SPACE, _cuts(data))
         # Special tokens are told from other strings by case; there letters are not folded.
         hashes = span_hashes(data, starts, ends, None) if b"<|" in raw else span_hashes(data, starts, ends)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.runs.nbytes > STORE_BYTES:
-            self.runs = _Runs()
-        run, length = self.runs.find(keys)
-        missing = np.flatnonzero(length < 0)
-        if len(missing):
-            at = first[missing]
-            words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            plain = self._plain([w for w in words if _PLAIN.fullmatch(w)])
-            self.runs.add(keys[missing], [plain[w] if w in plain else self.full(w) for w in words])
-            run[missing], length[missing] = self.runs.find(keys[missing])
-        run, length = run[inverse], length[inverse]
-        done = np.zeros(len(length) + 1, np.int64)
-        np.cumsum(length, out=done[1:])
-        ids = self.runs.ids[np.repeat(run - done[:-1], length) + np.arange(done[-1])]
-        return ids, done[before]
+        return starts, ends, before, hashes
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        plain = self._plain([w for w in pieces if _PLAIN.fullmatch(w)])
+        return [plain[w] if w in plain else self.full(w) for w in pieces]
 
 
 @functools.lru_cache(maxsize=1)
