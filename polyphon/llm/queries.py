@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyphon.llm import alignment, chat, checks, counts, decontaminate, licenses, manifest, near_dups, neighbours, packing, quality, secrets, wavelet
+from polyphon.llm import alignment, chat, checks, counts, decontaminate, licenses, manifest, near_dups, neighbours, packing, quality, secrets, toxicity, wavelet
 from polyphon.llm.base import table
 from polyphon.sources.workspace import new_folder
 
@@ -102,10 +102,17 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    written = F.transform("sentences", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(written, ",").alias("sentences"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_minhash, op2_neighbours, op3_packing, op4_secrets, op5_licenses, op6_quality, op7_token_files, op8_chat, op9_token_counts, op10_decontamination,
-        op11_manifest, op12_alignment)
+        op11_manifest, op12_alignment, op13_toxicity)
 }
 
 CHECKS: dict[str, str] = {
