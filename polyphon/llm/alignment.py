@@ -20,9 +20,12 @@ one row per block and pair is shuffled: to sum the counts by pair, and back to
 its block, where the texts look them up. The counts that are highest for an id of
 B are broadcast: at most one row per entry of B's vocabulary.
 
-Ids of A come from pieces cut before a lone space between a visible ASCII or
-Latin-1 character and an ASCII letter, where the byte-level splitter always
-begins a new word; each distinct piece goes to the library once per store.
+Ids of A come from pieces, cut where the byte-level splitter always begins anew:
+before a lone space between a visible character and an ASCII letter, before an
+ASCII mark behind a letter, and before an ASCII letter behind a lone line feed.
+Ids of B come from pieces cut at such spaces alone, which no merge of its model
+crosses (checked on its vocabulary). Each distinct piece goes to the library once;
+a worker's stores of pieces are bounded in bytes.
 
 Edge cases: null and empty texts, and texts that one of the tokenizers doesn't
 give back byte by byte, have no tokens and zeros; special tokens inside texts are
@@ -37,6 +40,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +59,7 @@ CHUNK = 5000
 
 _LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 _VISIBLE = byte_set((0x21, 0x7E))
+_MARK = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _ALL = np.ones(256, bool)
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -68,6 +73,20 @@ ALIGNED = (
 )
 
 
+def _latin(data: np.ndarray) -> np.ndarray:
+    """True at the last byte of a Latin-1 letter."""
+    out = np.zeros(len(data), bool)
+    out[1:] = (data[:-1] == 0xC3) & LATIN[data[1:]]
+    return out
+
+
+def _lone_spaces(data: np.ndarray) -> np.ndarray:
+    """True at a space between a visible character and an ASCII letter."""
+    out = np.zeros(len(data), bool)
+    out[1:-1] = (data[1:-1] == 0x20) & (_VISIBLE[data] | _latin(data))[:-2] & _LETTER[data][2:]
+    return out
+
+
 class ByteTokens(PieceIds):
     """A byte-level BPE: ids of texts, and the bytes of every id."""
 
@@ -85,11 +104,10 @@ class ByteTokens(PieceIds):
         self.table = ByteTable({i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items()})
 
     def pieces(self, data, offsets, raw):
-        before = np.zeros(len(data), bool)
-        before[1:] = _VISIBLE[data[:-1]]
-        before[2:] |= (data[:-2] == 0xC3) & LATIN[data[1:-1]]
-        cuts = (data == 0x20) & before
-        cuts[:-1] &= _LETTER[data[1:]]
+        letter, latin = _LETTER[data], _latin(data)
+        cuts = _lone_spaces(data)
+        cuts[1:] |= _MARK[data[1:]] & (letter | latin)[:-1]
+        cuts[2:] |= letter[2:] & (data[1:-1] == 0x0A) & (_VISIBLE[data] | latin)[:-2]
         starts, ends, count = word_spans(data, offsets, _ALL, cuts)
         return starts, ends, count, span_hashes(data, starts, ends, None)
 
@@ -97,31 +115,35 @@ class ByteTokens(PieceIds):
         out = []
         for first in range(0, len(pieces), CHUNK):
             found = self.tokenizer.encode_batch_fast(pieces[first : first + CHUNK], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+            out += [array("I", e.ids).tobytes() for e in found]
         return out
 
 
-class PieceTokens:
-    """A piece model that puts a space in front: ids of texts, and the bytes of every id."""
+class PieceTokens(PieceIds):
+    """A piece model that puts a space in front: ids of texts with that space, and the bytes of every id."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        super().__init__()
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        #: No piece holds a space behind another character, so merges never cross such a place.
+        self.by_word = not any("▁" in name.lstrip("▁") for name in names)
 
         def spelled(i: int) -> bytes:
-            piece = self.pieces.id_to_piece(i)
-            if self.pieces.is_byte(i):
-                return bytes([int(_BYTE_PIECE.fullmatch(piece)[1], 16)])
-            return piece.replace("▁", " ").encode()
+            if self.model.is_byte(i):
+                return bytes([int(_BYTE_PIECE.fullmatch(names[i])[1], 16)])
+            return names[i].replace("▁", " ").encode()
 
-        self.table = ByteTable({i: spelled(i) for i in range(self.pieces.get_piece_size())})
+        self.table = ByteTable({i: spelled(i) for i in range(len(names))})
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(x, np.uint32) for x in self.pieces.encode(texts.fill_null("").to_pylist(), num_threads=1)]
-        before = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(x) for x in found], out=before[1:])
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), before
+    def pieces(self, data, offsets, raw):
+        starts, ends, count = word_spans(data, offsets, _ALL, _lone_spaces(data) if self.by_word else None)
+        return starts, ends, count, span_hashes(data, starts, ends, None)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self.model.encode([p[1:] for p in pieces], num_threads=1)]
 
 
 class ByteTable:
@@ -223,8 +245,8 @@ class Aligned:
         data, offsets = column_bytes(spaced)
         sides = []
         good = np.diff(offsets) > 1
-        for tokens, source in ((a, spaced), (b, texts)):
-            ids, before = tokens.encode(source)
+        for tokens in (a, b):
+            ids, before = tokens.encode(spaced)
             joined, ends = tokens.table.joined(ids)
             total = np.concatenate([[0], ends])[before]
             good &= np.diff(total) == np.diff(offsets)
@@ -350,7 +372,6 @@ def _aligned_blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str,
         if rows:
             yield flush()
     finally:
-        a.runs = type(a.runs)()
         give_back_memory()
 
 

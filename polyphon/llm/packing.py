@@ -34,6 +34,7 @@ SIZE = 4096
 BUCKETS = 256
 DIMENSIONS = 4
 BITS = 12
+RANGE_IDS = 8_000_000
 
 ENCODED = "doc_id long, curve long, tie long, n_ids long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local_sequence long, offset long, sequence_length long"
@@ -169,11 +170,14 @@ def pack(
         if rows:
             yield out()
 
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"), F.col(text_col).cast("string").alias("text")
     )
     encoded = materialize(rows.mapInArrow(encode, ENCODED), "packed_ids")
-    ordered = encoded.repartitionByRange("curve", "tie").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "n_ids", "ids")
+    # Ranges of a bounded size, however large the input is.
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (encoded.agg(F.sum("n_ids")).first()[0] or 0) // RANGE_IDS)
+    ordered = encoded.repartitionByRange(ranges, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "n_ids", "ids")
     pieces = materialize(ordered.mapInArrow(cut, PIECES + IDS * with_ids), "pieces")
 
     # One row per range partition meets in the window: its number of sequences.

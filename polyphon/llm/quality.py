@@ -14,7 +14,8 @@ operations over the bytes and words of whole texts.
 
 Edge cases: null and empty texts have all-zero features and get a score like any
 other; a null label, or a label without document, is not used; a document with
-several labels takes the smallest; without labels of both classes the model is
+several labels takes the smallest, one with several texts the smallest text;
+without labels of both classes the model is
 a constant; null or repeated doc_ids keep their rows; an empty table gives no
 rows; extra columns are ignored by ``score`` and kept by ``with_score``.
 """
@@ -251,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     # Hash order is the same for every layout of the table; only labels of documents at hand count.
     known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = _featured(texts.join(F.broadcast(chosen), "doc_id"), ["doc_id", "y"]).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = _featured(rows, ["doc_id", "y"]).orderBy("doc_id").toPandas()
     x = np.stack(rows["features"].to_list()) if len(rows) else np.zeros((0, len(NAMES)))
     return fit(x, rows["y"].to_numpy(float))
 

@@ -128,9 +128,19 @@ def test_gallop_and_overlaps(texts):
 
 
 def test_ids_are_those_of_the_library(doubtful):
-    a = alignment.ByteTokens(BYTE_TOKENIZER)
+    a, b = alignment.tokenizers_of(BYTE_TOKENIZER, PIECE_TOKENIZER)
     texts = [" " + (r.text or "") for r in doubtful.collect()] + [" it's  A 1b é c’d  e <|endoftext|> x\n y. z ,a"]
     for _ in range(2):
         ids, before = a.encode(pa.array(texts))
         got = [ids[x:y].tolist() for x, y in zip(before[:-1], before[1:])]
         assert got == [A.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, before = b.encode(pa.array(texts))
+        assert [ids[x:y].tolist() for x, y in zip(before[:-1], before[1:])] == [B.encode(t[1:]) if t[1:] else [] for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é's'tlm.,-1 \n\t 漢", max_size=40))
+def test_pieces_never_change_ids(text):
+    a, b = alignment.tokenizers_of(BYTE_TOKENIZER, PIECE_TOKENIZER)
+    assert a.encode(pa.array([" " + text]))[0].tolist() == A.encode(" " + text, add_special_tokens=False).ids
+    assert b.by_word and (not text or b.encode(pa.array([" " + text]))[0].tolist() == B.encode(text))
