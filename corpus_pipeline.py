@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = near_dups.near_duplicates(docs)
     gone = classes.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Rows that share an id are copies of one document: the first by text stays.
+    # Rows that share an id are copies of one document: the one with the smallest row hash stays.
     named = left.where("doc_id IS NOT NULL")
     first = named.groupBy("doc_id").agg(F.count("*").alias("__llm_n"), F.min(F.xxhash64(*docs.columns)).alias("__llm_row")).where("__llm_n > 1")
     single = named.join(first, "doc_id", "left_anti").select(*docs.columns)
