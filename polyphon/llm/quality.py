@@ -42,6 +42,8 @@ PAIR_ROUNDS = 60
 RATE = 0.1
 RIDGE = 1.0
 LEAST_LEAF = 20
+#: Bytes of text whose features are computed at once; bounds a worker's memory.
+SLICE = 1 << 18
 
 _UPPER, _LOWER = byte_set((0x41, 0x5A)), byte_set((0x61, 0x7A))
 _DIGIT = byte_set((0x30, 0x39))
@@ -235,7 +237,7 @@ _ARRAY = "array<double>"
 
 def _featured(rows: DataFrame, kept: list[str]) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             x = features(batch.column("text"))
             arrays = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES), pa.array(x.ravel()))
             yield pa.record_batch([*(batch.column(k) for k in kept), arrays], names=[*kept, "features"])
@@ -263,7 +265,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> Da
     fields = [f for f in docs.schema.fields if f.name != name]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             scores = model.scores(features(batch.column("text").cast(pa.string())))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
         give_back_memory()
