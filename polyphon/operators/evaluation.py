@@ -10,6 +10,7 @@ from polyphon.operators import naive_bayes as nb
 from polyphon.operators.prefix import BUCKET_ROWS, Running, running, sliding_sums
 from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
+from polyphon.sources.workspace import materialize
 
 
 def confusion(scored: DataFrame, truth: str = "truth", pred: str = "pred", weight: str = "weight") -> DataFrame:
@@ -73,9 +74,23 @@ def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCK
     exclusive running sums gives every row its own model; the vote is then
     arithmetic on the row. Adds the vote vector (all zero for the first row).
     ``inclusive`` trains on row i first and then scores it.
+
+    An open attribute has running sums of its own, keyed by its value and cut
+    into bounded ranges within a value; its number of different values so far
+    counts the row's own.
     """
     w, label = name(spec.weight), name(spec.label)
+    kept = [name(c) for c in instances.columns]
     aggs = []
+    for j, a in enumerate(spec.open):
+        own = [Running(f"_o_{i}_{j}", f"if({label} = {text(c)}, {w}, 0D)") for i, c in enumerate(spec.classes)]
+        own.append(Running(f"_met_{j}", "1L"))
+        instances = running(instances, "seq", own, keys=[a], exclusive=not inclusive, bucket_rows=bucket_rows)
+        instances = materialize(instances, "prequential-open")
+        first = f"{name(a)} IS NOT NULL AND _met_{j} = {1 if inclusive else 0}"
+        # One more than before when the row's own value is new.
+        instances = add(instances, {f"_new_{j}": f"if({first}, 1D, 0D)"})
+        aggs.append(Running(f"_V_{j}", f"_new_{j}"))
     for i, c in enumerate(spec.classes):
         mine = f"{label} = {text(c)}"
         aggs.append(Running(f"_n_{i}", f"if({mine}, {w}, 0D)"))
@@ -90,7 +105,6 @@ def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCK
         for j, (a, values) in enumerate(spec.nominal.items()):
             for k, v in enumerate(values):
                 aggs.append(Running(f"_c_{i}_{j}_{k}", f"if({mine} AND {name(a)} = {text(v)}, {w}, 0D)"))
-    kept = [name(c) for c in instances.columns]
     state = running(instances, "seq", aggs, exclusive=not inclusive, bucket_rows=bucket_rows)
     moments = {"_n": " + ".join(f"_n_{i}" for i in range(len(spec.classes)))}
     for i in range(len(spec.classes)):
@@ -109,5 +123,8 @@ def prequential(instances: DataFrame, spec: FeatureSpec, bucket_rows: int = BUCK
             arms = " ".join(f"WHEN {text(v)} THEN _c_{i}_{j}_{k}" for k, v in enumerate(values))
             seen = f"CASE {name(a)} {arms} ELSE 0D END" if values else "0D"
             terms.append(f"if({name(a)} IS NULL, 0D, ln(({seen} + 1D) / (_n_{i} + {len(values)}D)))")
+        for j, a in enumerate(spec.open):
+            values = f"_V_{j}" if inclusive else f"(_V_{j} + _new_{j})"
+            terms.append(f"if({name(a)} IS NULL, 0D, ln((_o_{i}_{j} + 1D) / (_n_{i} + {values})))")
         logs.append(" + ".join(terms))
     return nb.votes_from_logs(state, logs).selectExpr(*kept, *vote_cols(len(spec.classes)))

@@ -41,7 +41,7 @@ def nb_train(weighted: DataFrame, spec: FeatureSpec, weight: str = "w", keys: tu
     w, label = name(weight), name(spec.label)
     null_s, null_d = "cast(NULL AS STRING)", "cast(NULL AS DOUBLE)"
     cell = "named_struct('attr', {}, 'value', cast({} AS STRING))".format
-    said = [cell(text(CLASS_ATTR), null_s), *(cell(text(a), name(a)) for a in spec.nominal)]
+    said = [cell(text(CLASS_ATTR), null_s), *(cell(text(a), name(a)) for a in [*spec.nominal, *spec.open])]
     numbers = [f"cast({name(a)} AS DOUBLE) AS _x{i}" for i, a in enumerate(spec.numeric)]
     tall = weighted.selectExpr(*keys, f"{label} AS label", f"{w} AS _w", *numbers, f"inline(array({', '.join(said)}))")
     own = f"attr = {text(CLASS_ATTR)}"
@@ -105,7 +105,7 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
     Columns per class i: ``lp_i`` (log prior, null when the class was never
     seen), ``mu_i_a``, ``iv_i_a``, ``lt_i_a`` for each numeric attribute, and
     ``nv_i_a`` (log probability by value) plus ``nd_i_a`` (of an unseen value)
-    for each nominal one.
+    for each nominal one; ``cw_i`` is the class's weight, for open attributes.
     """
     is_class = f"attr = {text(CLASS_ATTR)}"
     sums = [f"sum(if({is_class}, w, NULL)) AS _n"]
@@ -127,7 +127,7 @@ def nb_model(stats: DataFrame, spec: FeatureSpec, keys: tuple[str, ...] = ("memb
             moments |= {f"mu_{i}_{j}": mu, f"_var_{i}_{j}": var}
     out = [*keys]
     for i in range(len(spec.classes)):
-        out.append(f"if(_n_{i} > 0, ln(_n_{i} / _n), NULL) AS lp_{i}")
+        out += [f"if(_n_{i} > 0, ln(_n_{i} / _n), NULL) AS lp_{i}", f"coalesce(_n_{i}, 0D) AS cw_{i}"]
         for j in range(len(spec.numeric)):
             out += [
                 f"mu_{i}_{j}",
@@ -164,6 +164,10 @@ def log_votes(spec: FeatureSpec) -> list[str]:
         for j, a in enumerate(spec.nominal):
             known = f"coalesce(try_element_at(nv_{i}_{j}, {name(a)}), nd_{i}_{j})"
             terms.append(f"if({name(a)} IS NULL, 0D, {known})")
+        for j, a in enumerate(spec.open):
+            # The terms of all members and classes for the row's value: see ``scoring.with_open_terms``.
+            known = f"coalesce(_o_{j}[member * {len(spec.classes)} + {i}], 0D)"
+            terms.append(f"if({name(a)} IS NULL, 0D, {known} - ln(cw_{i} + _V_{j}))")
         logs.append(" + ".join(terms))
     return logs
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from polyphon.functions.weights import with_poisson_weight
 from polyphon.operators import evaluation as ev
 from polyphon.operators import naive_bayes as nb
+from polyphon.operators import scoring as sc
 from polyphon.operators import votes as vt
 from polyphon.operators.lookup import version_asof
 from polyphon.operators.streams import ensemble_fanout
@@ -32,14 +33,13 @@ def bag_train(instances: DataFrame, spec: FeatureSpec, ensemble: int, seed: int)
 def bag_predict(instances: DataFrame, stats: DataFrame, spec: FeatureSpec, ensemble: int) -> DataFrame:
     """``instance_id, truth, weight, pred`` and the combined vote vector.
 
-    The label and weight ride along as grouping columns: they depend on the
-    instance, so they cost no join back to it.
+    All members vote on the instance's own row, so nothing is shuffled.
     """
     rows = instances.select(
-        "instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal
+        "instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal, *spec.open
     )
-    votes = nb.member_votes(ensemble_fanout(rows, ensemble), nb.nb_model(stats, spec), spec, ensemble)
-    combined = vt.flat_combine(votes, len(spec.classes), keys=("instance_id", "truth", "weight"))
+    voted = sc.row_votes(rows, stats, spec, ensemble)
+    combined = sc.flat_rows(voted, len(spec.classes), ["instance_id", "truth", "weight"])
     best = vt.with_argmax(combined, len(spec.classes), "_best")
     return best.withColumn("pred", spec.class_at(F.col("_best"))).drop("_best")
 

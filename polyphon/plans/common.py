@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from polyphon.functions.weights import hash32, poisson_thresholds
 from polyphon.operators import naive_bayes as nb
+from polyphon.operators import scoring as sc
 from polyphon.operators.streams import ensemble_fanout, member_partition
 from polyphon.plans.bagging import bag_train, share_of_stream
 from polyphon.sources.instances import (
@@ -67,6 +68,13 @@ def all_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> Dat
     return nb.member_votes(fanned, nb.nb_model(bag_train(events(spark, sf_dir), spec, ensemble, SEED), spec), spec, ensemble)
 
 
+def row_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> DataFrame:
+    """The same votes, all members' on the event's row."""
+    spec = events_spec(spark, sf_dir)
+    rows = events(spark, sf_dir).select("instance_id", "seq", "weight", *spec.numeric, *spec.nominal, F.col("label").alias("truth"))
+    return sc.row_votes(rows, bag_train(events(spark, sf_dir), spec, ensemble, SEED), spec, ensemble)
+
+
 def arrives(instance_id: str, member: str, seed: int = 11) -> Column:
     """Whether a vote reaches its combiner: it is lost for about 37 % of the pairs."""
     return hash32(instance_id, member, seed) >= F.lit(poisson_thresholds(1.0)[0])

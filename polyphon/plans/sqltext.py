@@ -7,7 +7,7 @@ from polyphon.functions import weights as wt
 INST = """inst AS MATERIALIZED (
   SELECT event_id AS instance_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, CAST(1.0 AS DOUBLE) AS weight,
          round(value * 100) AS x_cents, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x_k,
-         CAST(user_id % 5 AS VARCHAR) AS n_user, event_type AS label, user_id
+         CAST(user_id % 5 AS VARCHAR) AS n_user, event_type AS label, user_id, CAST(user_id AS VARCHAR) AS o_user
   FROM events)"""
 
 
@@ -60,7 +60,7 @@ def nb_stats(source: str, name: str = "stats", key: str = "member", w: str = "w"
     return f"{name} AS MATERIALIZED (\n  " + "\n  UNION ALL ".join(arms) + ")"
 
 
-def nb_votes(rows: str, stats: str = "stats", name: str = "votes", numeric=("x_cents", "x_k"), nominal=("n_user",), carry: str = "") -> str:
+def nb_votes(rows: str, stats: str = "stats", name: str = "votes", numeric=("x_cents", "x_k"), nominal=("n_user",), carry: str = "", open_=()) -> str:
     """Vote of each member and class for each row: ``instance_id, member, label, vote``.
 
     The rows of ``rows`` are met with every member found in ``stats``.
@@ -75,6 +75,12 @@ def nb_votes(rows: str, stats: str = "stats", name: str = "votes", numeric=("x_c
             f"LEFT JOIN {stats} s{i} ON s{i}.member = c.member AND s{i}.label = c.label AND s{i}.attr = '{a}' AND s{i}.value = r.{a}"
         )
         terms.append(f"ln((coalesce(s{i}.w, 0) + 1) / (c.w + (SELECT count(DISTINCT {a}) FROM inst)))")
+    for i, a in enumerate(open_):
+        joins.append(
+            f"LEFT JOIN {stats} o{i} ON o{i}.member = c.member AND o{i}.label = c.label AND o{i}.attr = '{a}' AND o{i}.value = r.{a}"
+        )
+        known = f"SELECT DISTINCT value FROM {stats} WHERE attr = '{a}'"
+        terms.append(f"ln((coalesce(o{i}.w, 0) + 1) / (c.w + (SELECT count(*) FROM ({known})) + CASE WHEN r.{a} IN ({known}) THEN 0 ELSE 1 END))")
     return f"""{p}_cls AS MATERIALIZED (
   SELECT member, label, w, sum(w) OVER (PARTITION BY member) AS n FROM {stats} WHERE attr = '#class' AND w > 0),
 {p}_num AS MATERIALIZED (
@@ -88,23 +94,36 @@ def nb_votes(rows: str, stats: str = "stats", name: str = "votes", numeric=("x_c
   SELECT *, exp(lv - max(lv) OVER (PARTITION BY instance_id, member)) AS vote FROM {p}_log)"""
 
 
-def running_votes(source: str, name: str, w: str = "weight", upto: str = "1 PRECEDING") -> tuple[str, ...]:
-    """Votes ``seq, truth, label, vote`` of naive Bayes trained on the rows up to ``upto``: wide running sums per class."""
+def running_votes(
+    source: str, name: str, w: str = "weight", upto: str = "1 PRECEDING", numeric=("x_cents", "x_k"), nominal=("n_user",), open_=()
+) -> tuple[str, ...]:
+    """Votes ``seq, truth, label, vote`` of naive Bayes trained on the rows up to ``upto``: wide running sums per class.
+
+    The number of values of an ``open_`` attribute is that of the values met so far, the row's own included.
+    """
     mine = "CASE WHEN i.label = c.label THEN i.{} ELSE 0 END".format
-    sums = [f"sum({mine(w)}) OVER w AS n", f"sum({mine(w)}) OVER u AS nv"]
-    num = []
-    for a in ("x_cents", "x_k"):
+    sums, terms = [f"sum({mine(w)}) OVER w AS n"], []
+    for a in numeric:
         sums += [f"sum({mine(f'{w} * i.{a}')}) OVER w AS s_{a}", f"sum({mine(f'{w} * i.{a} * i.{a}')}) OVER w AS q_{a}"]
         d = f"(q_{a} - s_{a} * s_{a} / n)"
         var = f"(CASE WHEN n > 1 AND {d} > q_{a} * 1e-12 THEN greatest({d} / (n - 1), 1e-9) ELSE 1e-9 END)"
-        num.append(f"(-0.5 * ln(2 * pi() * {var}) - ({a} - s_{a} / n) * ({a} - s_{a} / n) / (2 * {var}))")
+        terms.append(f"(-0.5 * ln(2 * pi() * {var}) - ({a} - s_{a} / n) * ({a} - s_{a} / n) / (2 * {var}))")
+    windows = [f"w AS (PARTITION BY c.label ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"]
+    for a in (*nominal, *open_):
+        sums.append(f"sum({mine(w)}) OVER u_{a} AS v_{a}")
+        windows.append(f"u_{a} AS (PARTITION BY c.label, i.{a} ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})")
+        values = f"(SELECT count(DISTINCT {a}) FROM inst)" if a in nominal else f"k_{a}"
+        terms.append(f"ln((coalesce(v_{a}, 0) + 1) / (n + {values}))")
+    met = [f"sum(CASE WHEN f_{a} = 1 THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS k_{a}" for a in open_]
+    firsts = [f"row_number() OVER (PARTITION BY {a} ORDER BY seq) AS f_{a}" for a in open_]
+    rows = f"(SELECT *{''.join(f', {m}' for m in met)} FROM (SELECT *{''.join(f', {f}' for f in firsts)} FROM {source}))"
+    kept = ", ".join(f"i.{a}" for a in (*numeric, *(f"k_{a}" for a in open_)))
     return (
-        f"""{name}_run AS MATERIALIZED (SELECT i.seq, i.label AS truth, i.x_cents, i.x_k, c.label, {', '.join(sums)}
-      FROM {source} i CROSS JOIN (SELECT DISTINCT label FROM inst) c
-      WINDOW w AS (PARTITION BY c.label ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}),
-             u AS (PARTITION BY c.label, i.n_user ORDER BY i.seq ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}))""",
-        f"""{name}_lg AS MATERIALIZED (SELECT seq, truth, label, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY seq)) + {' + '.join(num)}
-      + ln((coalesce(nv, 0) + 1) / (n + (SELECT count(DISTINCT n_user) FROM inst))) END AS lv FROM {name}_run)""",
+        f"""{name}_run AS MATERIALIZED (SELECT i.seq, i.label AS truth, {kept}, c.label, {', '.join(sums)}
+      FROM {rows} i CROSS JOIN (SELECT DISTINCT label FROM inst) c
+      WINDOW {', '.join(windows)})""",
+        f"""{name}_lg AS MATERIALIZED (SELECT seq, truth, label, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY seq)) + {' + '.join(terms)} END AS lv
+      FROM {name}_run)""",
         f"{name} AS MATERIALIZED (SELECT seq, truth, label, coalesce(exp(lv - max(lv) OVER (PARTITION BY seq)), 0) AS vote FROM {name}_lg)",
     )
 

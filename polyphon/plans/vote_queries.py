@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from polyphon.functions.routing import member_partition
 from polyphon.operators import boosting as bo
 from polyphon.operators import evaluation as ev
 from polyphon.operators import naive_bayes as nb
+from polyphon.operators import scoring as sc
 from polyphon.operators import votes as vt
 from polyphon.operators.streams import ensemble_fanout, instance_batches
 from polyphon.plans import sqltext as q
-from polyphon.plans.bagging import bag_holdout, bag_predict
+from polyphon.plans.bagging import bag_holdout, bag_predict, bag_train
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, test_rows, train_rows, trained,
+    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, row_votes, test_rows, train_rows, trained,
 )
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import BAG_PRED, PART_SQL
 from polyphon.plans.training_queries import MEMBER_SQL, STATS_SQL, boost_ctes, event_member_weights
 from polyphon.sources import channels
+from polyphon.sources.instances import FeatureSpec, complete_header, lineitem_instances, orders_instances, read_table
 from polyphon.sources.workspace import new_folder
 from polyphon.streaming.timeouts import vote_timeout as vote_timeout_op, vote_timeout_stream as vote_timeout_stream_op
 
@@ -60,7 +61,8 @@ def vote_normalize(spark, sf_dir):
 @query("bag_partial_votes", q.with_(*PARTIAL) + "SELECT instance_id, part, n_votes, label, round(vote, 6) AS vote FROM part")
 def bag_partial_votes(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
-    p = vt.bag_partial_votes(all_votes(spark, sf_dir), len(spec.classes))
+    n = len(spec.classes)
+    p = sc.part_rows(sc.part_vectors(row_votes(spark, sf_dir), n, ENSEMBLE, PARTS), n, ["instance_id"])
     return vt.long_votes(p, ["instance_id", "part", "n_votes"], spec.classes)
 
 
@@ -77,8 +79,11 @@ def bag_partial_votes(spark, sf_dir):
 )
 def boost_partial_votes(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
-    v = all_votes(spark, sf_dir, BOOST).withColumn("part", member_partition(F.col("member"), BOOST, PARTS))
-    p = vt.boost_partial_votes(v, event_member_weights(spark, sf_dir), len(spec.classes), BOOST)
+    n = len(spec.classes)
+    # One entry per member.
+    weights = event_member_weights(spark, sf_dir).agg(F.expr("map_from_entries(collect_list(struct(member, weight)))").alias("w"))
+    voted = row_votes(spark, sf_dir, BOOST).withColumn("_weights", weights.scalar())
+    p = sc.part_rows(sc.part_vectors(voted, n, BOOST, PARTS, "_weights"), n, ["instance_id"])
     return vt.long_votes(p, ["instance_id", "part", "n_votes"], spec.classes)
 
 
@@ -96,7 +101,7 @@ def combine_votes(spark, sf_dir):
     """Parts of 2 and 3 members have equal say."""
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
-    c = vt.combine_votes(vt.bag_partial_votes(all_votes(spark, sf_dir), n), n, mode="hierarchical")
+    c = sc.combined_rows(sc.part_vectors(row_votes(spark, sf_dir), n, ENSEMBLE, PARTS), n, ["instance_id"], "hierarchical")
     return vt.long_votes(c, ["instance_id", "n_votes"], spec.classes)
 
 
@@ -104,7 +109,7 @@ def combine_votes(spark, sf_dir):
 def combine_votes_flat(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
-    c = vt.combine_votes(vt.bag_partial_votes(all_votes(spark, sf_dir), n), n, mode="flat")
+    c = sc.combined_rows(sc.part_vectors(row_votes(spark, sf_dir), n, ENSEMBLE, PARTS), n, ["instance_id"], "flat")
     return vt.long_votes(c, ["instance_id", "n_votes"], spec.classes)
 
 
@@ -125,11 +130,57 @@ def combine_two_stage(spark, sf_dir):
     """Three parts on two workers: each stage re-normalises what it receives."""
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
-    v = all_votes(spark, sf_dir).withColumn("part", member_partition(F.col("member"), ENSEMBLE, 3))
-    c = vt.combine_two_stage(vt.bag_partial_votes(v, n), n, F.floor(F.col("part") / 2).cast("int"), ensemble=ENSEMBLE)
+    c = sc.two_stage_rows(sc.part_vectors(row_votes(spark, sf_dir), n, ENSEMBLE, 3), n, ["instance_id"], parts_per_worker=2, complete=ENSEMBLE)
     return vt.long_votes(c, ["instance_id", "n_votes"], spec.classes)
 
 
+OPEN_EVENTS = FeatureSpec(numeric=("x_cents", "x_k"), open=("o_user",))
+OPEN_LINES = FeatureSpec(numeric=("x_quantity", "x_discount", "x_tax"), nominal={"n_status": ()}, open=("o_supplier",))
+OPEN_ORDERS = FeatureSpec(numeric=("x_cents",), nominal={"n_status": ()}, open=("o_customer",))
+
+
+@query(
+    "open_member_votes",
+    q.with_(
+        q.INST,
+        q.bag("inst", ENSEMBLE, SEED),
+        q.nb_stats("bag", nominal=("o_user",)),
+        q.nb_votes("inst", nominal=(), open_=("o_user",)),
+        q.normalize("votes", "nv", "instance_id, member"),
+        "fl AS MATERIALIZED (SELECT instance_id, label, sum(vote) AS vote FROM nv GROUP BY ALL)",
+        q.normalize("fl", "fn", "instance_id", cols="instance_id, label"),
+    )
+    + "SELECT instance_id, label, round(vote, 6) AS vote FROM fn",
+)
+def open_member_votes(spark, sf_dir):
+    """A bagged ensemble whose nominal attribute is the user, of whom there may be any number."""
+    inst = events(spark, sf_dir)
+    spec = complete_header(inst, OPEN_EVENTS)
+    voted = sc.row_votes(inst.select("instance_id", *spec.numeric, *spec.open), bag_train(inst, spec, ENSEMBLE, SEED), spec, ENSEMBLE)
+    return vt.long_votes(sc.flat_rows(voted, len(spec.classes), ["instance_id"]), ["instance_id"], spec.classes)
+
+
+@query(
+    "open_votes_lineitem",
+    q.with_(
+        """inst AS MATERIALIZED (SELECT row_number() OVER () AS instance_id, CAST(1.0 AS DOUBLE) AS weight, CAST(0 AS INTEGER) AS member, l_quantity AS x_quantity,
+      round(l_discount * 100) AS x_discount, round(l_tax * 100) AS x_tax, l_linestatus AS n_status, CAST(l_suppkey AS VARCHAR) AS o_supplier,
+      l_returnflag AS label FROM lineitem)""",
+        q.nb_stats("inst", w="weight", numeric=("x_quantity", "x_discount", "x_tax"), nominal=("n_status", "o_supplier")),
+        q.nb_votes("inst", numeric=("x_quantity", "x_discount", "x_tax"), nominal=("n_status",), open_=("o_supplier",), carry=", r.label AS truth"),
+        q.argmax("votes", "best", by="instance_id", carry=", truth"),
+    )
+    + "SELECT truth, pred, CAST(count(*) AS DOUBLE) AS w FROM best GROUP BY ALL",
+)
+def open_votes_lineitem(spark, sf_dir):
+    """The largest table, with its suppliers as open values: training and scoring of every row."""
+    rows = lineitem_instances(read_table(spark, sf_dir, "lineitem"))
+    spec = complete_header(rows, OPEN_LINES)
+    voted = sc.row_votes(rows.withColumnRenamed("label", "truth"), nb.single_train(rows, spec), spec, 1)
+    best = vt.with_argmax(sc.flat_rows(voted, len(spec.classes), ["truth", "weight"]), len(spec.classes))
+    return ev.confusion(sc.with_label(best, spec, "pred_index"))
+
+
 FLAT = (
     *VOTES,
     "fl AS MATERIALIZED (SELECT instance_id, label, sum(vote) AS vote FROM nv GROUP BY ALL)",
@@ -140,13 +191,13 @@ FLAT = (
 @query("flat_combine", q.with_(*FLAT) + "SELECT instance_id, label, round(vote, 6) AS vote FROM fn")
 def flat_combine(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
-    return vt.long_votes(vt.flat_combine(all_votes(spark, sf_dir), len(spec.classes)), ["instance_id"], spec.classes)
+    return vt.long_votes(sc.flat_rows(row_votes(spark, sf_dir), len(spec.classes), ["instance_id"]), ["instance_id"], spec.classes)
 
 
 @query("vote_combiner", q.with_(*FLAT) + "SELECT instance_id, label, round(vote, 6) AS vote FROM fl")
 def vote_combiner(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
-    return vt.long_votes(vt.flat_combine(all_votes(spark, sf_dir), len(spec.classes), keep_zero=True), ["instance_id"], spec.classes)
+    return vt.long_votes(sc.flat_rows(row_votes(spark, sf_dir), len(spec.classes), ["instance_id"], keep_zero=True), ["instance_id"], spec.classes)
 
 
 @query(
@@ -229,7 +280,7 @@ def vote_timeout_stream(spark, sf_dir):
 def argmax_label(spark, sf_dir):
     spec = events_spec(spark, sf_dir)
     n = len(spec.classes)
-    c = vt.flat_combine(all_votes(spark, sf_dir), n)
+    c = sc.flat_rows(row_votes(spark, sf_dir), n, ["instance_id"])
     return vt.with_argmax(c, n).select("instance_id", spec.class_at(F.col("pred_index")).alias("pred"))
 
 
@@ -349,3 +400,36 @@ def prequential(spark, sf_dir):
     inst = events(spark, sf_dir).select("seq", "weight", *spec.numeric, *spec.nominal, "label")
     p = ev.prequential(inst, spec).withColumnRenamed("label", "truth")
     return vt.long_votes(p, ["seq", "truth"], spec.classes)
+
+
+@query(
+    "open_prequential",
+    q.with_(q.INST, *q.running_votes("inst", "pv", nominal=(), open_=("o_user",))) + "SELECT seq, truth, label, round(vote, 6) AS vote FROM pv",
+)
+def open_prequential(spark, sf_dir):
+    """Test-then-train with the user as an open value."""
+    inst = events(spark, sf_dir)
+    spec = complete_header(inst, OPEN_EVENTS)
+    p = ev.prequential(inst.select("seq", "weight", *spec.numeric, *spec.open, "label"), spec).withColumnRenamed("label", "truth")
+    return vt.long_votes(p, ["seq", "truth"], spec.classes)
+
+
+@query(
+    "open_prequential_orders",
+    q.with_(
+        """inst AS MATERIALIZED (SELECT o_orderkey AS seq, CAST(1.0 AS DOUBLE) AS weight, round(o_totalprice * 100) AS x_cents,
+      o_orderstatus AS n_status, CAST(o_custkey AS VARCHAR) AS o_customer, o_orderpriority AS label FROM orders)""",
+        *q.running_votes("inst", "pv", numeric=("x_cents",), nominal=("n_status",), open_=("o_customer",)),
+        q.argmax("pv", "best", by="seq", carry=", truth"),
+    )
+    + """SELECT seq // 1000 AS step_no, CAST(count(*) AS DOUBLE) AS instances,
+    round(sum(CASE WHEN pred = truth THEN 1.0 ELSE 0.0 END) / count(*), 6) AS accuracy FROM best GROUP BY ALL""",
+)
+def open_prequential_orders(spark, sf_dir):
+    """Accuracy by steps of the second labelled stream, whose customers are open values."""
+    inst = orders_instances(read_table(spark, sf_dir, "orders"))
+    spec = complete_header(inst, OPEN_ORDERS)
+    p = vt.with_argmax(ev.prequential(inst, spec), len(spec.classes))
+    scored = sc.with_label(p, spec, "pred_index").withColumn("correct", F.when(F.col("pred") == F.col("label"), 1).otherwise(0))
+    c = ev.learning_curve(scored, 1000)
+    return c.select("step_no", "instances", F.round("accuracy", 6).alias("accuracy"))

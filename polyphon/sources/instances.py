@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from polyphon.functions.timeutil import epoch_ms
 
-MAX_HEADER_VALUES = 1000
+# An attribute with more values than this is completed as an open one.
+DECLARED_VALUES = 256
 
 
 @dataclass(frozen=True)
@@ -16,11 +17,13 @@ class FeatureSpec:
     """The header of an instance stream: columns, kinds and declared values.
 
     ``classes`` fixes the order of a vote vector. ``nominal`` maps a column to
-    its declared values.
+    its declared values. The values of ``open`` columns are not declared: there
+    may be any number of them, and the learner counts those it meets.
     """
 
     numeric: tuple[str, ...] = ()
     nominal: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    open: tuple[str, ...] = ()
     label: str = "label"
     classes: tuple[str, ...] = ()
     weight: str = "weight"
@@ -28,7 +31,7 @@ class FeatureSpec:
     @property
     def model_cells(self) -> int:
         """Numbers in one member's model; the size bound used for broadcasts."""
-        per_class = 2 + 4 * len(self.numeric) + 2 * sum(len(v) for v in self.nominal.values())
+        per_class = 3 + 4 * len(self.numeric) + 2 * sum(len(v) for v in self.nominal.values())
         return len(self.classes) * per_class
 
     def class_index(self, label: Column) -> Column:
@@ -40,19 +43,24 @@ class FeatureSpec:
         return F.element_at(F.array(*[F.lit(c) for c in self.classes]), index + 1)
 
 
-def declared_values(df: DataFrame, column: str) -> tuple[str, ...]:
-    """Distinct values of a header column, sorted; a header is small by nature."""
-    rows = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_HEADER_VALUES + 1).collect()
-    if len(rows) > MAX_HEADER_VALUES:
-        raise ValueError(f"{column} has more than {MAX_HEADER_VALUES} values; it cannot be declared in a header")
-    return tuple(sorted(r.v for r in rows))
+def declared_values(df: DataFrame, column: str, most: int | None = None) -> tuple[str, ...] | None:
+    """Distinct values of a header column, sorted; None when there are more than ``most``."""
+    found = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = (found if most is None else found.limit(most + 1)).collect()
+    return None if most is not None and len(rows) > most else tuple(sorted(r.v for r in rows))
 
 
-def complete_header(df: DataFrame, spec: FeatureSpec) -> FeatureSpec:
-    """Fill undeclared classes and nominal values from the data."""
+def complete_header(df: DataFrame, spec: FeatureSpec, most: int = DECLARED_VALUES) -> FeatureSpec:
+    """Fill undeclared classes and nominal values from the data.
+
+    A nominal attribute with more than ``most`` values becomes an open one, so
+    that what the driver and the model's constants hold stays bounded. A vote
+    vector has one place per class, so classes are always declared.
+    """
     classes = spec.classes or declared_values(df, spec.label)
-    nominal = {c: vals or declared_values(df, c) for c, vals in spec.nominal.items()}
-    return replace(spec, classes=classes, nominal=nominal)
+    found = {c: vals or declared_values(df, c, most) for c, vals in spec.nominal.items()}
+    nominal = {c: vals for c, vals in found.items() if vals is not None}
+    return replace(spec, classes=classes, nominal=nominal, open=(*spec.open, *(c for c in found if c not in nominal)))
 
 
 def events_instances(events: DataFrame) -> DataFrame:
@@ -71,6 +79,7 @@ def events_instances(events: DataFrame) -> DataFrame:
         F.pmod(F.col("user_id"), F.lit(5)).cast("string").alias("n_user"),
         F.col("event_type").alias("label"),
         F.col("user_id"),
+        F.col("user_id").cast("string").alias("o_user"),
     )
 
 
@@ -86,6 +95,7 @@ def lineitem_instances(lineitem: DataFrame) -> DataFrame:
         F.round(F.col("l_tax") * 100).alias("x_tax"),
         F.col("l_linestatus").alias("n_status"),
         F.col("l_returnflag").alias("label"),
+        F.col("l_suppkey").cast("string").alias("o_supplier"),
     )
 
 
@@ -101,6 +111,7 @@ def orders_instances(orders: DataFrame) -> DataFrame:
         F.round(F.col("o_totalprice") * 100).alias("x_cents"),
         F.col("o_orderstatus").alias("n_status"),
         F.col("o_orderpriority").alias("label"),
+        F.col("o_custkey").cast("string").alias("o_customer"),
     )
 
 
