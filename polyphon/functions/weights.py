@@ -31,12 +31,16 @@ def hash32_text(instance_id: str, member: str, seed: int = 1) -> str:
     """SQL text of a 32-bit hash (as long) of instance id, member and seed.
 
     The member and the seed choose the odd multiplier of the first mixing step,
-    so members are not shifted copies of each other along the ids.
+    so members are not shifted copies of each other along the ids. The id's low
+    word goes through that step, and its high word joins behind it: which ids
+    meet in one hash is then another matter in each member and seed, so no two
+    ids have equal draws throughout.
     """
     start = (seed * SEED_STEP) & MASK
     key = f"(((cast({member} AS BIGINT) + 1L) * {MEMBER_STEP}L + {start}L) & 2147483647L)"
-    h = f"((({instance_id} & {MASK}L) + ((shiftright({instance_id}, 32) & {MASK}L) * {HIGH_STEP}L)) & {MASK}L)"
+    h = f"({instance_id} & {MASK}L)"
     h = f"((({h} ^ shiftright({h}, 16)) * ({key} | 1L) + (({key} * {HIGH_STEP}L) & {MASK}L)) & {MASK}L)"
+    h = f"({h} ^ (shiftright({instance_id}, 32) & {MASK}L))"
     h = f"((({h} ^ shiftright({h}, 16)) * {MIX_A}L) & {MASK}L)"
     h = f"((({h} ^ shiftright({h}, 15)) * {MIX_B}L) & {MASK}L)"
     return f"({h} ^ shiftright({h}, 16))"

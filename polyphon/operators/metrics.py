@@ -114,7 +114,7 @@ def emit_latency(votes: DataFrame, combiner: str, order: str, every: int = 10_00
     """Mean delay since the start of each combiner, at each ``every``-th vote.
 
     ``votes`` has ``delay_ms`` (arrival minus emission). The mean is whole
-    milliseconds.
+    milliseconds. Votes that share a place in ``order`` count by their delay.
     """
     r = running(
         votes.select(combiner, order, "delay_ms"),
@@ -122,6 +122,7 @@ def emit_latency(votes: DataFrame, combiner: str, order: str, every: int = 10_00
         [Running("n", "1L"), Running("_sum", "delay_ms")],
         keys=[combiner],
         bucket_rows=bucket_rows,
+        tie=["delay_ms"],
     )
     return r.where(F.col("n") % every == 0).select(combiner, "n", F.expr("_sum div n").alias("mean_delay_ms"))
 

@@ -120,13 +120,13 @@ def complete_only(partials: DataFrame, n_classes: int, ensemble: int) -> DataFra
 def with_argmax(df: DataFrame, n_classes: int, out: str = "pred_index") -> DataFrame:
     """Add the index of the largest vote, the first one on ties.
 
-    Votes are compared in steps of 1e-9 of the largest one, so that the order in
+    Votes are compared in steps of 1e-12 of the largest one, so that the order in
     which Spark added them cannot decide between equal votes, however small.
     """
     steps = [f"_r_{i}" for i in range(n_classes)]
     votes = vote_cols(n_classes)
     staged = add(df, {"_v_top": f"greatest({', '.join(votes)})" if n_classes > 1 else votes[0]})
-    staged = add(staged, {r: f"coalesce(rint({v} / nullif(_v_top, 0D) * 1e9D), 0D)" for r, v in zip(steps, votes)})
+    staged = add(staged, {r: f"coalesce(rint({v} / nullif(_v_top, 0D) * 1e12D), 0D)" for r, v in zip(steps, votes)})
     staged = add(staged, {"_r_top": f"greatest({', '.join(steps)})" if n_classes > 1 else steps[0]})
     arms = " ".join(f"WHEN {r} = _r_top THEN {i}" for i, r in enumerate(steps))
     return add(staged, {out: f"CASE {arms} END"}).drop(*steps, "_r_top", "_v_top")

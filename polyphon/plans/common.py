@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyphon.functions.weights import hash32, poisson_thresholds
+from polyphon.functions.timeutil import epoch_ms
 from polyphon.operators import naive_bayes as nb
 from polyphon.operators import scoring as sc
 from polyphon.operators.streams import ensemble_fanout, member_partition
@@ -75,22 +75,26 @@ def row_votes(spark: SparkSession, sf_dir: str, ensemble: int = ENSEMBLE) -> Dat
     return sc.row_votes(rows, bag_train(events(spark, sf_dir), spec, ensemble, SEED), spec, ensemble)
 
 
-def arrives(instance_id: str, member: str, seed: int = 11) -> Column:
-    """Whether a vote reaches its combiner: it is lost for about 37 % of the pairs."""
-    return hash32(instance_id, member, seed) >= F.lit(poisson_thresholds(1.0)[0])
+# A set of an order's votes is forgotten this long after its first vote.
+SET_MS = 365 * 86_400_000
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of three members arriving at their combiners, some lost on the way.
+def order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as votes on their order: each arrives when it ships, at the combiner of its supplier.
 
-    Member m's vote arrives 17 m seconds after the event; it was sent ``x_k``
-    milliseconds before it arrives.
+    Orders have different numbers of lines over years, so complete, late and
+    incomplete sets occur by themselves.
     """
-    inst = events(spark, sf_dir).select("instance_id", "seq", "ts_ms", "x_k")
-    fanned = ensemble_fanout(inst, BOOST).where(arrives("instance_id", "member"))
-    return fanned.select(
-        "instance_id", "member", (F.col("seq") * BOOST + F.col("member")).alias("seq"),
-        (F.col("ts_ms") + F.col("member") * 17_000).alias("ts_ms"),
-        F.col("x_k").cast("long").alias("delay_ms"), F.lit(1).cast("long").alias("n_votes"),
-        F.pmod(F.col("instance_id"), F.lit(2)).cast("int").alias("combiner"),
+    lines = read_table(spark, sf_dir, "lineitem")
+    return lines.select(
+        F.col("l_orderkey").alias("instance_id"), epoch_ms(lines, "l_shipdate").alias("ts_ms"), F.lit(1).cast("long").alias("n_votes"),
+        F.col("l_suppkey").alias("combiner"), F.col("l_returnflag").alias("label"),
     )
+
+
+def delayed_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``delay_ms``: from the order's date, when the vote was asked for, to its arrival."""
+    orders = read_table(spark, sf_dir, "orders")
+    asked = orders.select(F.col("o_orderkey").alias("instance_id"), epoch_ms(orders, "o_orderdate").alias("asked_ms"))
+    votes = order_votes(spark, sf_dir).join(asked, "instance_id")
+    return votes.withColumn("delay_ms", F.col("ts_ms") - F.col("asked_ms")).drop("asked_ms")

@@ -11,10 +11,10 @@ from polyphon.operators import naive_bayes as nb
 from polyphon.operators.prefix import row_index
 from polyphon.operators.streams import ensemble_fanout
 from polyphon.plans import sqltext as q
-from polyphon.plans.common import BOOST, ENSEMBLE, SEED, arrivals, events, stream_cut
+from polyphon.plans.common import BOOST, ENSEMBLE, SEED, delayed_votes, events, order_votes, stream_cut
 from polyphon.plans.registry import query
 from polyphon.plans.training_queries import ALL_BAG
-from polyphon.plans.vote_queries import ARRIVALS
+from polyphon.plans.vote_queries import ORDER_VOTES
 from polyphon.sources import channels
 from polyphon.sources.instances import read_table
 from polyphon.sources.workspace import new_folder
@@ -97,20 +97,26 @@ def throughput_warmup(spark, sf_dir):
 
 @query(
     "emit_latency",
-    q.with_(*ARRIVALS, "l AS (SELECT combiner, row_number() OVER w AS n, sum(delay_ms) OVER w AS s FROM arr WINDOW w AS (PARTITION BY combiner ORDER BY seq))")
-    + "SELECT combiner, n, CAST(s // n AS BIGINT) AS mean_delay_ms FROM l WHERE n % 100 = 0",
+    q.with_(
+        """d AS (SELECT l_suppkey AS combiner, l_shipdate AS ts, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) // 1000 AS delay_ms
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
+        "l AS (SELECT combiner, row_number() OVER w AS n, sum(delay_ms) OVER w AS s FROM d "
+        "WINDOW w AS (PARTITION BY combiner ORDER BY ts, delay_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    )
+    + "SELECT combiner, n, CAST(sign(s) * (abs(s) // n) AS BIGINT) AS mean_delay_ms FROM l WHERE n % 100 = 0",
 )
 def emit_latency(spark, sf_dir):
-    return mt.emit_latency(arrivals(spark, sf_dir), "combiner", "seq", every=100)
+    """Real delays, from an order's date to the shipping of its lines; some lines ship before."""
+    return mt.emit_latency(delayed_votes(spark, sf_dir), "combiner", "ts_ms", every=100)
 
 
 @query(
     "pending_stats",
-    q.with_(*ARRIVALS, "v AS (SELECT instance_id, count(*) AS n FROM arr GROUP BY instance_id)")
+    q.with_(ORDER_VOTES, "v AS (SELECT instance_id, count(*) AS n FROM arr GROUP BY instance_id)")
     + f"SELECT count(*) AS pending, count(*) FILTER (WHERE n = 2) AS with_two FROM v WHERE n < {BOOST}",
 )
 def pending_stats(spark, sf_dir):
-    sets = arrivals(spark, sf_dir).groupBy("instance_id").agg(F.sum("n_votes").alias("n_votes"))
+    sets = order_votes(spark, sf_dir).groupBy("instance_id").agg(F.sum("n_votes").alias("n_votes"))
     return mt.pending_stats(sets, BOOST)
 
 

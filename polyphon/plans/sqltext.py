@@ -23,8 +23,9 @@ def hash32(instance_id: str, member: str, seed: int) -> str:
     m = wt.MASK
     start = (seed * wt.SEED_STEP) & m
     key = f"(((CAST({member} AS BIGINT) + 1) * {wt.MEMBER_STEP} + {start}) & 2147483647)"
-    h = f"((({instance_id} & {m}) + ((({instance_id} >> 32) & {m}) * {wt.HIGH_STEP})) & {m})"
+    h = f"({instance_id} & {m})"
     h = f"((xor({h}, ({h} >> 16)) * ({key} | 1) + (({key} * {wt.HIGH_STEP}) & {m})) & {m})"
+    h = f"xor({h}, (({instance_id} >> 32) & {m}))"
     h = f"((xor({h}, ({h} >> 16)) * {wt.MIX_A}) & {m})"
     h = f"((xor({h}, ({h} >> 15)) * {wt.MIX_B}) & {m})"
     return f"xor({h}, ({h} >> 16))"
@@ -141,5 +142,5 @@ def argmax(source: str, name: str, by: str = "instance_id", vote: str = "vote",
     """Label with the largest rounded vote, first in class order on ties."""
     return (
         f"{name} AS MATERIALIZED (SELECT {by}{carry}, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY {by}"
-        f" ORDER BY round({vote}, 9) DESC, label) AS rn FROM {source}) WHERE rn = 1)"
+        f" ORDER BY round({vote}, 12) DESC, label) AS rn FROM {source}) WHERE rn = 1)"
     )

@@ -13,7 +13,7 @@ from polyphon.operators.streams import ensemble_fanout, instance_batches
 from polyphon.plans import sqltext as q
 from polyphon.plans.bagging import bag_holdout, bag_predict, bag_train
 from polyphon.plans.common import (
-    BOOST, ENSEMBLE, PARTS, SEED, all_votes, arrivals, arrives, events, events_spec, row_votes, test_rows, train_rows, trained,
+    BOOST, ENSEMBLE, PARTS, SEED, SET_MS, all_votes, events, events_spec, lineitem_spec, order_votes, row_votes, test_rows, train_rows, trained,
 )
 from polyphon.plans.registry import query
 from polyphon.plans.stream_queries import BAG_PRED, PART_SQL
@@ -200,62 +200,59 @@ def vote_combiner(spark, sf_dir):
     return vt.long_votes(sc.flat_rows(row_votes(spark, sf_dir), len(spec.classes), ["instance_id"], keep_zero=True), ["instance_id"], spec.classes)
 
 
+ORDER_VOTES = """arr AS MATERIALIZED (SELECT l_orderkey AS instance_id, epoch_us(l_shipdate) // 1000 AS ts_ms, l_suppkey AS combiner, l_returnflag AS label
+  FROM lineitem)"""
+
+
 @query(
     "complete_only",
     q.with_(
-        *_votes_sql(BOOST),
-        f"got AS (SELECT * FROM nv WHERE {q.hash32('instance_id', 'member', 11)} >= {q.wt.poisson_thresholds(1.0)[0]})",
-        "sm AS MATERIALIZED (SELECT instance_id, label, sum(vote) AS vote, CAST(count(*) AS INTEGER) AS n_votes FROM got GROUP BY ALL)",
-        q.normalize("sm", "cv", "instance_id", cols="instance_id, label, n_votes"),
+        ORDER_VOTES,
+        f"n AS MATERIALIZED (SELECT instance_id, CAST(count(*) AS INTEGER) AS n_votes FROM arr GROUP BY instance_id HAVING count(*) = {BOOST})",
+        "sm AS (SELECT instance_id, n_votes, c.label, count(*) FILTER (WHERE arr.label = c.label) / n_votes AS vote "
+        "FROM arr JOIN n USING (instance_id) CROSS JOIN (SELECT DISTINCT label FROM arr) c GROUP BY instance_id, n_votes, c.label)",
     )
-    + f"SELECT instance_id, n_votes, label, round(vote, 6) AS vote FROM cv WHERE n_votes = {BOOST}",
+    + "SELECT instance_id, n_votes, label, round(vote, 6) AS vote FROM sm",
 )
 def complete_only(spark, sf_dir):
-    """Some votes are lost; only instances with all three are emitted."""
-    spec = events_spec(spark, sf_dir)
-    n = len(spec.classes)
-    got = all_votes(spark, sf_dir, BOOST).where(arrives("instance_id", "member"))
-    c = vt.complete_only(vt.bag_partial_votes(got, n), n, BOOST)
-    return vt.long_votes(c, ["instance_id", "n_votes"], spec.classes)
-
-
-ARRIVALS = (
-    q.INST,
-    f"""arr AS MATERIALIZED (SELECT i.instance_id, m.member, i.seq * {BOOST} + m.member AS seq, i.ts_ms + m.member * 17000 AS ts_ms,
-      CAST(i.x_k AS BIGINT) AS delay_ms, CAST(i.instance_id % 2 AS INTEGER) AS combiner FROM inst i CROSS JOIN {q.members(BOOST)} m
-      WHERE {q.hash32('i.instance_id', 'm.member', 11)} >= {q.wt.poisson_thresholds(1.0)[0]})""",
-)
+    """An order's lines vote for their return flag; only orders with exactly three votes are emitted."""
+    classes = lineitem_spec(spark, sf_dir).classes
+    n = len(classes)
+    votes = order_votes(spark, sf_dir).withColumn("part", F.pmod(F.col("combiner"), F.lit(PARTS)).cast("int"))
+    votes = votes.select("instance_id", "part", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(v) for c, v in zip(classes, vt.vote_cols(n))])
+    return vt.long_votes(vt.complete_only(vt.bag_partial_votes(votes, n), n, BOOST), ["instance_id", "n_votes"], classes)
 
 
 VOTE_SETS = (
     q.with_(
-        *ARRIVALS,
-        """opens AS (SELECT instance_id, min(ts_ms) AS first_ms FROM arr GROUP BY instance_id
-      UNION ALL SELECT o.instance_id, (SELECT min(a.ts_ms) FROM arr a WHERE a.instance_id = o.instance_id AND a.ts_ms >= o.first_ms + 30000)
-        FROM opens o WHERE o.first_ms IS NOT NULL)""",
-        "op AS MATERIALIZED (SELECT * FROM opens WHERE first_ms IS NOT NULL)",
+        ORDER_VOTES,
+        "v AS MATERIALIZED (SELECT instance_id, ts_ms, row_number() OVER (PARTITION BY instance_id ORDER BY ts_ms) AS rn FROM arr)",
+        # Where the set that begins with a vote ends: when it is full, or before the first vote that is too late.
+        f"""nx AS MATERIALIZED (SELECT a.instance_id, a.rn, a.ts_ms, least(a.rn + {BOOST}, count(*) FILTER (WHERE b.ts_ms < a.ts_ms + {SET_MS}) + 1) AS nxt
+      FROM v a JOIN v b ON b.instance_id = a.instance_id GROUP BY a.instance_id, a.rn, a.ts_ms)""",
+        """st AS (SELECT instance_id, rn, ts_ms, nxt FROM nx WHERE rn = 1
+      UNION ALL SELECT nx.instance_id, nx.rn, nx.ts_ms, nx.nxt FROM st JOIN nx ON nx.instance_id = st.instance_id AND nx.rn = st.nxt)""",
     )
-    + f"""SELECT o.instance_id, o.first_ms, count(*) AS n_votes, count(*) = {BOOST} AS complete FROM op o
-    JOIN arr a ON a.instance_id = o.instance_id AND a.ts_ms >= o.first_ms AND a.ts_ms < o.first_ms + 30000 GROUP BY o.instance_id, o.first_ms"""
+    + f"SELECT instance_id, ts_ms AS first_ms, nxt - rn AS n_votes, nxt - rn = {BOOST} AS complete FROM st"
 )
 
 
 @query("vote_timeout", VOTE_SETS)
 def vote_timeout(spark, sf_dir):
-    """Votes 17 seconds apart: a third vote comes too late for the first one's set."""
-    return vote_timeout_op(arrivals(spark, sf_dir), BOOST)
+    """Sets of three line items of an order within a year of the first."""
+    return vote_timeout_op(order_votes(spark, sf_dir), BOOST, SET_MS)
 
 
 @query("vote_timeout_stream", VOTE_SETS)
 def vote_timeout_stream(spark, sf_dir):
-    """The same votes as a stream, in order of time; a closing row a day later ends the last sets.
+    """The same votes as a stream, in order of time; a closing row behind all of them ends the last sets.
 
     A reader does not keep the order of files written by one job, so each stretch
     of time is published and read by a run of its own, which goes on from the
     checkpoint of the one before.
     """
-    votes = arrivals(spark, sf_dir).select("instance_id", "ts_ms", "n_votes")
-    closing = votes.agg(F.lit(-1).cast("long").alias("instance_id"), (F.max("ts_ms") + 86_400_000).alias("ts_ms"), F.lit(1).cast("long").alias("n_votes"))
+    votes = order_votes(spark, sf_dir).select("instance_id", "ts_ms", "n_votes")
+    closing = votes.agg(F.lit(-1).cast("long").alias("instance_id"), (F.max("ts_ms") + 2 * SET_MS).alias("ts_ms"), F.lit(1).cast("long").alias("n_votes"))
     rows = votes.unionByName(closing.where("ts_ms IS NOT NULL")).withColumn("ts", F.timestamp_millis("ts_ms"))
     folder = new_folder(spark, "vote-channel")
     out, checkpoint = new_folder(spark, "vote-sets"), new_folder(spark, "vote-ckpt")
@@ -269,7 +266,7 @@ def vote_timeout_stream(spark, sf_dir):
             part = rows if start is None else rows.where(F.col("ts_ms") >= start)
             channels.publish_instances(part if end is None else part.where(F.col("ts_ms") < end), folder)
             stream = channels.read_channel(spark, folder, rows.schema).drop("ts_ms")
-            sets = vote_timeout_stream_op(stream, BOOST).writeStream.foreachBatch(lambda batch, i: channels.write_predictions(batch, i, out))
+            sets = vote_timeout_stream_op(stream, BOOST, SET_MS).writeStream.foreachBatch(lambda batch, i: channels.write_predictions(batch, i, out))
             sets.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(STATE_STORE, before)

@@ -22,6 +22,19 @@ from polyphon.sources.schema import flat_schema
 # -- weights -------------------------------------------------------------------
 
 
+def test_all_64_bits_of_an_id_reach_the_draw(spark):
+    """Ids whose low words, or whose words folded together, are equal draw differently over members and seeds."""
+    fold = 0x1B873593
+    pairs = [(fold + 5, 2**32 + 5), (7, 2**40 + 7), (3 * fold + 2, 3 * 2**32 + 2), (5, -(2**63) + 5), (-1, 2**32 - 1)]
+    for a, b in pairs:
+        ids = spark.createDataFrame([(a, b)], "a long, b long")
+        same = ids.select(*((hash32("a", str(m), s) == hash32("b", str(m), s)).alias(f"s{m}_{s}") for m in range(8) for s in (1, 7))).first()
+        assert sum(same) <= 1
+    wide = spark.range(20_000).selectExpr("id * 4294967296L + id AS instance_id", "1.0D AS weight")
+    k = with_poisson_weight(wide.withColumn("member", F.lit(2)), seed=4).agg(F.sum("k"), F.sum(F.col("k") * F.col("k"))).first()
+    assert abs(k[0] / 20_000 - 1) < 0.04 and abs(k[1] / 20_000 - 2) < 0.15
+
+
 def test_poisson_thresholds_follow_the_distribution():
     steps = poisson_thresholds(1.0)
     cdf = 0.0
