@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -111,25 +112,28 @@ def _wlogw(w: Column) -> Column:
 def split_candidates(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Information gain of every possible cut of every leaf.
 
-    Works on leaf statistics only; the number of rows is that of (leaf,
-    attribute, bin, label), not of instances. A cut's left side holds bins up to
-    the cut (numeric) or the cut's own bin (nominal).
+    Works on leaf statistics only: one row per (leaf, attribute, bin), with the
+    class weights side by side. A cut's left side holds bins up to the cut
+    (numeric), as running sums over the bins in order, or the cut's own bin
+    (nominal); what is left of the totals is the right side.
     """
     numeric = F.col("attr").isin(list(spec.numeric)) if spec.numeric else F.lit(False)
-    by_bin = stats.where(F.col("attr") != CLASS_ATTR).groupBy("member", "node_id", "attr", "bin", "label").agg(F.sum("w").alias("w"))
-    side = Window.partitionBy("member", "node_id", "attr", "label")
-    # Every cut needs all labels, also those absent from its own bin.
-    cuts = by_bin.select("member", "node_id", "attr", F.col("bin").alias("cut")).distinct()
-    labels = by_bin.withColumn("total", F.sum("w").over(side))
-    joined = cuts.join(labels, ["member", "node_id", "attr"])
-    left = F.when(numeric, F.col("bin") <= F.col("cut")).otherwise(F.col("bin") == F.col("cut"))
-    per_label = joined.groupBy("member", "node_id", "attr", "cut", "label").agg(
-        F.sum(F.when(left, F.col("w")).otherwise(0.0)).alias("l"), F.max("total").alias("t")
+    own = [f"_own_{i}" for i in range(len(spec.classes))]
+    by_bin = stats.where(F.col("attr") != CLASS_ATTR).groupBy("member", "node_id", "attr", F.col("bin").alias("cut"))
+    by_bin = by_bin.agg(*[F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(o) for o, c in zip(own, spec.classes)])
+    leaf = Window.partitionBy("member", "node_id", "attr")
+    upto = leaf.orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = by_bin.select(
+        "member", "node_id", "attr", "cut", *[F.sum(o).over(leaf).alias(f"_t{o}") for o in own],
+        *[F.when(numeric, F.sum(o).over(upto)).otherwise(F.col(o)).alias(f"_l{o}") for o in own],
     )
-    r = F.col("t") - F.col("l")
-    g = per_label.groupBy("member", "node_id", "attr", "cut").agg(
-        F.sum("t").alias("n"), F.sum("l").alias("nl"), F.sum(r).alias("nr"),
-        F.sum(_wlogw(F.col("t"))).alias("ht"), F.sum(_wlogw(F.col("l"))).alias("hl"), F.sum(_wlogw(r)).alias("hr"),
+    total, left = [F.col(f"_t{o}") for o in own], [F.col(f"_l{o}") for o in own]
+    right = [t - x for t, x in zip(total, left)]
+    summed = lambda columns: reduce(lambda x, y: x + y, columns)
+    g = sides.select(
+        "member", "node_id", "attr", "cut",
+        *[summed(c).alias(n) for n, c in (("n", total), ("nl", left), ("nr", right))],
+        *[summed([_wlogw(x) for x in c]).alias(n) for n, c in (("ht", total), ("hl", left), ("hr", right))],
     )
     gain = (
         _entropy(F.col("n"), F.col("ht"))
