@@ -1,10 +1,16 @@
 """Hoeffding trees as tables: leaf statistics, splits, growth and size limits.
 
-A tree is rows ``member, node_id, depth, attr, op, cut, is_leaf``. Node 1 is the
-root; the children of n are 2n (test holds) and 2n + 1. An instance's attributes
-are whole-number bins: numeric values fall between fixed edges, nominal values
-have their place in the header. A numeric split asks ``bin <= cut``, a nominal
-one ``bin = cut``.
+A tree is rows ``member, node_id, depth, attr, op, cut, yes, no, is_leaf``. Node 1
+is the root, a member's nodes are numbered without gaps in the order in which they
+came, and a split node names its children: ``yes`` where the test holds, ``no``
+where it doesn't. So depth is not limited by the numbering. An instance's
+attributes are whole-number bins: numeric values fall between fixed edges, nominal
+values have their place in the header. A numeric split asks ``bin <= cut``, a
+nominal one ``bin = cut``.
+
+All members' trees are one value, an array of node arrays, which reaches the tasks
+as a scalar subquery; a row walks it from the root to its leaf in one step, without
+a join. Trees above ``BROADCAST_BYTES`` are walked by one join per level.
 """
 
 from __future__ import annotations
@@ -15,25 +21,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from polyphon.operators.lookup import model_join
+from polyphon.functions.sqlexpr import add, name, text
+from polyphon.operators.lookup import BROADCAST_BYTES, model_join
 from polyphon.operators.naive_bayes import CLASS_ATTR
+from polyphon.operators.scoring import gathered, let
+from polyphon.operators.streams import ensemble_fanout
 from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
 
-NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, is_leaf boolean"
+NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, yes long, no long, is_leaf boolean"
 LEAF_STAT_COLUMNS = ["member", "node_id", "attr", "bin", "label", "w"]
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Options of the tree learner. ``edges`` gives each numeric attribute's bin edges."""
+    """Options of the tree learner.
+
+    ``edges`` gives each numeric attribute's bin edges. ``max_split_nodes`` is one cap
+    for all members or a cap per member; members beyond the list take its last one.
+    """
 
     edges: dict[str, tuple[float, ...]] = field(default_factory=dict)
     delta: float = 1e-7
     tie: float = 0.05
     grace: float = 200.0
-    max_depth: int = 20
-    max_split_nodes: int | None = None
+    max_depth: int | None = None
+    max_split_nodes: int | tuple[int, ...] | None = None
 
 
 def binned(instances: DataFrame, spec: FeatureSpec, params: TreeParams) -> DataFrame:
@@ -55,27 +68,67 @@ def root_nodes(spark: SparkSession, ensemble: int) -> DataFrame:
     return spark.range(ensemble).select(
         F.col("id").cast("int").alias("member"), F.lit(1).cast("long").alias("node_id"), F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("op"),
-        F.lit(None).cast("int").alias("cut"), F.lit(True).alias("is_leaf"),
+        F.lit(None).cast("int").alias("cut"), F.lit(None).cast("long").alias("yes"), F.lit(None).cast("long").alias("no"), F.lit(True).alias("is_leaf"),
     )
 
 
+def trees_value(nodes: DataFrame, spec: FeatureSpec, leaves: DataFrame | None = None) -> DataFrame:
+    """One row, one column: ``member`` and its nodes in the order of their numbers, by member.
+
+    A node has the place of its attribute (null in a leaf), the test and its children.
+    With ``leaves`` (``member, node_id`` and a vote vector) it has the vector too, zero
+    where the leaf saw nothing.
+    """
+    attrs = ", ".join(text(a) for a in [*spec.numeric, *spec.nominal])
+    fields = {"node_id": "node_id", "a": f"cast(nullif(array_position(array({attrs}), attr), 0) AS INT)", "le": "op = 'le'", "cut": "cut", "yes": "yes", "no": "no"}
+    if leaves is not None:
+        nodes = nodes.join(leaves, ["member", "node_id"], "left")
+        fields["v"] = f"array({', '.join(f'coalesce({v}, 0D)' for v in vote_cols(len(spec.classes)))})"
+    node = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    by_number = "array_sort(collect_list(n), (a, b) -> if(a.node_id < b.node_id, -1, 1))"
+    by_member = nodes.selectExpr("member", f"{node} AS n").groupBy("member").agg(F.expr(f"{by_number} AS nodes"))
+    return by_member.agg(F.expr("array_sort(collect_list(struct(member, nodes)), (a, b) -> a.member - b.member) AS trees"))
+
+
+def _walk(tree: str, bins: str, depth: int) -> str:
+    """Number of the leaf (SQL text) that the bins reach in an array of nodes; a missing value takes the second branch."""
+    if depth == 0:
+        return "1L"
+    at = f"{tree}[cast(n AS INT) - 1]"
+    value = f"{bins}[{at}.a - 1]"
+    holds = f"coalesce(if({at}.le, {value} <= {at}.cut, {value} = {at}.cut), false)"
+    return f"aggregate(sequence(1, {depth}), 1L, (n, level) -> if({at}.a IS NULL, n, if({holds}, {at}.yes, {at}.no)))"
+
+
+def _bins(spec: FeatureSpec) -> str:
+    return f"array({', '.join(name(f'bin_{a}') for a in [*spec.numeric, *spec.nominal])})"
+
+
 def route(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int) -> DataFrame:
     """Leaf of each (instance, member) row, as ``node_id``.
 
-    One join with the split nodes per level. ``depth`` is the depth of the
-    deepest leaf; ``node_bytes`` bounds the node table's size.
+    ``depth`` is the depth of the deepest leaf; ``node_bytes`` bounds the node
+    table's size.
     """
-    splits = nodes.where(~F.col("is_leaf")).select("member", "node_id", F.col("attr").alias("_attr"), F.col("op").alias("_op"), F.col("cut").alias("_cut"))
+    if node_bytes > BROADCAST_BYTES:
+        return _route_by_joins(rows, nodes, spec, depth, node_bytes)
+    held = rows.withColumn("_trees", trees_value(nodes, spec).scalar())
+    own = "filter(_trees, m -> m.member = member)[0].nodes"
+    return add(held, {"node_id": let("t", own, let("b", _bins(spec), _walk("t", "b", depth)))}).drop("_trees")
+
+
+def _route_by_joins(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int) -> DataFrame:
+    """The same for trees that are too large for one value: one join with the split nodes per level."""
+    splits = nodes.where(~F.col("is_leaf")).select("member", "node_id", F.struct("attr", "op", "cut", "yes", "no").alias("_test"))
     out = rows.withColumn("node_id", F.lit(1).cast("long"))
     for _ in range(depth):
         out = model_join(out, splits, ["member", "node_id"], node_bytes, "instance_id", how="left")
         value = F.lit(None).cast("int")
         for a in [*spec.numeric, *spec.nominal]:
-            value = F.when(F.col("_attr") == a, F.col(f"bin_{a}")).otherwise(value)
-        holds = F.when(F.col("_op") == "le", value <= F.col("_cut")).otherwise(value == F.col("_cut"))
-        # A missing value takes the second branch.
-        child = F.col("node_id") * 2 + F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(1)
-        out = out.withColumn("node_id", F.when(F.col("_attr").isNull(), F.col("node_id")).otherwise(child)).drop("_attr", "_op", "_cut")
+            value = F.when(F.col("_test.attr") == a, F.col(f"bin_{a}")).otherwise(value)
+        holds = F.when(F.col("_test.op") == "le", value <= F.col("_test.cut")).otherwise(value == F.col("_test.cut"))
+        child = F.when(F.coalesce(holds, F.lit(False)), F.col("_test.yes")).otherwise(F.col("_test.no"))
+        out = out.withColumn("node_id", F.when(F.col("_test").isNull(), F.col("node_id")).otherwise(child)).drop("_test")
     return out
 
 
@@ -182,40 +235,68 @@ def tree_split(stats: DataFrame, spec: FeatureSpec, params: TreeParams) -> DataF
 
 
 def apply_splits(nodes: DataFrame, splits: DataFrame) -> DataFrame:
-    """The tree after its leaves in ``splits`` became split nodes with two leaves."""
-    s = splits.select("member", "node_id", F.col("attr").alias("_a"), F.col("op").alias("_o"), F.col("cut").alias("_c"))
+    """The tree after its leaves in ``splits`` became split nodes with two leaves.
+
+    A member's new leaves are numbered on from its last node, in the order of the
+    leaves that they come from. What is ranked is one member's splits of one batch.
+    """
+    top = nodes.groupBy("member").agg(F.max("node_id").alias("_top"))
+    order = F.row_number().over(Window.partitionBy("member").orderBy("node_id"))
+    ranked = splits.select("member", "node_id", F.col("attr").alias("_a"), F.col("op").alias("_o"), F.col("cut").alias("_c"), order.alias("_nth"))
+    s = ranked.join(top, "member").withColumn("_yes", F.col("_top") + 2 * F.col("_nth") - 1).drop("_top", "_nth")
     j = nodes.join(s, ["member", "node_id"], "left")
     kept = j.select(
-        "member", "node_id", "depth", F.coalesce("_a", "attr").alias("attr"), F.coalesce("_o", "op").alias("op"),
-        F.coalesce("_c", "cut").alias("cut"), (F.col("is_leaf") & F.col("_a").isNull()).alias("is_leaf"),
+        "member", "node_id", "depth", F.coalesce("_a", "attr").alias("attr"), F.coalesce("_o", "op").alias("op"), F.coalesce("_c", "cut").alias("cut"),
+        F.coalesce("_yes", "yes").alias("yes"), F.coalesce(F.col("_yes") + 1, "no").alias("no"), (F.col("is_leaf") & F.col("_a").isNull()).alias("is_leaf"),
     )
     children = j.where(F.col("_a").isNotNull()).select(
-        "member", F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("node_id"),
-        (F.col("depth") + 1).alias("depth"), F.lit(None).cast("string").alias("attr"),
-        F.lit(None).cast("string").alias("op"), F.lit(None).cast("int").alias("cut"), F.lit(True).alias("is_leaf"),
+        "member", F.explode(F.array(F.col("_yes"), F.col("_yes") + 1)).alias("node_id"), (F.col("depth") + 1).alias("depth"),
+        F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("int").alias("cut"),
+        F.lit(None).cast("long").alias("yes"), F.lit(None).cast("long").alias("no"), F.lit(True).alias("is_leaf"),
     )
     return kept.unionByName(children)
 
 
-def tree_size_limit(nodes: DataFrame, max_split_nodes: int) -> DataFrame:
-    """Members over the cap restart from an empty root; the others stay as they are."""
+def tree_size_limit(nodes: DataFrame, max_split_nodes: int | tuple[int, ...]) -> DataFrame:
+    """Members over their cap restart from an empty root; the others stay as they are."""
+    caps = (max_split_nodes,) if isinstance(max_split_nodes, int) else max_split_nodes
+    cap = F.element_at(F.array(*[F.lit(c) for c in caps]), F.least(F.col("member") + 1, F.lit(len(caps))))
     size = nodes.groupBy("member").agg(F.count_if(~F.col("is_leaf")).alias("_splits"))
-    flagged = nodes.join(size, "member").withColumn("_full", F.col("_splits") > max_split_nodes)
+    flagged = nodes.join(size, "member").withColumn("_full", F.col("_splits") > cap)
     keep = flagged.where(~F.col("_full") | (F.col("node_id") == 1))
     reset = F.col("_full")
     return keep.select(
-        "member", "node_id", "depth",
-        F.when(~reset, F.col("attr")).alias("attr"), F.when(~reset, F.col("op")).alias("op"),
-        F.when(~reset, F.col("cut")).alias("cut"), (reset | F.col("is_leaf")).alias("is_leaf"),
+        "member", "node_id", "depth", *[F.when(~reset, F.col(c)).alias(c) for c in ("attr", "op", "cut", "yes", "no")],
+        (reset | F.col("is_leaf")).alias("is_leaf"),
     )
 
 
+def leaf_vectors(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Class weights of every leaf that saw something, as a vote vector."""
+    per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) for c in spec.classes]
+    return stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(*[c.alias(v) for c, v in zip(per_class, vote_cols(len(spec.classes)))])
+
+
 def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_bytes: int) -> DataFrame:
     """Vote vector of a tree member: class weights at the instance's leaf.
 
     A leaf that saw nothing votes zero everywhere.
     """
-    per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) for c in spec.classes]
-    leaf = stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(*[c.alias(v) for c, v in zip(per_class, vote_cols(len(spec.classes)))])
-    out = model_join(routed, leaf, ["member", "node_id"], node_bytes, "instance_id", how="left")
+    out = model_join(routed, leaf_vectors(stats, spec), ["member", "node_id"], node_bytes, "instance_id", how="left")
     return out.withColumns({v: F.coalesce(v, F.lit(0.0)) for v in vote_cols(len(spec.classes))})
+
+
+def row_votes(
+    instances: DataFrame, nodes: DataFrame, stats: DataFrame, spec: FeatureSpec, params: TreeParams, ensemble: int, depth: int, node_bytes: int
+) -> DataFrame:
+    """Adds ``votes``: ``member`` and vote vector ``v`` of every member, in member order, on the instance's own row."""
+    kept = [name(c) for c in instances.columns]
+    rows = binned(instances, spec, params)
+    if node_bytes > BROADCAST_BYTES:
+        numbered = ensemble_fanout(add(rows, {"_row": "monotonically_increasing_id()"}), ensemble)
+        routed = route(numbered, nodes, spec, depth, node_bytes)
+        return gathered(leaf_votes(routed, stats, spec, node_bytes), len(spec.classes), instances.columns)
+    held = rows.withColumn("_trees", trees_value(nodes, spec, leaf_vectors(stats, spec)).scalar())
+    leaf = f"m.nodes[cast({_walk('m.nodes', 'b', depth)} AS INT) - 1].v"
+    votes = let("b", _bins(spec), f"transform(_trees, m -> named_struct('member', m.member, 'v', {leaf}))")
+    return held.selectExpr(*kept, f"{votes} AS votes")

@@ -131,7 +131,12 @@ def _gathered_votes(rows: DataFrame, stats: DataFrame, spec: FeatureSpec, ensemb
     n = len(spec.classes)
     numbered = add(rows, {"_row": "monotonically_increasing_id()"})
     votes = nb.member_votes(ensemble_fanout(numbered, ensemble), nb.nb_model(stats, spec), spec, ensemble, spread_by="_row")
-    packed = votes.select("_row", *[F.col(name(c)) for c in columns], F.struct("member", F.array(*vote_cols(n)).alias("v")).alias("_vote"))
+    return gathered(votes, n, columns)
+
+
+def gathered(votes: DataFrame, n_classes: int, columns: list[str]) -> DataFrame:
+    """Members' vote rows of the same ``_row`` as one row with ``votes``, in member order."""
+    packed = votes.select("_row", *[F.col(name(c)) for c in columns], F.struct("member", F.array(*vote_cols(n_classes)).alias("v")).alias("_vote"))
     # At most one vote per member.
     met = packed.groupBy("_row", *[name(c) for c in columns]).agg(F.expr("array_sort(collect_list(_vote), (a, b) -> a.member - b.member) AS _all"))
     return met.selectExpr(*[name(c) for c in columns], "_all AS votes")

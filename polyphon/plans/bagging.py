@@ -38,7 +38,11 @@ def bag_predict(instances: DataFrame, stats: DataFrame, spec: FeatureSpec, ensem
     rows = instances.select(
         "instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal, *spec.open
     )
-    voted = sc.row_votes(rows, stats, spec, ensemble)
+    return labelled(sc.row_votes(rows, stats, spec, ensemble), spec)
+
+
+def labelled(voted: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The members' votes on each row combined, with the label that wins."""
     combined = sc.flat_rows(voted, len(spec.classes), ["instance_id", "truth", "weight"])
     best = vt.with_argmax(combined, len(spec.classes), "_best")
     return best.withColumn("pred", spec.class_at(F.col("_best"))).drop("_best")

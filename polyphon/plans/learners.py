@@ -12,9 +12,12 @@ from typing import Protocol
 from pyspark.sql import DataFrame, functions as F
 
 from polyphon.functions.weights import with_poisson_weight
+from polyphon.operators import evaluation as ev
 from polyphon.operators import hoeffding as ht
 from polyphon.operators import naive_bayes as nb
+from polyphon.operators import scoring as sc
 from polyphon.operators.streams import ensemble_fanout
+from polyphon.plans.bagging import labelled
 from polyphon.sources.instances import FeatureSpec
 from polyphon.sources.workspace import materialize
 
@@ -26,6 +29,9 @@ class Learner(Protocol):
     def votes(self, fanned: DataFrame, state: object, ensemble: int) -> DataFrame:
         """Vote vector of each (instance, member) row."""
 
+    def row_votes(self, instances: DataFrame, state: object, ensemble: int) -> DataFrame:
+        """``votes`` of all members on the instance's own row."""
+
 
 @dataclass(frozen=True)
 class NaiveBayes:
@@ -41,14 +47,18 @@ class NaiveBayes:
     def votes(self, fanned: DataFrame, state: DataFrame, ensemble: int) -> DataFrame:
         return nb.member_votes(fanned, nb.nb_model(state, self.spec), self.spec, ensemble)
 
+    def row_votes(self, instances: DataFrame, state: DataFrame, ensemble: int) -> DataFrame:
+        return sc.row_votes(instances, state, self.spec, ensemble)
+
 
 @dataclass
 class TreeState:
-    """Trees of all members: their nodes, the leaves' counts, and the deepest leaf."""
+    """Trees of all members: their nodes, the leaves' counts, the deepest leaf, and how many nodes there are."""
 
     nodes: DataFrame
     stats: DataFrame
     depth: int
+    size: int
 
 
 @dataclass(frozen=True)
@@ -58,12 +68,9 @@ class HoeffdingTrees:
     spec: FeatureSpec
     params: ht.TreeParams
 
-    def node_bytes(self, ensemble: int, depth: int) -> int:
-        """Largest size of the node table: the split cap, or a full tree of this depth."""
-        nodes = 2 ** min(depth + 1, 62)
-        if self.params.max_split_nodes is not None:
-            nodes = min(nodes, 2 * self.params.max_split_nodes + 3)
-        return ensemble * nodes * 96
+    def node_bytes(self, nodes: int) -> int:
+        """Size of that many nodes, each with its leaf's vote vector."""
+        return nodes * (96 + 8 * len(self.spec.classes))
 
     def train(self, weighted: DataFrame, state: TreeState | None, ensemble: int) -> TreeState:
         """Route a batch to the leaves, add its counts, split the leaves that are ready.
@@ -75,13 +82,16 @@ class HoeffdingTrees:
         rows = ht.binned(weighted, self.spec, self.params)
         nodes = state.nodes if state else ht.root_nodes(spark, ensemble)
         depth = state.depth if state else 0
-        size = self.node_bytes(ensemble, depth)
+        size = self.node_bytes(state.size if state else ensemble)
         stats = ht.leaf_stats(ht.route(rows, nodes, self.spec, depth, size), self.spec)
         if state:
             stats = ht.merge_leaf_stats(state.stats, stats)
         stats = materialize(stats, "leaf-stats")
-        shallow = nodes.where(F.col("is_leaf") & (F.col("depth") < self.params.max_depth)).select("member", "node_id")
-        splits = ht.tree_split(stats.join(shallow, ["member", "node_id"], "left_semi"), self.spec, self.params)
+        open_leaves = stats
+        if self.params.max_depth is not None:
+            shallow = nodes.where(F.col("is_leaf") & (F.col("depth") < self.params.max_depth)).select("member", "node_id")
+            open_leaves = stats.join(shallow, ["member", "node_id"], "left_semi")
+        splits = ht.tree_split(open_leaves, self.spec, self.params)
         grown = ht.apply_splits(nodes, materialize(splits, "tree-splits"))
         if self.params.max_split_nodes is not None:
             grown = ht.tree_size_limit(grown, self.params.max_split_nodes)
@@ -90,14 +100,17 @@ class HoeffdingTrees:
         # restarted root was no leaf, so it begins with nothing.
         still = nodes.where("is_leaf").join(grown.where("is_leaf"), ["member", "node_id"], "left_semi")
         kept = stats.join(still.select("member", "node_id"), ["member", "node_id"], "left_semi")
-        deepest = grown.agg(F.max("depth")).first()[0]
-        return TreeState(grown, materialize(kept, "leaf-stats"), deepest)
+        deepest, count = grown.agg(F.max("depth"), F.count(F.lit(1))).first()
+        return TreeState(grown, materialize(kept, "leaf-stats"), deepest, count)
 
     def votes(self, fanned: DataFrame, state: TreeState, ensemble: int) -> DataFrame:
-        size = self.node_bytes(ensemble, state.depth)
+        size = self.node_bytes(state.size)
         routed = ht.route(ht.binned(fanned, self.spec, self.params), state.nodes, self.spec, state.depth, size)
-        leaf_bytes = size // 96 * (16 + 8 * len(self.spec.classes)) * 2
-        return ht.leaf_votes(routed, state.stats, self.spec, leaf_bytes)
+        return ht.leaf_votes(routed, state.stats, self.spec, size)
+
+    def row_votes(self, instances: DataFrame, state: TreeState, ensemble: int) -> DataFrame:
+        size = self.node_bytes(state.size)
+        return ht.row_votes(instances, state.nodes, state.stats, self.spec, self.params, ensemble, state.depth, size)
 
 
 def learner(name: str, spec: FeatureSpec, **options) -> Learner:
@@ -120,3 +133,9 @@ def bag_batches(batches: list[DataFrame], base: Learner, ensemble: int, seed: in
     for batch in batches:
         state = base.train(with_poisson_weight(ensemble_fanout(batch, ensemble), weight_col=weight, seed=seed), state, ensemble)
     return state
+
+
+def bag_evaluate(instances: DataFrame, base: Learner, state: object, spec: FeatureSpec, ensemble: int) -> DataFrame:
+    """Accuracy of a trained ensemble of any base learner on held-out instances; one row."""
+    rows = instances.select("instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal, *spec.open)
+    return ev.basic_evaluator(labelled(base.row_votes(rows, state, ensemble), spec))
