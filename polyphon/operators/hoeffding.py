@@ -1,12 +1,14 @@
 """Hoeffding trees as tables: leaf statistics, splits, growth and size limits.
 
-A tree is rows ``member, node_id, depth, attr, op, cut, yes, no, is_leaf``. Node 1
+A tree is rows ``member, node_id, depth, attr, op, cut, yes, no, is_leaf, init``. Node 1
 is the root, a member's nodes are numbered without gaps in the order in which they
 came, and a split node names its children: ``yes`` where the test holds, ``no``
 where it doesn't. So depth is not limited by the numbering. An instance's
 attributes are whole-number bins: numeric values fall between fixed edges, nominal
 values have their place in the header. A numeric split asks ``bin <= cut``, a
-nominal one ``bin = cut``.
+nominal one ``bin = cut``. ``init`` has the class weights that a new leaf takes over
+from the split that made it, so that it can vote before it has seen anything; its
+counts for the next split start from nothing.
 
 All members' trees are one value, an array of node arrays, which reaches the tasks
 as a scalar subquery; a row walks it from the root to its leaf in one step, without
@@ -29,7 +31,7 @@ from polyphon.operators.streams import ensemble_fanout
 from polyphon.operators.votes import vote_cols
 from polyphon.sources.instances import FeatureSpec
 
-NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, yes long, no long, is_leaf boolean"
+NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, yes long, no long, is_leaf boolean, init array<double>"
 LEAF_STAT_COLUMNS = ["member", "node_id", "attr", "bin", "label", "w"]
 
 
@@ -69,6 +71,7 @@ def root_nodes(spark: SparkSession, ensemble: int) -> DataFrame:
         F.col("id").cast("int").alias("member"), F.lit(1).cast("long").alias("node_id"), F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("op"),
         F.lit(None).cast("int").alias("cut"), F.lit(None).cast("long").alias("yes"), F.lit(None).cast("long").alias("no"), F.lit(True).alias("is_leaf"),
+        F.lit(None).cast("array<double>").alias("init"),
     )
 
 
@@ -185,6 +188,7 @@ def split_candidates(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
     summed = lambda columns: reduce(lambda x, y: x + y, columns)
     g = sides.select(
         "member", "node_id", "attr", "cut",
+        F.array(*left).alias("left"), F.array(*right).alias("right"),
         *[summed(c).alias(n) for n, c in (("n", total), ("nl", left), ("nr", right))],
         *[summed([_wlogw(x) for x in c]).alias(n) for n, c in (("ht", total), ("hl", left), ("hr", right))],
     )
@@ -198,7 +202,7 @@ def split_candidates(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
         g.where((F.col("nl") > 0) & (F.col("nr") > 0))
         .withColumn("gain", F.round(gain, 9))
         .withColumn("op", F.when(numeric, F.lit("le")).otherwise(F.lit("eq")))
-        .select("member", "node_id", "attr", "op", "cut", "n", "gain")
+        .select("member", "node_id", "attr", "op", "cut", "n", "gain", "left", "right")
     )
 
 
@@ -213,18 +217,19 @@ def tree_split(stats: DataFrame, spec: FeatureSpec, params: TreeParams) -> DataF
     The best cut of each attribute competes with the best of the others. The
     leaf splits when their gap exceeds the Hoeffding bound, or the bound is
     below the tie threshold. Equal gains go to the attribute, then the cut, that
-    comes first.
+    comes first. ``left`` and ``right`` are the class weights on the two sides of it;
+    rows that lack the attribute are on neither.
     """
     best_cut = (
         split_candidates(stats, spec)
         .groupBy("member", "node_id", "attr")
-        .agg(F.max_by(F.struct("op", "cut", "n", "gain"), F.struct(F.col("gain"), -F.col("cut"))).alias("b"))
+        .agg(F.max_by(F.struct("op", "cut", "n", "gain", "left", "right"), F.struct(F.col("gain"), -F.col("cut"))).alias("b"))
         .select("member", "node_id", "attr", "b.*")
     )
     w = Window.partitionBy("member", "node_id").orderBy(F.col("gain").desc(), F.col("attr"))
     ranked = best_cut.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2)
     per_leaf = ranked.groupBy("member", "node_id").agg(
-        F.max_by(F.struct("attr", "op", "cut", "n", "gain"), -F.col("rank")).alias("b"),
+        F.max_by(F.struct("attr", "op", "cut", "n", "gain", "left", "right"), -F.col("rank")).alias("b"),
         F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("gain"))), F.lit(0.0)).alias("second_gain"),
     )
     flat = per_leaf.select("member", "node_id", "b.*", "second_gain").withColumn(
@@ -240,49 +245,52 @@ def apply_splits(nodes: DataFrame, splits: DataFrame) -> DataFrame:
     A member's new leaves are numbered on from its last node, in the order of the
     leaves that they come from. What is ranked is one member's splits of one batch.
     """
-    top = nodes.groupBy("member").agg(F.max("node_id").alias("_top"))
-    order = F.row_number().over(Window.partitionBy("member").orderBy("node_id"))
-    ranked = splits.select("member", "node_id", F.col("attr").alias("_a"), F.col("op").alias("_o"), F.col("cut").alias("_c"), order.alias("_nth"))
-    s = ranked.join(top, "member").withColumn("_yes", F.col("_top") + 2 * F.col("_nth") - 1).drop("_top", "_nth")
+    s = splits.selectExpr("member", "node_id", "attr AS _a", "op AS _o", "cut AS _c", "left AS _l", "right AS _r")
+    own = Window.partitionBy("member")
     j = nodes.join(s, ["member", "node_id"], "left")
-    kept = j.select(
-        "member", "node_id", "depth", F.coalesce("_a", "attr").alias("attr"), F.coalesce("_o", "op").alias("op"), F.coalesce("_c", "cut").alias("cut"),
-        F.coalesce("_yes", "yes").alias("yes"), F.coalesce(F.col("_yes") + 1, "no").alias("no"), (F.col("is_leaf") & F.col("_a").isNull()).alias("is_leaf"),
+    j = j.withColumn("_top", F.max("node_id").over(own)).withColumn("_nth", F.count("_a").over(own.orderBy("node_id")))
+    j = j.withColumn("_yes", F.when(F.col("_a").isNotNull(), F.col("_top") + 2 * F.col("_nth") - 1))
+    # A split node keeps nothing of what its leaf took over.
+    node = (
+        "named_struct('node_id', node_id, 'depth', depth, 'attr', coalesce(_a, attr), 'op', coalesce(_o, op), 'cut', coalesce(_c, cut), "
+        "'yes', coalesce(_yes, yes), 'no', coalesce(_yes + 1, no), 'is_leaf', is_leaf AND _a IS NULL, 'init', if(_a IS NULL, init, NULL))"
     )
-    children = j.where(F.col("_a").isNotNull()).select(
-        "member", F.explode(F.array(F.col("_yes"), F.col("_yes") + 1)).alias("node_id"), (F.col("depth") + 1).alias("depth"),
-        F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("int").alias("cut"),
-        F.lit(None).cast("long").alias("yes"), F.lit(None).cast("long").alias("no"), F.lit(True).alias("is_leaf"),
-    )
-    return kept.unionByName(children)
+    nothing = "'attr', cast(NULL AS STRING), 'op', cast(NULL AS STRING), 'cut', cast(NULL AS INT), 'yes', cast(NULL AS LONG), 'no', cast(NULL AS LONG), 'is_leaf', true"
+    child = f"named_struct('node_id', _yes + {{}}, 'depth', depth + 1, {nothing}, 'init', {{}})".format
+    return j.selectExpr("member", f"inline(if(_a IS NULL, array({node}), array({node}, {child(0, '_l')}, {child(1, '_r')})))")
 
 
 def tree_size_limit(nodes: DataFrame, max_split_nodes: int | tuple[int, ...]) -> DataFrame:
     """Members over their cap restart from an empty root; the others stay as they are."""
     caps = (max_split_nodes,) if isinstance(max_split_nodes, int) else max_split_nodes
     cap = F.element_at(F.array(*[F.lit(c) for c in caps]), F.least(F.col("member") + 1, F.lit(len(caps))))
-    size = nodes.groupBy("member").agg(F.count_if(~F.col("is_leaf")).alias("_splits"))
-    flagged = nodes.join(size, "member").withColumn("_full", F.col("_splits") > cap)
+    splits = F.count_if(~F.col("is_leaf")).over(Window.partitionBy("member"))
+    flagged = nodes.withColumn("_full", splits > cap)
     keep = flagged.where(~F.col("_full") | (F.col("node_id") == 1))
     reset = F.col("_full")
     return keep.select(
         "member", "node_id", "depth", *[F.when(~reset, F.col(c)).alias(c) for c in ("attr", "op", "cut", "yes", "no")],
-        (reset | F.col("is_leaf")).alias("is_leaf"),
+        (reset | F.col("is_leaf")).alias("is_leaf"), F.when(~reset, F.col("init")).alias("init"),
     )
 
 
-def leaf_vectors(stats: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Class weights of every leaf that saw something, as a vote vector."""
+def leaf_vectors(stats: DataFrame, spec: FeatureSpec, nodes: DataFrame | None = None) -> DataFrame:
+    """Class weights of every leaf that saw something, as a vote vector; with ``nodes``, what leaves took over counts too."""
     per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) for c in spec.classes]
-    return stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(*[c.alias(v) for c, v in zip(per_class, vote_cols(len(spec.classes)))])
+    votes = vote_cols(len(spec.classes))
+    seen = stats.where(F.col("attr") == CLASS_ATTR).groupBy("member", "node_id").agg(*[c.alias(v) for c, v in zip(per_class, votes)])
+    if nodes is None:
+        return seen
+    taken = nodes.where("is_leaf AND init IS NOT NULL").select("member", "node_id", *[F.col("init")[i].alias(v) for i, v in enumerate(votes)])
+    return seen.unionByName(taken).groupBy("member", "node_id").agg(*[F.sum(v).alias(v) for v in votes])
 
 
-def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_bytes: int) -> DataFrame:
-    """Vote vector of a tree member: class weights at the instance's leaf.
+def leaf_votes(routed: DataFrame, stats: DataFrame, spec: FeatureSpec, node_bytes: int, nodes: DataFrame | None = None) -> DataFrame:
+    """Vote vector of a tree member: class weights at the instance's leaf (``leaf_vectors``).
 
-    A leaf that saw nothing votes zero everywhere.
+    A leaf that has none votes zero everywhere.
     """
-    out = model_join(routed, leaf_vectors(stats, spec), ["member", "node_id"], node_bytes, "instance_id", how="left")
+    out = model_join(routed, leaf_vectors(stats, spec, nodes), ["member", "node_id"], node_bytes, "instance_id", how="left")
     return out.withColumns({v: F.coalesce(v, F.lit(0.0)) for v in vote_cols(len(spec.classes))})
 
 
@@ -295,8 +303,8 @@ def row_votes(
     if node_bytes > BROADCAST_BYTES:
         numbered = ensemble_fanout(add(rows, {"_row": "monotonically_increasing_id()"}), ensemble)
         routed = route(numbered, nodes, spec, depth, node_bytes)
-        return gathered(leaf_votes(routed, stats, spec, node_bytes), len(spec.classes), instances.columns)
-    held = rows.withColumn("_trees", trees_value(nodes, spec, leaf_vectors(stats, spec)).scalar())
+        return gathered(leaf_votes(routed, stats, spec, node_bytes, nodes), len(spec.classes), instances.columns)
+    held = rows.withColumn("_trees", trees_value(nodes, spec, leaf_vectors(stats, spec, nodes)).scalar())
     leaf = f"m.nodes[cast({_walk('m.nodes', 'b', depth)} AS INT) - 1].v"
     votes = let("b", _bins(spec), f"transform(_trees, m -> named_struct('member', m.member, 'v', {leaf}))")
     return held.selectExpr(*kept, f"{votes} AS votes")

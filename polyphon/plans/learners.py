@@ -69,14 +69,15 @@ class HoeffdingTrees:
     params: ht.TreeParams
 
     def node_bytes(self, nodes: int) -> int:
-        """Size of that many nodes, each with its leaf's vote vector."""
-        return nodes * (96 + 8 * len(self.spec.classes))
+        """Size of that many nodes, each with its leaf's vote vector and what it took over."""
+        return nodes * (96 + 16 * len(self.spec.classes))
 
     def train(self, weighted: DataFrame, state: TreeState | None, ensemble: int) -> TreeState:
         """Route a batch to the leaves, add its counts, split the leaves that are ready.
 
-        A leaf's counts are dropped when it splits: its children start empty, and
-        a member that outgrew the cap starts from an empty root.
+        A leaf's counts are dropped when it splits: its children start empty, but vote
+        with their sides of the split. A member that outgrew its cap starts from an
+        empty root.
         """
         spark = weighted.sparkSession
         rows = ht.binned(weighted, self.spec, self.params)
@@ -92,7 +93,7 @@ class HoeffdingTrees:
             shallow = nodes.where(F.col("is_leaf") & (F.col("depth") < self.params.max_depth)).select("member", "node_id")
             open_leaves = stats.join(shallow, ["member", "node_id"], "left_semi")
         splits = ht.tree_split(open_leaves, self.spec, self.params)
-        grown = ht.apply_splits(nodes, materialize(splits, "tree-splits"))
+        grown = ht.apply_splits(nodes, splits)
         if self.params.max_split_nodes is not None:
             grown = ht.tree_size_limit(grown, self.params.max_split_nodes)
         grown = materialize(grown, "tree-nodes")
@@ -101,12 +102,12 @@ class HoeffdingTrees:
         still = nodes.where("is_leaf").join(grown.where("is_leaf"), ["member", "node_id"], "left_semi")
         kept = stats.join(still.select("member", "node_id"), ["member", "node_id"], "left_semi")
         deepest, count = grown.agg(F.max("depth"), F.count(F.lit(1))).first()
-        return TreeState(grown, materialize(kept, "leaf-stats"), deepest, count)
+        return TreeState(grown, kept, deepest, count)
 
     def votes(self, fanned: DataFrame, state: TreeState, ensemble: int) -> DataFrame:
         size = self.node_bytes(state.size)
         routed = ht.route(ht.binned(fanned, self.spec, self.params), state.nodes, self.spec, state.depth, size)
-        return ht.leaf_votes(routed, state.stats, self.spec, size)
+        return ht.leaf_votes(routed, state.stats, self.spec, size, state.nodes)
 
     def row_votes(self, instances: DataFrame, state: TreeState, ensemble: int) -> DataFrame:
         size = self.node_bytes(state.size)

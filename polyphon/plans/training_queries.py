@@ -152,14 +152,14 @@ def _first_split(spark, sf_dir):
     return rows, spec, splits
 
 
-def _bin_sql(col, edges):
+def bin_sql(col, edges):
     return " + ".join(f"(CASE WHEN {col} > {e} THEN 1 ELSE 0 END)" for e in edges)
 
 
 TREE_SQL = (
     q.INST,
     q.bag("inst", TREE_MEMBERS, SEED),
-    f"""tb AS MATERIALIZED (SELECT *, {_bin_sql('x_cents', TREE.edges['x_cents'])} AS b_cents, {_bin_sql('x_k', TREE.edges['x_k'])} AS b_k,
+    f"""tb AS MATERIALIZED (SELECT *, {bin_sql('x_cents', TREE.edges['x_cents'])} AS b_cents, {bin_sql('x_k', TREE.edges['x_k'])} AS b_k,
       (SELECT count(*) FROM (SELECT DISTINCT n_user FROM inst) d WHERE d.n_user < bag.n_user) AS b_user FROM bag)""",
     """tc AS MATERIALIZED (SELECT member, 'x_cents' AS attr, b_cents AS bin, label, w FROM tb UNION ALL SELECT member, 'x_k', b_k, label, w FROM tb
       UNION ALL SELECT member, 'n_user', b_user, label, w FROM tb)""",
@@ -218,7 +218,7 @@ def tree_leaf_stats(spark, sf_dir):
             "cl AS (SELECT DISTINCT label FROM inst)",
             """tall AS MATERIALIZED (SELECT i.instance_id, m.member, CASE WHEN w2.attr IS NULL THEN CAST(1 AS BIGINT)
       WHEN (w2.attr = 'x_cents' AND b_cents <= cut) OR (w2.attr = 'x_k' AND b_k <= cut) OR (w2.attr = 'n_user' AND n_user_bin = cut) THEN CAST(2 AS BIGINT)
-      ELSE CAST(3 AS BIGINT) END AS node_id FROM (SELECT *, """ + _bin_sql("x_cents", TREE.edges["x_cents"]) + " AS b_cents, " + _bin_sql("x_k", TREE.edges["x_k"])
+      ELSE CAST(3 AS BIGINT) END AS node_id FROM (SELECT *, """ + bin_sql("x_cents", TREE.edges["x_cents"]) + " AS b_cents, " + bin_sql("x_k", TREE.edges["x_k"])
             + f""" AS b_k, (SELECT count(*) FROM (SELECT DISTINCT n_user FROM inst) d WHERE d.n_user < inst.n_user) AS n_user_bin FROM inst) i
       CROSS JOIN {q.members(TREE_MEMBERS)} m LEFT JOIN win w2 ON w2.member = m.member)""")
     + "SELECT t.instance_id, t.member, t.node_id, cl.label, coalesce(lw.w, 0) AS vote FROM tall t CROSS JOIN cl LEFT JOIN lw ON lw.member = t.member AND lw.node_id = t.node_id AND lw.label = cl.label",
@@ -381,7 +381,7 @@ def boost_pure(spark, sf_dir):
         *TREE_SQL[2:-1],
         f"second AS MATERIALIZED (SELECT * FROM inst WHERE seq >= {q.cut(0.5)})",
         q.bag("second", TREE_MEMBERS, SEED, name="bag2"),
-        f"""tb2 AS MATERIALIZED (SELECT *, {_bin_sql('x_cents', TREE.edges['x_cents'])} AS b_cents, {_bin_sql('x_k', TREE.edges['x_k'])} AS b_k,
+        f"""tb2 AS MATERIALIZED (SELECT *, {bin_sql('x_cents', TREE.edges['x_cents'])} AS b_cents, {bin_sql('x_k', TREE.edges['x_k'])} AS b_k,
       (SELECT count(*) FROM (SELECT DISTINCT n_user FROM inst) d WHERE d.n_user < bag2.n_user) AS b_user FROM bag2)""",
         """r2 AS MATERIALIZED (SELECT t.*, CASE WHEN w2.attr IS NULL THEN CAST(1 AS BIGINT)
       WHEN (w2.attr = 'x_cents' AND b_cents <= cut) OR (w2.attr = 'x_k' AND b_k <= cut) OR (w2.attr = 'n_user' AND b_user = cut) THEN CAST(2 AS BIGINT)

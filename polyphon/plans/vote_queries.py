@@ -303,14 +303,14 @@ METRIC_SQL = """SELECT n AS instances, round(acc, 6) AS accuracy, round((acc - p
       / (sum(weight) * sum(weight)) AS pc FROM pr)"""
 
 
-def _rounded(df):
+def rounded(df):
     return df.select("instances", F.round("accuracy", 6).alias("accuracy"), F.round("kappa", 6).alias("kappa"))
 
 
 @query("holdout_eval", q.with_(*BAG_PRED) + METRIC_SQL)
 def holdout_eval(spark, sf_dir):
     """The flagship: train on the first 80 %, evaluate on the rest."""
-    return _rounded(bag_holdout(events(spark, sf_dir), events_spec(spark, sf_dir), ENSEMBLE, SEED))
+    return rounded(bag_holdout(events(spark, sf_dir), events_spec(spark, sf_dir), ENSEMBLE, SEED))
 
 
 @query(
@@ -344,7 +344,7 @@ def boost_holdout(spark, sf_dir):
     votes = nb.member_votes(fanned, nb.nb_model(run.stats, spec), spec, BOOST)
     best = vt.with_argmax(vt.combine_votes(vt.boost_partial_votes(votes, weights, n, BOOST), n), n)
     scored = rows.join(best.select("instance_id", spec.class_at(F.col("pred_index")).alias("pred")), "instance_id")
-    return _rounded(ev.basic_evaluator(scored))
+    return rounded(ev.basic_evaluator(scored))
 
 
 ALL_PRED = (
@@ -364,7 +364,7 @@ def _scored(spark, sf_dir):
 
 @query("basic_evaluator", q.with_(*ALL_PRED) + METRIC_SQL)
 def basic_evaluator(spark, sf_dir):
-    return _rounded(ev.basic_evaluator(_scored(spark, sf_dir)))
+    return rounded(ev.basic_evaluator(_scored(spark, sf_dir)))
 
 
 @query("confusion", q.with_(*ALL_PRED) + "SELECT truth, pred, sum(weight) AS w FROM pr GROUP BY ALL")
