@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from polyphon.llm.base import text_slices
+from polyphon.llm.base import give_back_memory, text_slices
 from polyphon.llm.components import components
 from polyphon.llm.wordhash import SPACE, column_bytes, mix64, span_hashes, stream64, word_spans
 from polyphon.sources.workspace import materialize
@@ -54,6 +54,8 @@ MANTISSA = 10
 LEAST_ESTIMATE = 0.6
 LIMIT = (3, 4)  # similarity of at least 3/4
 BLOCK = 512
+# Bytes of text whose shingle sets a worker holds at a time.
+SLICE = 1 << 18
 
 SKETCHES = "doc_id long, n_shingles long, digest binary, registers binary"
 
@@ -130,7 +132,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text"))
             yield pa.record_batch(
                 [
@@ -140,6 +142,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ],
                 names=["doc_id", "n_shingles", "digest", "registers"],
             )
+        give_back_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     return rows.mapInArrow(sketch, SKETCHES)
@@ -215,12 +218,13 @@ def _block_links(bands: DataFrame, texts: DataFrame, labels: DataFrame) -> DataF
     rows = materialize(rows.join(mixed, "band"), "mixed_rows")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text"))
             yield pa.record_batch(
                 [batch.column("rep"), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["rep", "registers", "shingles"],
             )
+        give_back_memory()
 
     wanted = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
     sets = materialize(wanted.mapInArrow(prepare, "rep long, registers binary, shingles binary"), "mixed_sets")
