@@ -19,7 +19,8 @@ Edge cases: null or empty items have no window; null texts have no words and are
 clean; equal items under several ids all count; null item ids are ignored in
 lists of items but do contaminate; repeated rows are scored each; an empty table
 of items leaves all documents clean; extra columns are ignored, or with
-``with_row`` kept beside the row's own result, which needs no id.
+``with_row`` kept beside the row's own result, which needs no id; with ``cut`` too,
+a text without hits stays as it is, null included.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in merged]
 
 
-def _scan(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
-    """Hits per row; a column ``row`` goes through with its text."""
+def _scan(rows: DataFrame, automaton: SuffixAutomaton, cut: bool = False) -> DataFrame:
+    """Hits per row; a column ``row`` goes through with its text, which ``cut`` takes the hits out of."""
     kept = ["text", "row"] if "row" in rows.columns else []
     schema = StructType([*StructType.fromDDL(HITS), *(rows.schema[c] for c in kept)])
     vocabulary = list(automaton.words)
@@ -203,7 +204,19 @@ def _scan(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
                 names=["doc_id", "row_key", "n_words", "spans", "items", *kept],
             )
 
-    return rows.mapInArrow(scan, schema)
+    # One function for both steps: two in a row would run two Python workers a task.
+    return rows.mapInArrow((lambda batches: _without_hits(scan(batches))) if cut else scan, schema)
+
+
+def _without_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with ``text`` cut at each row's own ``spans``."""
+    for batch in batches:
+        spans = batch.column("spans").to_pylist()
+        if any(spans):
+            texts = batch.column("text").to_pylist()
+            texts = [without_spans(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        yield batch
 
 
 def _groups(benchmark: DataFrame, item_col: str, text_col: str, window: int, group_words: int) -> Iterator[SuffixAutomaton]:
@@ -220,18 +233,20 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str, window: int, gro
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_row: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_row: bool = False, cut: bool = False,
 ) -> DataFrame:
     """Per document row: ``doc_id``, ``n_words``, ``spans`` (word places that are hit, merged), ``items``.
 
-    ``with_row`` adds the row's ``text`` and its other columns as the struct ``row``.
+    ``with_row`` adds the row's ``text`` and its other columns as the struct ``row``;
+    ``cut`` takes the words that are hit out of that text.
     """
+    cut = cut and with_row
     spread = F.xxhash64(F.monotonically_increasing_id())
     # A struct of the other columns, so they may have any names.
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if with_row else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), spread.alias("row_key"), F.col(text_col).cast("string").alias("text"), *row)
     automata = _groups(benchmark, item_col, item_text_col, window, group_words)
-    found = _scan(rows, next(automata))
+    found = _scan(rows, next(automata), cut)
     more = next(automata, None)
     if more is None:
         return found.drop("row_key")
@@ -250,7 +265,10 @@ def find_contamination(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     merged = merged.select("row_key", "doc_id", "n_words", _merged_spans("spans").alias("spans"), "items")
-    return (merged.join(stored.select("row_key", "text", "row"), "row_key") if with_row else merged).drop("row_key")
+    if not with_row:
+        return merged.drop("row_key")
+    rows = merged.join(stored.select("row_key", "text", "row"), "row_key").drop("row_key")
+    return rows.mapInArrow(lambda batches: _without_hits(text_slices(batches, "text")), rows.schema) if cut else rows
 
 
 def _merged_spans(column: str):
