@@ -13,13 +13,10 @@ which one stays; an empty table passes through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polyphon.llm import decontaminate, near_dups, packing, quality, secrets
-from polyphon.llm.base import table, text_slices
+from polyphon.llm.base import table
 from polyphon.llm.queries import WORD_TOKENIZER
 from polyphon.sources.workspace import materialize
 
@@ -51,20 +48,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row's columns go through the scan with its text, so its own verdict and its
     own spans apply, whatever its id is: null ids and ids with several texts too.
     """
-    found = decontaminate.with_verdict(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), with_row=True))
-    left = found.where("NOT contaminated").select("text", "spans", "row")
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            texts, spans = batch.column("text"), batch.column("spans").to_pylist()
-            if any(spans):
-                texts = pa.array(
-                    [decontaminate.without_spans(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts.to_pylist(), spans)], pa.string()
-                )
-            yield pa.record_batch([texts, batch.column("row")], names=["text", "row"])
-
-    cut = left.mapInArrow(strip, left.drop("spans").schema)
-    return _counted(cut.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns)))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), with_row=True, cut=True)
+    left = decontaminate.with_verdict(found).where("NOT contaminated")
+    return _counted(left.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns)))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
