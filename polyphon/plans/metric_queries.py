@@ -176,3 +176,34 @@ def throughput_stream(spark, sf_dir):
     stream = channels.read_channel(spark, folder, ev.schema, files_per_trigger=2)
     out = tumbling_counts(stream, "counter", "1 hour", new_folder(spark, "throughput"), new_folder(spark, "throughput-ckpt"))
     return out.select("counter", epoch_ms(out, "window_start").alias("window_start_ms"), "n_events")
+
+
+# The stream arrives in four parts; rows with a small k come one part later than the others.
+ARRIVAL = "CASE WHEN seq < {a} THEN 0 WHEN seq < {b} THEN 1 WHEN seq < {c} THEN 2 ELSE 3 END + CASE WHEN x_k < 10 THEN 1 ELSE 0 END"
+
+
+@query(
+    "throughput_late",
+    q.with_(
+        q.INST,
+        f"a AS MATERIALIZED (SELECT label, ts_ms, ts_ms // {HOUR} * {HOUR} AS win, {ARRIVAL.format(a=q.cut(0.25), b=q.cut(0.5), c=q.cut(0.75))} AS arrival FROM inst)",
+        "t AS (SELECT arrival, max(ts_ms) AS top FROM a GROUP BY arrival)",
+        "w AS (SELECT x.arrival, max(y.top) - 600000 AS mark FROM t x LEFT JOIN t y ON y.arrival < x.arrival GROUP BY x.arrival)",
+    )
+    + f"""SELECT label AS counter, win AS window_start_ms, count(*) FILTER (WHERE NOT coalesce(win + {HOUR} <= mark, false)) AS n_events,
+    count(*) FILTER (WHERE coalesce(win + {HOUR} <= mark, false)) AS n_late FROM a JOIN w USING (arrival) GROUP BY ALL""",
+)
+def throughput_late(spark, sf_dir):
+    """Hourly counts of events that arrive out of order, with the rows that came too late."""
+    from polyphon.streaming.late import count_with_late
+
+    cuts = dict(zip("abc", ("_a", "_b", "_c")))
+    ends = {n: stream_cut(spark, sf_dir, s) for n, s in zip(cuts.values(), (0.25, 0.5, 0.75))}
+    ev = events(spark, sf_dir).withColumns(ends).selectExpr("label AS counter", "ts_ms", f"{ARRIVAL.format(**cuts)} AS arrival")
+    folder = new_folder(spark, "late-channel")
+    # One call and one file for each part: a reader takes them in this order, one a batch.
+    for n in range(5):
+        channels.publish_instances(ev.where(F.col("arrival") == n), folder, files=1, order="ts_ms")
+    stream = channels.read_channel(spark, folder, ev.schema, files_per_trigger=1)
+    out = count_with_late(stream, "counter", HOUR, new_folder(spark, "late"), new_folder(spark, "late-ckpt"))
+    return out.select("counter", "window_start_ms", "n_events", "n_late")
