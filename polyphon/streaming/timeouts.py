@@ -6,81 +6,78 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TIMEOUT_MS = 30_000
+BUCKETS = 256
 SET_SCHEMA = "instance_id long, first_ms long, n_votes long, complete boolean"
+OPEN_SCHEMA = "ids array<bigint>, firsts array<bigint>, counts array<bigint>"
 
 
-class VoteSets(StatefulProcessor):
-    """State of one instance: when its open set began, and its votes so far.
+def vote_sets(ensemble: int, timeout_ms: int):
+    """The step of one bucket of instances: takes its votes, or the end of its time, and gives the sets that close.
 
-    Votes count in the order they arrive, by time within one arrival. A set is
-    emitted when it is complete, or when its time is up (incomplete). Only two
-    numbers are kept per instance, whatever it receives.
+    Its state is the open sets, each with its start and its votes so far: two numbers,
+    and nothing for an instance without an open set. Votes of an instance count in the
+    order they arrive, by time within one arrival. A set is emitted when it is complete,
+    or when its time is up (incomplete). The bucket's timer is at the end of the set
+    that ends first.
     """
 
-    def __init__(self, ensemble: int, timeout_ms: int):
-        self.ensemble = ensemble
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "first_ms long, n_votes long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sets = {i: (first, n) for i, first, n in zip(*state.get)} if state.exists else {}
         out = []
-        state = self.open.get() if self.open.exists() else None
-        first, n = (state[0], state[1]) if state is not None else (None, 0)
         # One arrival may come in several chunks, in any order.
-        for ts, votes in sorted((int(t), int(v)) for pdf in rows for t, v in zip(pdf["ts_ms"], pdf["n_votes"])):
-            if first is not None and ts >= first + self.timeout_ms:
-                out.append((key[0], first, n, False))
-                self.handle.deleteTimer(first + self.timeout_ms)
-                first, n = None, 0
-            if first is None:
-                first = ts
-                self.handle.registerTimer(first + self.timeout_ms)
-            n += votes
-            if n == self.ensemble:
-                out.append((key[0], first, n, True))
-                self.handle.deleteTimer(first + self.timeout_ms)
-                first, n = None, 0
-        if first is None:
-            self.open.clear()
-        else:
-            self.open.update((first, n))
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.open.exists():
-            first, n = self.open.get()
-            if first + self.timeout_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                out.append((key[0], first, n, False))
-                self.open.clear()
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["instance_id", "first_ms", "n_votes", "complete"])
-
-
-def vote_timeout_stream(votes: DataFrame, ensemble: int, timeout_ms: int = TIMEOUT_MS, delay: str = "10 seconds") -> DataFrame:
+        arrived = [] if state.hasTimedOut else list(chunks)
+        if arrived:
+            votes = pd.concat(arrived).sort_values(["ts_ms", "n_votes"])
+            for no_id, i, ts, n_votes in zip(*(votes[c].tolist() for c in ("no_id", "id", "ts_ms", "n_votes"))):
+                i = None if no_id else i
+                first, n = sets.get(i, (ts, 0))
+                if ts >= first + timeout_ms:
+                    out.append((i, first, n, False))
+                    first, n = ts, 0
+                n += n_votes
+                if n == ensemble:
+                    out.append((i, first, n, True))
+                    sets.pop(i, None)
+                else:
+                    sets[i] = (first, n)
+        now = state.getCurrentWatermarkMs()
+        for i in [i for i, (first, _) in sets.items() if first + timeout_ms <= now]:
+            out.append((i, *sets.pop(i), False))
+        if sets:
+            firsts = [first for first, _ in sets.values()]
+            state.update((list(sets), firsts, [n for _, n in sets.values()]))
+            state.setTimeoutTimestamp(min(firsts) + timeout_ms)
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        # Whole numbers as they are: next to the empty rows that Spark adds, a numeric column would become double.
+        yield pd.DataFrame(out, columns=["instance_id", "first_ms", "n_votes", "complete"], dtype=object)
+
+    return step
+
+
+def vote_timeout_stream(
+    votes: DataFrame, ensemble: int, timeout_ms: int = TIMEOUT_MS, delay: str = "10 seconds", buckets: int = BUCKETS
+) -> DataFrame:
     """Vote sets of a stream of ``instance_id, ts, n_votes`` rows, by event time.
 
-    Needs the RocksDB state store. Open sets are emitted as incomplete once the
-    watermark has passed their end.
+    Open sets are emitted as incomplete once the watermark has passed their end.
+    Instances are kept in ``buckets`` groups, so that Python is called once per bucket
+    and batch, not once per instance; a batch's votes and the open sets of one bucket
+    are held in memory. A checkpoint belongs to its number of buckets.
     """
     timed = votes.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy("instance_id").transformWithStateInPandas(
-        statefulProcessor=VoteSets(ensemble, timeout_ms),
-        outputStructType=SET_SCHEMA,
-        outputMode="Append",
-        timeMode="EventTime",
+    # A null would turn the ids of its chunk into doubles.
+    rows = timed.selectExpr(
+        f"cast(pmod(xxhash64(instance_id), {buckets}L) AS INT) AS bucket",
+        "coalesce(instance_id, 0L) AS id", "instance_id IS NULL AS no_id", "ts", "ts_ms", "n_votes",
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(
+        vote_sets(ensemble, timeout_ms), SET_SCHEMA, OPEN_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
