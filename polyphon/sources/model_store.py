@@ -1,21 +1,27 @@
 """Versioned model state as Parquet tables.
 
-``members`` holds model rows, partitioned by version and part; a write replaces
-exactly its (version, part) folders, so a retried write is harmless.
-``published`` holds one row per published version. ``dropped`` holds deletions,
-which readers apply by an anti join: nothing is rewritten to forget a model.
+``members`` holds model rows, in one folder per block of ``BLOCK`` versions and
+write; the number of files follows the rows, not the versions. Of the rows of a
+version and part, those of the newest write that has any count, so a retried
+write is harmless. ``published`` holds one row per published version. ``dropped``
+holds deletions, which readers apply by an anti join: nothing is rewritten to
+forget a model.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 from polyphon.operators.versions import NO_VERSION
 
 PUBLISHED = StructType([StructField("version", LongType()), StructField("published_seq", LongType())])
 DROPPED = StructType([StructField("member", LongType()), StructField("version", LongType()), StructField("up_to_write", LongType())])
+BLOCK = 1024
 
 
 class ModelStore:
@@ -24,15 +30,16 @@ class ModelStore:
     def __init__(self, spark: SparkSession, path: str, model_schema: StructType):
         self.spark = spark
         self.path = path
-        # version and part are the partition columns, write_no orders writes.
+        # Rows are replaced by version and part, write_no orders them and deletions.
         names = [f for f in model_schema.fields if f.name not in ("version", "part", "write_no")]
         self.schema = StructType(
             [*names, StructField("write_no", LongType()), StructField("version", LongType()), StructField("part", LongType())]
         )
+        self._stored = StructType([*self.schema.fields, StructField("block", LongType()), StructField("put", StringType())])
 
-    def _read(self, table: str, schema: StructType) -> DataFrame:
+    def _read(self, table: str, schema: StructType, folder: str = "") -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+            return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}{folder}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -41,15 +48,23 @@ class ModelStore:
 
     def put(self, models: DataFrame, version: int, part: int = 0, write_no: int | None = None) -> None:
         """Write the members of one part under a version."""
-        self.put_table(models.withColumn("version", F.lit(version)).withColumn("part", F.lit(part)), write_no)
+        self._write(models.withColumn("version", F.lit(version)).withColumn("part", F.lit(part)), write_no, f"/block={version // BLOCK}")
 
     def put_table(self, models: DataFrame, write_no: int | None = None) -> None:
         """Write rows that carry their own ``version`` and ``part``."""
+        self._write(models, write_no, "")
+
+    def _write(self, models: DataFrame, write_no: int | None, folder: str) -> None:
         rows = models.withColumn("write_no", F.lit(write_no if write_no is not None else self._next_write()).cast("long"))
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "part").parquet(
-            f"{self.path}/members"
-        )
+        rows = rows.withColumns({"block": F.expr(f"cast(floor(version / {BLOCK}) AS BIGINT)"), "put": F.lit(self._next_put(folder))})
+        rows.write.mode("append").partitionBy("block", "put").parquet(f"{self.path}/members")
+
+    def _next_put(self, folder: str) -> str:
+        """Name of the next write, behind all others of the folder in the order of text."""
+        files = self._read("members", self._stored, folder).inputFiles()
+        last = max((int(found[1]) for f in files if (found := re.search(r"/put=(\d+)-", f))), default=-1)
+        return f"{last + 1:012d}-{uuid.uuid4().hex}"
 
     def _next_write(self) -> int:
         """Number of the next write: one past the newest deletion's reach."""
@@ -57,10 +72,14 @@ class ModelStore:
         return 0 if row.m is None else row.m + 1
 
     def members(self, version: int | None = None) -> DataFrame:
-        """All stored model rows, or those of one version (one partition is read)."""
-        rows = self._read("members", self.schema)
-        if version is not None:
-            rows = rows.where(F.col("version") == version)
+        """All stored model rows, or those of one version (one block is read)."""
+        if version is None:
+            rows = self._read("members", self._stored)
+        else:
+            rows = self._read("members", self._stored, f"/block={version // BLOCK}").where(F.col("version") == version)
+        newest = rows.groupBy(F.col("version").alias("_nv"), F.col("part").alias("_np")).agg(F.max("put").alias("_put"))
+        same = F.col("version").eqNullSafe(F.col("_nv")) & F.col("part").eqNullSafe(F.col("_np")) & (F.col("put") == F.col("_put"))
+        rows = rows.join(newest, same, "left_semi").drop("block", "put")
         dropped = self._read("dropped", DROPPED).select(
             F.col("member").alias("_m"), F.col("version").alias("_v"), F.col("up_to_write").alias("_u")
         )
