@@ -63,3 +63,15 @@ def test_frozen_members_are_trained_once(monkeypatch, spark):
         monkeypatch.setattr(module, "bag_train", lambda *a: calls.append(a) or bag_train(*a))
     vote_queries.boost_partial_votes(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_line_statistics_are_gathered_once(monkeypatch, spark):
+    """Votes, terms and the number of values come from one written table."""
+    from polyphon.plans import vote_queries
+
+    written = []
+    put = vote_queries.materialize
+    monkeypatch.setattr(vote_queries, "materialize", lambda df, name: written.append(name) or put(df, name))
+    got = vote_queries.open_votes_lineitem(spark, "/root/testdata/sf0.001")
+    assert written == ["line-stats"]
+    assert got.count() > 0
