@@ -13,6 +13,10 @@ counts for the next split start from nothing.
 All members' trees are one value, an array of node arrays, which reaches the tasks
 as a scalar subquery; a row walks it from the root to its leaf in one step, without
 a join. Trees above ``BROADCAST_BYTES`` are walked by one join per level.
+
+Rows with the same bins and label take the same way in any tree, so training adds
+them up to one row, their cell, before they are routed. How many cells there can be
+is known from the header; above ``CELLS`` a member the rows are routed one by one.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from polyphon.sources.instances import FeatureSpec
 
 NODE_SCHEMA = "member int, node_id long, depth int, attr string, op string, cut int, yes long, no long, is_leaf boolean, init array<double>"
 LEAF_STAT_COLUMNS = ["member", "node_id", "attr", "bin", "label", "w"]
+# Up to this many possible cells, a member's rows are added up to them before they are routed.
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -65,6 +71,23 @@ def binned(instances: DataFrame, spec: FeatureSpec, params: TreeParams) -> DataF
     return out
 
 
+def cell_count(spec: FeatureSpec, params: TreeParams) -> int:
+    """How many cells one member's rows can have: a label and, for each attribute, a bin or none."""
+    bins = [*(len(params.edges[a]) + 2 for a in spec.numeric), *(len(v) + 1 for v in spec.nominal.values())]
+    return math.prod(bins) * (len(spec.classes) + 1)
+
+
+def cells(rows: DataFrame, spec: FeatureSpec, weight: str = "w", keys: tuple[str, ...] = ("member",)) -> DataFrame:
+    """Binned rows with equal ``keys``, bins and label as one row with their whole weight ``w``.
+
+    Equal rows add up inside the task first, so what is shuffled depends on the
+    number of cells and not on that of the rows. ``cell`` hashes the bins.
+    """
+    bins = [f"bin_{a}" for a in [*spec.numeric, *spec.nominal]]
+    summed = rows.groupBy(*keys, *bins, spec.label).agg(F.sum(weight).alias("w"))
+    return summed.withColumn("cell", F.xxhash64(*bins, spec.label))
+
+
 def root_nodes(spark: SparkSession, ensemble: int) -> DataFrame:
     """An empty tree for each member."""
     return spark.range(ensemble).select(
@@ -107,25 +130,25 @@ def _bins(spec: FeatureSpec) -> str:
     return f"array({', '.join(name(f'bin_{a}') for a in [*spec.numeric, *spec.nominal])})"
 
 
-def route(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int) -> DataFrame:
-    """Leaf of each (instance, member) row, as ``node_id``.
+def route(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int, spread_by: str = "instance_id") -> DataFrame:
+    """Leaf of each (instance, member) row, or cell, as ``node_id``.
 
     ``depth`` is the depth of the deepest leaf; ``node_bytes`` bounds the node
-    table's size.
+    table's size. ``spread_by`` tells a member's rows apart.
     """
     if node_bytes > BROADCAST_BYTES:
-        return _route_by_joins(rows, nodes, spec, depth, node_bytes)
+        return _route_by_joins(rows, nodes, spec, depth, node_bytes, spread_by)
     held = rows.withColumn("_trees", trees_value(nodes, spec).scalar())
     own = "filter(_trees, m -> m.member = member)[0].nodes"
     return add(held, {"node_id": let("t", own, let("b", _bins(spec), _walk("t", "b", depth)))}).drop("_trees")
 
 
-def _route_by_joins(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int) -> DataFrame:
+def _route_by_joins(rows: DataFrame, nodes: DataFrame, spec: FeatureSpec, depth: int, node_bytes: int, spread_by: str) -> DataFrame:
     """The same for trees that are too large for one value: one join with the split nodes per level."""
     splits = nodes.where(~F.col("is_leaf")).select("member", "node_id", F.struct("attr", "op", "cut", "yes", "no").alias("_test"))
     out = rows.withColumn("node_id", F.lit(1).cast("long"))
     for _ in range(depth):
-        out = model_join(out, splits, ["member", "node_id"], node_bytes, "instance_id", how="left")
+        out = model_join(out, splits, ["member", "node_id"], node_bytes, spread_by, how="left")
         value = F.lit(None).cast("int")
         for a in [*spec.numeric, *spec.nominal]:
             value = F.when(F.col("_test.attr") == a, F.col(f"bin_{a}")).otherwise(value)

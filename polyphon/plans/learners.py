@@ -7,9 +7,10 @@ trains on a weighted fan-out, carries its state between batches, and votes.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from polyphon.functions.weights import with_poisson_weight
 from polyphon.operators import evaluation as ev
@@ -26,6 +27,9 @@ class Learner(Protocol):
     def train(self, weighted: DataFrame, state: object | None, ensemble: int) -> object:
         """State after training on one batch of weighted (instance, member) rows."""
 
+    def bag_numbered(self, instances: DataFrame, batches: int, ensemble: int, seed: int, weight: str) -> object | None:
+        """State of a bagged ensemble after batches 0, 1, … of instances that carry their ``batch``; None: train them one by one."""
+
     def votes(self, fanned: DataFrame, state: object, ensemble: int) -> DataFrame:
         """Vote vector of each (instance, member) row."""
 
@@ -44,6 +48,9 @@ class NaiveBayes:
         merged = delta if state is None else nb.merge_stats(state, delta)
         return materialize(merged, "nb-state")
 
+    def bag_numbered(self, instances: DataFrame, batches: int, ensemble: int, seed: int, weight: str) -> None:
+        """None: a batch is one aggregation already."""
+
     def votes(self, fanned: DataFrame, state: DataFrame, ensemble: int) -> DataFrame:
         return nb.member_votes(fanned, nb.nb_model(state, self.spec), self.spec, ensemble)
 
@@ -79,12 +86,33 @@ class HoeffdingTrees:
         with their sides of the split. A member that outgrew its cap starts from an
         empty root.
         """
-        spark = weighted.sparkSession
         rows = ht.binned(weighted, self.spec, self.params)
+        if ht.cell_count(self.spec, self.params) > ht.CELLS:
+            return self._grow(rows, state, ensemble, "instance_id")
+        return self._grow(ht.cells(rows, self.spec), state, ensemble, "cell")
+
+    def bag_numbered(self, instances: DataFrame, batches: int, ensemble: int, seed: int, weight: str) -> TreeState | None:
+        """The same batch after batch, with one pass over the instances of all of them.
+
+        Bins are found before the fan-out. The rows are added up to their cells, which
+        are written once; what follows works on the cells alone. None when there may be
+        too many of them.
+        """
+        if ht.cell_count(self.spec, self.params) > ht.CELLS:
+            return None
+        weighted = _bagged(ht.binned(instances, self.spec, self.params), ensemble, seed, weight)
+        cells = materialize(ht.cells(weighted, self.spec, keys=("batch", "member")), "batch-cells", ["batch"])
+        state = None
+        for b in range(batches):
+            state = self._grow(cells.where(F.col("batch") == b), state, ensemble, "cell")
+        return state
+
+    def _grow(self, rows: DataFrame, state: TreeState | None, ensemble: int, spread_by: str) -> TreeState:
+        spark = rows.sparkSession
         nodes = state.nodes if state else ht.root_nodes(spark, ensemble)
         depth = state.depth if state else 0
         size = self.node_bytes(state.size if state else ensemble)
-        stats = ht.leaf_stats(ht.route(rows, nodes, self.spec, depth, size), self.spec)
+        stats = ht.leaf_stats(ht.route(rows, nodes, self.spec, depth, size, spread_by), self.spec)
         if state:
             stats = ht.merge_leaf_stats(state.stats, stats)
         stats = materialize(stats, "leaf-stats")
@@ -128,14 +156,35 @@ def learner(name: str, spec: FeatureSpec, **options) -> Learner:
     raise ValueError(f"unknown learner {name!r}")
 
 
+def _bagged(instances: DataFrame, ensemble: int, seed: int, weight: str) -> DataFrame:
+    return with_poisson_weight(ensemble_fanout(instances, ensemble), weight_col=weight, seed=seed)
+
+
 def bag_batches(batches: list[DataFrame], base: Learner, ensemble: int, seed: int, weight: str = "weight") -> object:
     """Train a bagged ensemble of any base learner, batch by batch."""
     state = None
     for batch in batches:
-        state = base.train(with_poisson_weight(ensemble_fanout(batch, ensemble), weight_col=weight, seed=seed), state, ensemble)
+        state = base.train(_bagged(batch, ensemble, seed, weight), state, ensemble)
     return state
 
 
+def bag_stream(instances: DataFrame, ends: list[Column | None], base: Learner, ensemble: int, seed: int, weight: str = "weight") -> object:
+    """The same for batches that follow each other in one stream.
+
+    ``ends`` are the stream numbers that the batches stop before, in ascending order;
+    None as the last one is the end of the stream. A learner that can add rows up
+    reads the stream once, with all tasks, and not one slice of it per batch.
+    """
+    seq = F.col("seq")
+    inside = [seq.isNotNull() if end is None else seq < end for end in ends]
+    cases = reduce(lambda case, b: case.when(inside[b], b), range(1, len(ends)), F.when(inside[0], 0))
+    state = base.bag_numbered(instances.where(inside[-1]).withColumn("batch", cases), len(ends), ensemble, seed, weight)
+    if state is not None:
+        return state
+    batches = [instances.where(inside[0]), *(instances.where((seq >= a) & now) for a, now in zip(ends, inside[1:]))]
+    return bag_batches(batches, base, ensemble, seed, weight)
+
+
 def bag_evaluate(instances: DataFrame, base: Learner, state: object, spec: FeatureSpec, ensemble: int) -> DataFrame:
     """Accuracy of a trained ensemble of any base learner on held-out instances; one row."""
     rows = instances.select("instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal, *spec.open)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polyphon.plans import sqltext as q
 from polyphon.plans.common import ENSEMBLE, SEED, events, events_spec, stream_cut, test_rows
-from polyphon.plans.learners import HoeffdingTrees, TreeState, bag_batches, bag_evaluate, learner
+from polyphon.plans.learners import HoeffdingTrees, TreeState, bag_evaluate, bag_stream, learner
 from polyphon.plans.registry import query
 from polyphon.plans.training_queries import TREE, bin_sql
 from polyphon.plans.vote_queries import METRIC_SQL, rounded
@@ -90,11 +90,9 @@ LAST = len(BATCH_ENDS)
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> tuple[HoeffdingTrees, TreeState]:
-    inst = events(spark, sf_dir)
     ends = [stream_cut(spark, sf_dir, s) for s in BATCH_ENDS]
-    batches = [inst.where(F.col("seq") < ends[0]), *(inst.where((F.col("seq") >= a) & (F.col("seq") < b)) for a, b in zip(ends, ends[1:]))]
     base = learner("hoeffding", events_spec(spark, sf_dir), edges=TREE.edges, tie=TREE.tie, grace=TREE.grace, max_split_nodes=CAPS)
-    return base, bag_batches(batches, base, ENSEMBLE, SEED)
+    return base, bag_stream(events(spark, sf_dir), ends, base, ENSEMBLE, SEED)
 
 
 @query(
