@@ -88,6 +88,21 @@ def cells(rows: DataFrame, spec: FeatureSpec, weight: str = "w", keys: tuple[str
     return summed.withColumn("cell", F.xxhash64(*bins, spec.label))
 
 
+def alike(instances: DataFrame, spec: FeatureSpec, params: TreeParams, key: str, weight: str) -> DataFrame:
+    """Instances with equal bins and ``key`` as one, with their whole weight.
+
+    It has the smallest id and the smallest value of each attribute; a bin holds
+    neighbouring values, so that value falls into the same bin as theirs.
+    """
+    attrs = [*spec.numeric, *spec.nominal]
+    rows = binned(instances, spec, params)
+    return (
+        rows.groupBy(key, *[f"bin_{a}" for a in attrs])
+        .agg(F.min("instance_id").alias("instance_id"), F.sum(weight).alias(weight), *[F.min(a).alias(a) for a in attrs])
+        .select("instance_id", key, weight, *attrs)
+    )
+
+
 def root_nodes(spark: SparkSession, ensemble: int) -> DataFrame:
     """An empty tree for each member."""
     return spark.range(ensemble).select(

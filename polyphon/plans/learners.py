@@ -30,6 +30,9 @@ class Learner(Protocol):
     def bag_numbered(self, instances: DataFrame, batches: int, ensemble: int, seed: int, weight: str) -> object | None:
         """State of a bagged ensemble after batches 0, 1, … of instances that carry their ``batch``; None: train them one by one."""
 
+    def alike(self, instances: DataFrame, key: str, weight: str) -> DataFrame:
+        """Instances with the same votes and ``key`` as one with their whole weight, where that makes few of many."""
+
     def votes(self, fanned: DataFrame, state: object, ensemble: int) -> DataFrame:
         """Vote vector of each (instance, member) row."""
 
@@ -51,6 +54,9 @@ class NaiveBayes:
     def bag_numbered(self, instances: DataFrame, batches: int, ensemble: int, seed: int, weight: str) -> None:
         """None: a batch is one aggregation already."""
 
+    def alike(self, instances: DataFrame, key: str, weight: str) -> DataFrame:
+        return instances
+
     def votes(self, fanned: DataFrame, state: DataFrame, ensemble: int) -> DataFrame:
         return nb.member_votes(fanned, nb.nb_model(state, self.spec), self.spec, ensemble)
 
@@ -132,6 +138,11 @@ class HoeffdingTrees:
         deepest, count = grown.agg(F.max("depth"), F.count(F.lit(1))).first()
         return TreeState(grown, kept, deepest, count)
 
+    def alike(self, instances: DataFrame, key: str, weight: str) -> DataFrame:
+        if ht.cell_count(self.spec, self.params) > ht.CELLS:
+            return instances
+        return ht.alike(instances, self.spec, self.params, key, weight)
+
     def votes(self, fanned: DataFrame, state: TreeState, ensemble: int) -> DataFrame:
         size = self.node_bytes(state.size)
         routed = ht.route(ht.binned(fanned, self.spec, self.params), state.nodes, self.spec, state.depth, size)
@@ -188,4 +199,4 @@ def bag_stream(instances: DataFrame, ends: list[Column | None], base: Learner, e
 def bag_evaluate(instances: DataFrame, base: Learner, state: object, spec: FeatureSpec, ensemble: int) -> DataFrame:
     """Accuracy of a trained ensemble of any base learner on held-out instances; one row."""
     rows = instances.select("instance_id", F.col(spec.label).alias("truth"), F.col(spec.weight).alias("weight"), *spec.numeric, *spec.nominal, *spec.open)
-    return ev.basic_evaluator(labelled(base.row_votes(rows, state, ensemble), spec))
+    return ev.basic_evaluator(labelled(base.row_votes(base.alike(rows, "truth", "weight"), state, ensemble), spec))
